@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import mixing, sharding, warc_index
+from auditloom.llm import bpe, langid, mixing, secret_scan, sharding, warc_index
 from auditloom.llm.common import table
 
 
@@ -14,14 +14,26 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.merge_index(table(spark, sf_dir, "pages"))
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_table(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_index_merge, op6_mix_sources, op9_shard_shuffle)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_index_merge, op3_bpe_codec, op6_mix_sources, op7_secret_scan, op9_shard_shuffle, op10_language_id)}
 
 ORACLE: dict[str, str] = {"op1_warc_index_merge": warc_index.SQL, "op6_mix_sources": mixing.SQL}
