@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import bpe, langid, mixing, secret_scan, sharding, warc_index
+from auditloom.llm import bpe, chosen_path, langid, mixing, secret_scan, sharding, warc_index
 from auditloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.merge_index(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_index_merge, op3_bpe_codec, op6_mix_sources, op7_secret_scan, op9_shard_shuffle, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_index_merge, op2_ngram_jaccard_join, op3_bpe_codec, op6_mix_sources, op7_secret_scan, op9_shard_shuffle, op10_language_id)}
 
 ORACLE: dict[str, str] = {"op1_warc_index_merge": warc_index.SQL, "op6_mix_sources": mixing.SQL}

@@ -1,28 +1,61 @@
-"""The corpus pipeline (stages are added as their operators are)."""
+"""The corpus pipeline: language identification, near-duplicate removal, secret redaction, source mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. SQL can't say a recurrent network or
+byte-pair merges, so there is no ORACLE_SQL; tests hold the stages against brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import mixing
+from auditloom.llm import bpe, chosen_path, langid, mixing, secret_scan
 from auditloom.llm.common import Table, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found go; the network is fitted on a bounded sample of docs."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id stays."""
+    return chosen_path.dedupe(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by the names of their rules; no document goes."""
+    return secret_scan.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampling to target weights; weights come from the labels table."""
+    """As many tokens as docs has, sources in proportion to their size to the power 0.7; quality weights come from the labels table."""
     return mixing.mix(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("mixing sources to target weights", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of what they decode to."""
+    return bpe.encode_table(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    last = len(STAGES) - 1
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < last:
-            docs = Table(docs, f"pipeline-{k}").df
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        written = Table(out, f"pipeline-{k}")
+        if last is not None:
+            last.drop()
+        docs, last = written.df, written
     return docs
