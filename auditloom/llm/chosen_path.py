@@ -422,3 +422,16 @@ def dedupe(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET
     pairs.drop()
     root.drop()
     return docs.join(lost.df, F.col("doc_id") == F.col("__path_lost"), "left_anti")
+
+
+SQL = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '(?:[0-9a-z]|[^\\x00-\\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {NGRAM} THEN list_transform(range(1, len(w) - {NGRAM} + 2), lambda i: array_to_string(w[i : i + {NGRAM} - 1], ' '))
+         ELSE [array_to_string(w, ' ')] END) AS gram FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a AS doc_a, b AS doc_b, CAST(c AS DOUBLE) / (x.n + y.n - c) AS jaccard
+FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= {THRESHOLD}
+"""
