@@ -17,6 +17,7 @@ whole. Only doc_id and text are read; other columns, whatever their names, are i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -177,9 +178,10 @@ class Scanner:
         out.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
         kept: list[tuple] = []
         for covered, share, name, s, e in out:
-            if all(e <= a or s >= b for a, b, *_ in kept):
-                kept.append((s, e, name, covered, share))
-        return [(toks[s][1], toks[e - 1][2], name, covered, round(share, 6)) for s, e, name, covered, share in sorted(kept)]
+            k = bisect_left(kept, (s,))  # those kept are apart, so only the neighbours can overlap
+            if (k == 0 or kept[k - 1][1] <= s) and (k == len(kept) or e <= kept[k][0]):
+                kept.insert(k, (s, e, name, covered, share))
+        return [(toks[s][1], toks[e - 1][2], name, covered, round(share, 6)) for s, e, name, covered, share in kept]
 
     def _chains(self, ms: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
         """(start, end, covered) of the best chains of one template's matches; each match is in one of them."""

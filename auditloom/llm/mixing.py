@@ -12,7 +12,7 @@ ordered exactly, so a hot source is no straggler. The decision is then a compari
 source: the documents themselves are never shuffled.
 
 Defined results: a null source is a source of its own, with its name staying null. A null or blank text has 0 tokens; it
-costs nothing and is taken with its neighbours in key order. A null id counts as one id. Equal keys are
+costs nothing and is taken with its neighbours in key order; rows of a source without any token are taken once. A null id counts as one id. Equal keys are
 ordered by id (nulls first), then token count; rows that repeat an id and a text share one decision only if both are
 within the target. A null or non-positive weight counts as 1. An empty table gives an empty result.
 Extra columns are kept by ``mix`` whatever their names; its own columns begin with ``__mix_``.
@@ -148,7 +148,7 @@ s AS (SELECT source, sum(n_tokens) AS have FROM d GROUP BY source),
 t AS (
   SELECT source, have, CAST(floor(CAST(sum(have) OVER () AS DOUBLE) * pow(CAST(have AS DOUBLE), {TEMPERATURE})
          / sum(pow(CAST(have AS DOUBLE), {TEMPERATURE})) OVER ()) AS BIGINT) AS target FROM s),
-e AS (SELECT source, have, target, CASE WHEN have > 0 THEN CAST(floor(target / have) AS INTEGER) ELSE 1 END AS epochs FROM t),
+e AS (SELECT source, have, target, CASE WHEN have > 0 THEN CAST(floor(target / have) AS INTEGER) ELSE 0 END AS epochs FROM t),
 p AS (
   SELECT d.*, sum(n_tokens) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM d)
 SELECT p.doc_id, p.source, p.n_tokens, p.weight,

@@ -24,6 +24,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ RULES: list[tuple[str, re.Pattern]] = [
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|AIza|[rsp]k_(?:live|test)_|sk-|eyJ")
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_LINES = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)+[A-Za-z0-9+/]+={0,2}")
 _PRINT = re.compile(r"[^\x20-\x7e\t\r\n\x85\xa0-\u024f\u0370-\u1fff\u2010-\u2060\u20a0-\u20bf\u3000-\ud7ff]")
 
 _B64 = np.zeros(256, bool)
@@ -157,23 +158,20 @@ def _marked(text: str) -> list[tuple[int, int, str]]:
     found.sort(key=lambda x: (x[0] - x[1], x[0]))
     kept: list[tuple[int, int, str]] = []
     for s, e, name in found:
-        if all(e <= a or s >= b for a, b, _ in kept):
-            kept.append((s, e, name))
-    return sorted(kept)
+        k = bisect_left(kept, (s, e, name))  # those kept are apart, so only the neighbours can overlap
+        if (k == 0 or kept[k - 1][1] <= s) and (k == len(kept) or e <= kept[k][0]):
+            kept.insert(k, (s, e, name))
+    return kept
 
 
 def _through(spans, start: int, end: int) -> tuple[int, int]:
     """A span of a layer in the text above it; a span that touches a replaced piece takes all of it."""
     if len(spans) == 1 and spans[0][0] == -1:
         return spans[0][2], spans[0][3]
-    lo = hi = None
-    for s, e, a, b in spans:
-        if e <= start or s >= end:
-            continue
-        same = e - s == b - a
-        x, y = (a + max(0, start - s), b - max(0, e - end)) if same else (a, b)
-        lo, hi = x if lo is None else lo, y
-    return (lo, hi) if lo is not None else (0, 0)
+    first, last = spans[bisect_right(spans, start, key=lambda x: x[1])], spans[bisect_left(spans, end, key=lambda x: x[0]) - 1]
+    lo = first[2] + (max(0, start - first[0]) if first[1] - first[0] == first[3] - first[2] else 0)
+    hi = last[3] - (max(0, last[1] - end) if last[1] - last[0] == last[3] - last[2] else 0)
+    return lo, hi
 
 
 def _digest(text: str) -> str:

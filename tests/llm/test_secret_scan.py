@@ -1,0 +1,85 @@
+import base64
+import bz2
+import gzip
+import lzma
+import urllib.parse
+import zlib
+
+import zstandard
+
+from auditloom.llm import secret_scan
+from auditloom.llm.secret_scan import findings
+from tests.llm.cases import docs, plain, prose
+
+KEY = "AKIA" + "ABCD1234EFGH5678"
+TOKEN = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
+CASES = {
+    "aws_access_key": KEY, "github_token": TOKEN, "slack_token": "xoxb-1234567890-abcdefghij", "google_key": "AIza" + "Sy" + "0123456789abcdefghijklmnopqrstuvw", "gitlab_token": "glpat-" + "abcdefghij0123456789",
+    "assigned_quoted": 'password = "hunter2hunter2"', "assigned": "api_key=abc123def456ghi", "url_password": "postgres://bob:s3cretpw@db.example.com",
+}
+
+
+def b64(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+def test_each_rule_and_its_span():
+    for rule, secret in CASES.items():
+        text = f"before {secret} after"
+        got = findings(text)
+        assert [(text[s:e], r, layers, depth) for s, e, r, layers, depth, _ in got] == [(secret, rule, "", 0)], rule
+
+
+def test_layers_are_unwrapped_and_spans_map_back():
+    inner = f"here is {KEY} to use".encode()
+    wraps = {
+        "base64": b64(inner), "base64>gzip": b64(gzip.compress(inner)), "base64>zlib": b64(zlib.compress(inner)), "base64>bzip2": b64(bz2.compress(inner)),
+        "base64>xz": b64(lzma.compress(inner)), "base64>zstd": b64(zstandard.compress(inner)), "base64>gzip>zlib": b64(gzip.compress(zlib.compress(inner))), "base64>base64": b64(b64(inner).encode()),
+    }
+    for layers, run in wraps.items():
+        text = f"see {run} now"
+        got = findings(text)
+        assert [(text[s:e], r, where) for s, e, r, where, _, _ in got] == [(run, "aws_access_key", layers)], layers
+
+
+def test_escapes_of_every_kind():
+    esc = {
+        "%": "".join(f"%{ord(c):02X}" for c in KEY), "u": "".join(f"\\u{ord(c):04x}" for c in KEY), "x": "".join(f"\\x{ord(c):02x}" for c in KEY), "&": "".join(f"&#{ord(c)};" for c in KEY),
+        "twice": urllib.parse.quote("".join(f"%{ord(c):02X}" for c in KEY), safe=""),
+    }
+    for kind, s in esc.items():
+        text = f"q {s} z"
+        got = findings(text)
+        assert [(text[a:b], r) for a, b, r, *_ in got] == [(s, "aws_access_key")], kind
+
+
+def test_cycles_end_and_prose_has_none():
+    assert findings(prose(1, 4000)) == []
+    assert findings("%25" * 500) == []
+    text = "a"
+    for _ in range(12):
+        text = b64(text.encode() * 2)
+    assert findings(text) == []
+
+
+def test_prefilter_leaves_out_no_row_with_findings(spark):
+    texts = [prose(i, 20) for i in range(20)] + [f"{prose(i, 9)} {s} {prose(i, 9)}" for i, s in enumerate(CASES.values())]
+    texts += [b64(f"x {s} y".encode()) for s in CASES.values()] + ["".join(f"\\x{ord(c):02x}" for c in s) for s in CASES.values()] + ["-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"]
+    got = sorted(tuple(r) for r in secret_scan.scan(plain(spark, list(enumerate(texts)))).collect())
+    assert got == sorted((i, *f) for i, t in enumerate(texts) for f in findings(t))
+    assert len({r[0] for r in got}) == len(texts) - 20
+
+
+def test_redact_removes_secrets_only(spark):
+    data = [(1, f"key {KEY} end"), (2, prose(2, 30)), (3, None), (4, ""), (None, f"t {TOKEN}"), (1, f"key {KEY} end"), (6, prose(6, 40_000) + f" {KEY}")]
+    got = {(r.doc_id, r.text, r.n_chars) for r in secret_scan.redact(plain(spark, data)).collect()}
+    want = {(i, t if t is None else t.replace(KEY, "[AWS_ACCESS_KEY]").replace(TOKEN, "[GITHUB_TOKEN]")) for i, t in data}
+    assert got == {(i, t, None if t is None else len(t)) for i, t in want}
+
+
+def test_all_cases(spark):
+    df = docs(spark)
+    assert secret_scan.scan(df).count() == 0
+    out = secret_scan.redact(df)
+    assert out.columns == df.columns and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+    assert secret_scan.scan(docs(spark, [])).count() == 0 and secret_scan.redact(docs(spark, [])).count() == 0
