@@ -46,7 +46,6 @@ def risk(df: DataFrame, kind, agents, edges, severity, source, target) -> DataFr
     return df.select(*[c.alias(n) for c, n in zip(cols, RISK)])
 
 
-_ID, _FROM, _TO, _SENS = F.col("edge_id"), F.col("from_agent"), F.col("to_agent"), F.col("sens")
 
 
 def cross_domain(pe: DataFrame, nodes: DataFrame, dp_aware: bool = False) -> DataFrame:
@@ -54,21 +53,21 @@ def cross_domain(pe: DataFrame, nodes: DataFrame, dp_aware: bool = False) -> Dat
     crossing = both(F.col("domains"), CROSSING)
     rows = pe.where(F.size(crossing) > 0)
     if dp_aware:
-        rows = rows.where(_SENS >= 3)
-    forwards = pe.select(_FROM.alias("fwd")).distinct()
-    rows = rows.join(nodes.select("agent", "scope"), _TO == F.col("agent"), "left").join(forwards, _TO == F.col("fwd"), "left")
+        rows = rows.where(F.col("sens") >= 3)
+    forwards = pe.select(F.col("from_agent").alias("fwd")).distinct()
+    rows = rows.join(nodes.select("agent", "scope"), F.col("to_agent") == F.col("agent"), "left").join(forwards, F.col("to_agent") == F.col("fwd"), "left")
     scope = F.coalesce("scope", F.array().cast("array<string>"))
     hit = ((F.size(scope) > 0) & ~F.arrays_overlap(crossing, scope)) | F.col("fwd").isNotNull()
-    return risk(rows.where(hit), "cross_domain_leak", F.array(_FROM, _TO), F.array(_ID), _SENS / 5, F.array_min(crossing), F.coalesce(F.array_min(F.array_except(scope, crossing)), F.lit("")))
+    return risk(rows.where(hit), "cross_domain_leak", F.array(F.col("from_agent"), F.col("to_agent")), F.array(F.col("edge_id")), F.col("sens") / 5, F.array_min(crossing), F.coalesce(F.array_min(F.array_except(scope, crossing)), F.lit("")))
 
 
 def cross_owner(e: DataFrame, nodes: DataFrame) -> DataFrame:
     """Data of one principal at an agent of another owner."""
     owner = F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.nullif(F.col("user_id"), F.lit("")))
-    rows = e.where("t_principal is not null and t_principal not in ('', 'multi')").join(nodes.select("agent", "owner", "user_id"), _TO == F.col("agent"))
+    rows = e.where("t_principal is not null and t_principal not in ('', 'multi')").join(nodes.select("agent", "owner", "user_id"), F.col("to_agent") == F.col("agent"))
     held = both(F.array_union("domains", F.coalesce("t_domains", F.array().cast("array<string>"))), SENSITIVE)
     rows = rows.where(owner.isNotNull() & (owner != F.col("t_principal")) & (F.size(held) > 0))
-    return risk(rows, "cross_owner_leak", F.array(_FROM, _TO), F.array(_ID), capped(_SENS / 5), F.array_min(held), "privacy")
+    return risk(rows, "cross_owner_leak", F.array(F.col("from_agent"), F.col("to_agent")), F.array(F.col("edge_id")), capped(F.col("sens") / 5), F.array_min(held), "privacy")
 
 
 def aggregation(pe: DataFrame) -> DataFrame:
@@ -88,7 +87,7 @@ def taint_spreading(e: DataFrame) -> DataFrame:
 
 def long_distance(e: DataFrame) -> DataFrame:
     rows = e.where((F.col("t_hops") >= 4) & (F.size(both(F.col("t_domains"), SENSITIVE)) > 0))
-    return risk(rows, "long_distance_taint", F.array(_FROM, _TO), F.array(_ID), capped(F.col("t_hops") * 0.15), "privacy", "privacy")
+    return risk(rows, "long_distance_taint", F.array(F.col("from_agent"), F.col("to_agent")), F.array(F.col("edge_id")), capped(F.col("t_hops") * 0.15), "privacy", "privacy")
 
 
 def inference_accumulation(e: DataFrame) -> DataFrame:
@@ -98,7 +97,7 @@ def inference_accumulation(e: DataFrame) -> DataFrame:
 
 def injection_leak(e: DataFrame) -> DataFrame:
     """Suspicious edges of agents that sent an injected one, at any time."""
-    bad = (_SENS >= 3) | F.col("violation") | (F.size("domains") >= 2)
+    bad = (F.col("sens") >= 3) | F.col("violation") | (F.size("domains") >= 2)
     rows = e.join(e.where("injected").select("from_agent").distinct(), "from_agent", "left_semi").where(bad)
     g = rows.groupBy("from_agent").agg(F.collect_set("to_agent").alias("to"), F.array_sort(F.collect_list("edge_id")).alias("ids"), F.max("sens").alias("most"))
     return risk(g, "compound_injection_leak", F.array_sort(F.array_union(F.array("from_agent"), F.col("to"))), F.col("ids"), capped(F.col("most") / 5 + 0.3), "security", "privacy")
@@ -127,10 +126,10 @@ def scope_escalation(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def collusion(e: DataFrame, least: int = 5) -> DataFrame:
     """Two agents with many messages, both ways."""
-    a, b = F.least(_FROM, _TO), F.greatest(_FROM, _TO)
-    there, back = F.when(_FROM == a, F.col("domains")), F.when(_FROM != a, F.col("domains"))
+    a, b = F.least(F.col("from_agent"), F.col("to_agent")), F.greatest(F.col("from_agent"), F.col("to_agent"))
+    there, back = F.when(F.col("from_agent") == a, F.col("domains")), F.when(F.col("from_agent") != a, F.col("domains"))
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    g = e.where(_FROM != _TO).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.count(there).alias("x"), F.count(back).alias("y"), flat(there).alias("dx"), flat(back).alias("dy"), F.array_sort(F.collect_list("edge_id")).alias("ids"))
+    g = e.where(F.col("from_agent") != F.col("to_agent")).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.count(there).alias("x"), F.count(back).alias("y"), flat(there).alias("dx"), flat(back).alias("dy"), F.array_sort(F.collect_list("edge_id")).alias("ids"))
     g = g.where((F.col("n") >= least) & (F.col("x") > 0) & (F.col("y") > 0))
     return risk(g, "compound_collusion", F.array("a", "b"), F.col("ids"), capped(F.col("n") * 0.05 + F.when(F.col("dx") != F.col("dy"), 0.3).otherwise(0.0)), "privacy", "privacy")
 
@@ -150,7 +149,7 @@ def temporal_aggregation(now: DataFrame, past: DataFrame) -> DataFrame:
 
 def multihop(e: DataFrame, nodes: DataFrame, longest: int = 5) -> DataFrame:
     """Simple paths of 3 to ``longest`` agents whose joined domains exceed every member's scope; of paths over one agent set the least."""
-    pairs = e.where(_FROM != _TO).select("from_agent", "to_agent").distinct()
+    pairs = e.where(F.col("from_agent") != F.col("to_agent")).select("from_agent", "to_agent").distinct()
     held = e.select(F.explode(F.array("from_agent", "to_agent")).alias("agent"), "domains").groupBy("agent").agg(F.array_distinct(F.flatten(F.collect_set("domains"))).alias("used"))
     held = held.join(nodes.select("agent", "scope"), "agent", "left")
     step = pairs.select(F.col("from_agent").alias("tail"), F.col("to_agent").alias("head"))
@@ -215,9 +214,9 @@ def platform_of(agent: Column) -> Column:
 def platform_leakage(e: DataFrame, nodes: DataFrame, least: float = 0.5) -> DataFrame:
     """Linking domains on an edge between platforms."""
     n = F.size(both(F.col("domains"), LINKING))
-    score = capped(n * 0.25 + 0.2) + F.when(_SENS >= 3, 0.15).otherwise(0.0)
+    score = capped(n * 0.25 + 0.2) + F.when(F.col("sens") >= 3, 0.15).otherwise(0.0)
     rows = _with_platforms(e, nodes).where((F.col("p_from") != F.col("p_to")) & (n > 0) & (score >= least))
-    return risk(rows, "deanon_platform_leakage", F.array(_TO), F.array(_ID), capped(score), "identity", "cross_platform")
+    return risk(rows, "deanon_platform_leakage", F.array(F.col("to_agent")), F.array(F.col("edge_id")), capped(score), "identity", "cross_platform")
 
 
 def behavioral_correlation(e: DataFrame, nodes: DataFrame, least: float = 0.5) -> DataFrame:

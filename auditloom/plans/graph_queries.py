@@ -198,8 +198,9 @@ def behavioral_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     CTES + """, c AS (SELECT from_agent, platform, date_part('month', ts) AS bin, count(*) AS k FROM edges JOIN nodes ON agent = to_agent GROUP BY 1, 2, 3),
     g AS (SELECT f.from_agent, f.platform, m.bin, coalesce(c.k, 0) AS k FROM (SELECT from_agent, platform, sum(k) AS n FROM c GROUP BY 1, 2 HAVING sum(k) >= 2) f CROSS JOIN (SELECT unnest(range(1, 13)) AS bin) m
       LEFT JOIN c ON c.from_agent = f.from_agent AND c.platform = f.platform AND c.bin = m.bin),
-    r AS (SELECT a.from_agent, a.platform AS p, b.platform AS q, greatest(0, CASE WHEN stddev_pop(a.k) > 0 AND stddev_pop(b.k) > 0 THEN corr(a.k, b.k) ELSE 0 END) AS c
-      FROM g a JOIN g b ON a.from_agent = b.from_agent AND a.bin = b.bin AND a.platform < b.platform GROUP BY 1, 2, 3) """
+    m AS (SELECT a.from_agent, a.platform AS p, b.platform AS q, CAST(12 * sum(a.k * b.k) - sum(a.k) * sum(b.k) AS DOUBLE) AS xy, CAST(12 * sum(a.k * a.k) - sum(a.k) * sum(a.k) AS DOUBLE) AS xx, CAST(12 * sum(b.k * b.k) - sum(b.k) * sum(b.k) AS DOUBLE) AS yy
+      FROM g a JOIN g b ON a.from_agent = b.from_agent AND a.bin = b.bin AND a.platform < b.platform GROUP BY 1, 2, 3),
+    r AS (SELECT *, greatest(0, CASE WHEN xx > 0 AND yy > 0 THEN xy / sqrt(xx * yy) ELSE 0 END) AS c FROM m) """
     + sql_flat("deanon_temporal_fingerprint", "[from_agent]", _NONE, "least(1.0, c * 0.5 + 0.2)", "'identity'", "'cross_platform'", "FROM r WHERE c >= 0.5 AND c * 0.5 + 0.2 >= 0.5")
 )
 def temporal_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

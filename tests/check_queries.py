@@ -2,8 +2,9 @@
 
 import sys
 import time
+from pathlib import Path
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
 from auditloom.session import local_session  # noqa: E402
 from tests.oracle import compare  # noqa: E402
