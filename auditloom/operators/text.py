@@ -105,7 +105,7 @@ def message_type(domains: Column, legal_branch: bool) -> Column:
     out = F.when(F.array_contains(domains, "health"), "health_info").when(F.array_contains(domains, "finance"), "financial_info")
     if legal_branch:
         out = out.when(F.array_contains(domains, "legal"), "legal_info")
-    return out.when(F.array_contains(domains, "schedule"), "scheduling").when(F.array_contains(domains, "social"), "social").otherwise("general")
+    return out.when(F.array_contains(domains, "schedule"), "schedule_info").when(F.array_contains(domains, "social"), "social_info").otherwise("general")
 
 
 # ---- similarity ----
@@ -207,3 +207,26 @@ def injection_kind(n: dict[str, Column], source: Column) -> Column:
         .when(n["delimiter_escape"] > 0, "delimiter_escape")
         .otherwise("direct")
     )
+
+
+# ---- firewall ----
+
+RULE_TAGS = {
+    "finance": ("bank", "compensation", "credit", "expense", "financial", "revenue", "salary"), "health": ("diagnosis", "health", "medical", "prescription", "treatment"),
+    "identity": ("address", "email", "name", "passport", "phone", "ssn"),
+}
+
+
+def rule_tags(rules: Column) -> Column:
+    """Tags of the matched rules, in order of name; 'general' if there are none."""
+    hit = lambda words: F.exists(rules, lambda r: F.exists(F.array(*map(F.lit, words)), lambda w: F.lower(r).contains(w)))
+    tags = F.array_compact(F.array(*[F.when(hit(w), F.lit(t)) for t, w in sorted(RULE_TAGS.items())]))
+    return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("general")))
+
+
+def firewall(text: Column, rules: list[str], abstractions: dict[str, str], mode: str = "redact", blocked: str = "[BLOCKED]") -> dict[str, Column]:
+    """decision, final text, tags and level (twice the number of matched rules, 5 at most; 1 if there is none) of a model's answer."""
+    decision, matched = gate_decision(text, rules, mode), F.concat(matched_rules(text, rules), matched_pii(text, rules))
+    final = F.when(decision == "block", blocked).when(decision == "redact", redacted(text, rules, abstractions)).otherwise(text)
+    level = F.when(F.size(matched) > 0, F.least(F.lit(5), F.size(matched) * 2)).otherwise(1)
+    return {"decision": decision, "final": final, "tags": rule_tags(matched), "level": level}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions.patterns import DOMAINS, GATE_PII, INJECTION, STRUCTURED
 from auditloom.operators import text as T
 from auditloom.registry import query
+from auditloom.sources.interaction import TYPES
 from auditloom.sources.tables import table
 
 RULES = ["token", "email", "phone", "credit card", "ip address", "ssn"]
@@ -181,3 +182,46 @@ def injection_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many patterns of all families match each page."""
     total = sum(T.family_counts(F.col("html")).values(), F.lit(0))
     return table(spark, sf_dir, "pages").select("page_id", total.cast("bigint").alias("patterns")).select("page_id", (F.col("patterns") > 0).alias("any_family"), "patterns")
+
+
+_MATCHED = f"list_filter([{', '.join(f'CASE WHEN {_sql_hit(T.rule_pattern(r))} THEN {lit(r)} END' for r in RULES)}, {', '.join(f'CASE WHEN {_sql_hit(GATE_PII[k][0])} THEN {lit(k)} END' for k in T.active_pii(RULES))}], lambda x: x IS NOT NULL)"
+_TAGGED = "[" + ", ".join(f"CASE WHEN len(list_filter(m, lambda r: {' OR '.join(f'contains(lower(r), {lit(w)})' for w in ws)})) > 0 THEN {lit(t)} END" for t, ws in sorted(T.RULE_TAGS.items())) + "]"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN len(m) > 0 THEN 'block' ELSE 'allow' END AS decision, md5(CASE WHEN len(m) > 0 THEN '[BLOCKED]' ELSE text END) AS final_md5,
+    coalesce(nullif(array_to_string(list_filter({_TAGGED}, lambda x: x IS NOT NULL), ','), ''), 'general') AS tags, CAST(CASE WHEN len(m) > 0 THEN least(5, 2 * len(m)) ELSE 1 END AS INTEGER) AS level
+    FROM (SELECT doc_id, text, {_MATCHED} AS m FROM documents)"""
+)
+def firewall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers of a model, in block mode."""
+    f = T.firewall(F.col("text"), RULES, ABSTRACTIONS, "block")
+    return table(spark, sf_dir, "documents").select("doc_id", f["decision"].alias("decision"), F.md5(f["final"]).alias("final_md5"), F.array_join(f["tags"], ",").alias("tags"), f["level"].alias("level"))
+
+
+_SCORE = f"(0.3 * {_sql_jaccard('gx', 'gy')} + 0.3 * {_sql_jaccard('list_distinct(wx)', 'list_distinct(wy)')} + 0.4 * {_sql_cosine()})"
+
+
+@query(
+    f"""SELECT level, count(*) AS pairs FROM (SELECT CASE WHEN contains(x, substr(y, 1, 12)) OR {' OR '.join(f"regexp_matches(x, {lit(p)})" for k, p in STRUCTURED.items() if k != 'credit_card')} OR {_SCORE} >= 0.72 THEN 'full' WHEN {_SCORE} >= 0.45 THEN 'partial' ELSE 'none' END AS level
+    FROM (SELECT x, y, {_sql_grams('x')} AS gx, {_sql_grams('y')} AS gy, {_sql_words('x')} AS wx, {_sql_words('y')} AS wy FROM ({_PAIRS}))) GROUP BY level"""
+)
+def tiered_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against each other: the first letters of one are a canary in the other."""
+    p = _item_pairs(spark, sf_dir)
+    fields = [F.size(T.structured_fields(F.col("x"), k)) > 0 for k in STRUCTURED if k != "credit_card"]
+    some = fields[0]
+    for f in fields[1:]:
+        some = some | f
+    level = T.tier_level(F.col("x").contains(F.substring("y", 1, 12)), some, T.combined_similarity(F.col("x"), F.col("y")))
+    return p.select(level.alias("level")).groupBy("level").agg(F.count("*").alias("pairs"))
+
+
+_TYPE = lambda legal: "CASE WHEN list_contains(d, 'health') THEN 'health_info' WHEN list_contains(d, 'finance') THEN 'financial_info' " + ("WHEN list_contains(d, 'legal') THEN 'legal_info' " if legal else "") + "WHEN list_contains(d, 'schedule') THEN 'schedule_info' WHEN list_contains(d, 'social') THEN 'social_info' ELSE 'general' END"
+
+
+@query(f"SELECT {_TYPE(True)} AS message_type, {_TYPE(False)} AS fallback_type, count(*) AS parts FROM (SELECT [CASE p_type {' '.join(f'WHEN {lit(k)} THEN {lit(v)}' for k, v in TYPES.items())} END] AS d FROM part) GROUP BY 1, 2")
+def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both paths' types of the domains of parts."""
+    d = F.array(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])[F.col("p_type")])
+    return table(spark, sf_dir, "part").groupBy(T.message_type(d, True).alias("message_type"), T.message_type(d, False).alias("fallback_type")).agg(F.count("*").alias("parts"))
