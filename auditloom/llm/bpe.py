@@ -30,11 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from auditloom.llm.common import frugal
+
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pieces that merges don't cross, with \s as Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces whose ids a task remembers before it starts anew; this bounds memory only.
-CACHE = 400_000
+CACHE = 150_000
 _LET, _NUM, _WS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 #: The same for texts without characters above U+00FF, for the faster module.
 _NARROW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LET}]+| ?[{_NUM}]+| ?[^{_WS}{_LET}{_NUM}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -106,7 +108,7 @@ class Encoder:
         key = a << 32 | b
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * CACHE:
+            if len(self.fits) > CACHE:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(a, b)
         return known
@@ -221,8 +223,10 @@ def encode_table(docs: DataFrame, path: str = VOCAB) -> DataFrame:
                     [part.column(0), pa.array(n_bytes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
                     names=["doc_id", "n_bytes", "n_tokens", "token_ids", "decoded_md5", "round_trip"],
                 )
+        enc.cache.clear()
+        enc.fits.clear()
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, token_ids array<int>, decoded_md5 string, round_trip boolean")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, token_ids array<int>, decoded_md5 string, round_trip boolean")
 
 
 def decode_table(encoded: DataFrame, path: str = VOCAB) -> DataFrame:
@@ -234,4 +238,4 @@ def decode_table(encoded: DataFrame, path: str = VOCAB) -> DataFrame:
             texts = [None if ids is None else dec.decode(ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(frugal(run), "doc_id bigint, text string")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import Table
+from auditloom.llm.common import Table, frugal
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -174,7 +174,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, set_id, n, sketch, grams) of the documents that have an id and a word."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    return texts.mapInArrow(_sets_of, "doc_id bigint, set_id bigint, n int, sketch binary, grams binary")
+    return texts.mapInArrow(frugal(_sets_of), "doc_id bigint, set_id bigint, n int, sketch binary, grams binary")
 
 
 def runs(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
@@ -329,13 +329,13 @@ def _verified(threshold: float):
             column = np.cumsum(shared) - 1
             own, column, width = own[shared[inv]], column[inv[shared[inv]]], int(shared.sum())
             common = np.zeros(len(a), np.int64)
-            step = max(64, ((1 << 27) // max(1, len(sets))) // 64 * 64)
+            step = max(64, ((1 << 25) // max(1, len(sets))) // 64 * 64)
             for at in range(0, width, step):
                 here = (column >= at) & (column < at + step)
                 bits = np.zeros((len(sets), min(step, width - at)), bool)
                 bits[own[here], column[here] - at] = True
                 bits = np.packbits(bits, axis=1)
-                rows = max(1, (1 << 24) // max(1, bits.shape[1]))
+                rows = max(1, (1 << 23) // max(1, bits.shape[1]))
                 for k in range(0, len(a), rows):
                     common[k : k + rows] += np.bitwise_count(bits[a[k : k + rows]] & bits[b[k : k + rows]]).sum(1, dtype=np.int64)
             j = common / (size[a] + size[b] - common)
@@ -350,14 +350,14 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, target: float =
     raw = Table(document_sets(docs), "path-sets")
     reps = raw.df.groupBy("set_id").agg(F.min_by(F.struct("n", "sketch"), "doc_id").alias("s")).select("set_id", "s.n", "s.sketch")
     reps = Table(reps, "path-sketches")
-    tokens = reps.df.select("set_id", "sketch").mapInArrow(_buckets_of(runs(threshold, target), threshold), "bucket bigint, pos tinyint, set_id bigint")
+    tokens = reps.df.select("set_id", "sketch").mapInArrow(frugal(_buckets_of(runs(threshold, target), threshold)), "bucket bigint, pos tinyint, set_id bigint")
     crowds = tokens.groupBy("bucket", "pos").agg(F.collect_list("set_id").alias("sets")).where(F.size("sets") > 1)
     at = F.struct("bucket", "pos")
     bit = F.when(F.col("crowd") <= LIMIT, F.expr("shiftleft(1L, cast(pos as int))")).otherwise(F.lit(0).cast("bigint"))
     member = crowds.select("bucket", "pos", F.size("sets").alias("crowd"), F.explode("sets").alias("set_id"))
     per_set = member.groupBy("set_id").agg(F.bit_or(bit).alias("small"), F.collect_list(at).alias("at"))
     rows = per_set.join(reps.df, "set_id").select(F.explode("at").alias("at"), "set_id", "n", "small", "sketch").select("at.bucket", "at.pos", "set_id", "n", "small", "sketch")
-    cands = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates_of(threshold), "a bigint, b bigint")
+    cands = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_candidates_of(threshold)), "a bigint, b bigint")
     cands = Table(cands.distinct(), "path-candidates")
     reps.drop()
     # A pair is verified with the others of its neighbourhood, so a set is sent to few places.
@@ -371,7 +371,7 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, target: float =
     sent = wanted.join(grams, ["doc_id", "set_id"]).dropDuplicates(["g", "set_id"])
     sent = sent.select("g", F.col("set_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
     both = sent.union(placed.df.select("g", "a", "b", F.lit(None).cast("binary")))
-    pairs = both.repartition("g").sortWithinPartitions("g").mapInArrow(_verified(threshold), "a bigint, b bigint, jaccard double")
+    pairs = both.repartition("g").sortWithinPartitions("g").mapInArrow(frugal(_verified(threshold)), "a bigint, b bigint, jaccard double")
     pairs = Table(pairs, "path-pairs")
     placed.drop()
     cands.drop()
@@ -421,7 +421,8 @@ def dedupe(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET
     raw.drop()
     pairs.drop()
     root.drop()
-    return docs.join(lost.df, F.col("doc_id") == F.col("__path_lost"), "left_anti")
+    gone = lost.df
+    return docs.join(gone, docs["doc_id"] == gone["__path_lost"], "left_anti")
 
 
 SQL = f"""

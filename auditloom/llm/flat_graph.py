@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import Table
+from auditloom.llm.common import Table, frugal
 from auditloom.llm.vectors import clean, distances, lists, matrix, pivots
 
 COSINE = 0.95
@@ -275,19 +275,19 @@ def _pairs(cosine: float):
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE, shard: int = SHARD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_a, vec_b, cosine) of the pairs with at least that cosine, vec_a < vec_b."""
-    unit = Table(clean(df, id_col, vec_col).mapInArrow(_unit, "id bigint, v array<float>"), "graph-unit")
+    unit = Table(clean(df, id_col, vec_col).mapInArrow(frugal(_unit), "id bigint, v array<float>"), "graph-unit")
     same = Table(unit.df.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "graph-nodes")
     unit.drop()
     n = same.df.count()
     centres = pivots(same.df.select("id", "v"), n, shard, SEED)
     if not n:
         return same.df.selectExpr("id vec_a", "id vec_b", "cast(0 as double) cosine")
-    placed = Table(same.df.select("id", "v").mapInArrow(_two_shards(centres), "shard int, id bigint, v array<float>"), "graph-shards")
+    placed = Table(same.df.select("id", "v").mapInArrow(frugal(_two_shards(centres)), "shard int, id bigint, v array<float>"), "graph-shards")
     s = len(centres)
-    lists_ = placed.df.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_graphs, "id bigint, links array<bigint>")
+    lists_ = placed.df.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(_graphs), "id bigint, links array<bigint>")
     flat = Table(lists_.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")), "graph-flat")
     both = placed.df.join(flat.df, "id").select("shard", "id", "v", "links")
-    pairs = both.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_pairs(cosine), "a bigint, b bigint, cosine double")
+    pairs = both.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(_pairs(cosine)), "a bigint, b bigint, cosine double")
     pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     members = same.df.where(F.size("ids") > 1).select("id", "ids")
     left, right = members.select(F.col("id").alias("a"), F.col("ids").alias("xs")), members.select(F.col("id").alias("b"), F.col("ids").alias("ys"))

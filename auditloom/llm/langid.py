@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import unit_hash
+from auditloom.llm.common import frugal, unit_hash
 
 UND = "und"
 HIDDEN = 8
@@ -296,7 +296,7 @@ def identify(docs: DataFrame, model: BiGRU | None = None) -> DataFrame:
                 cols += [pa.ListArray.from_arrays(pa.array(cut), flat(ends, np.int32)), pa.ListArray.from_arrays(pa.array(cut), flat(runs, np.int8))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_id", "probability", "accepted", "n_bytes", "run_ends", "run_labels"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, _OUT)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _OUT)
 
 
 def keep_identified(docs: DataFrame, model: BiGRU | None = None) -> DataFrame:
@@ -313,4 +313,4 @@ def keep_identified(docs: DataFrame, model: BiGRU | None = None) -> DataFrame:
                 yield part.filter(pa.array(good, pa.bool_()))
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(frugal(run), schema)

@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from auditloom.llm.common import frugal
+
 #: Shortest match that is kept, tokens between matches of a chain, and the part of a template that a span must cover.
 LEAST = 3
 GAP = 8
@@ -234,4 +236,4 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _OUT.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, _OUT)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _OUT)

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.llm.common import frugal
+
 #: Bytes that one compressed stream may unfold to; a larger one gives no layer (a guard against decompression bombs).
 STREAM_BYTES = 256 << 20
 
@@ -266,7 +268,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, _FOUND)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _FOUND)
 
 
 def _blank(text: str, found: list) -> str:
@@ -307,4 +309,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(frugal(run), schema)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.llm.common import frugal
+
 SEED = 77
 #: Bytes of text in a bucket.
 BUCKET_BYTES = 24 << 20
@@ -74,4 +76,4 @@ def shard(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -
                 cols += [out[c].combine_chunks() if out[c].num_chunks != 1 else out[c].chunk(0) for c in keep]
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "position", *keep])
 
-    return scattered.mapInArrow(shuffle, schema)
+    return scattered.mapInArrow(frugal(shuffle), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import Table
+from auditloom.llm.common import Table, frugal
 from auditloom.llm.vectors import clean, distances, lists, matrix, pivots
 
 K = 10
@@ -218,19 +218,19 @@ def neighbours(df: DataFrame, k: int = K, factor: float = FACTOR, shard: int = S
     centres = pivots(rows.df, n, shard, SEED)
     if not n:
         return rows.df.selectExpr("id vec_id", "array(id) neighbours", "array(cast(0 as double)) distances")
-    placed = Table(rows.df.mapInArrow(_nearest(centres), "id bigint, v array<float>, shard int, away double"), "vp-placed")
+    placed = Table(rows.df.mapInArrow(frugal(_nearest(centres)), "id bigint, v array<float>, shard int, away double"), "vp-placed")
     rows.drop()
     s = len(centres)
     radius = np.full(s, -1.0)
     for r in placed.df.groupBy("shard").agg(F.max("away").alias("r")).collect():  # a row for each shard
         radius[r["shard"]] = r["r"]
     points = placed.df.select("id", "v", "shard", F.lit(None).cast("double").alias("tau"))
-    own = Table(points.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_searched(k, factor, True), _FOUND), "vp-own")
+    own = Table(points.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(_searched(k, factor, True)), _FOUND), "vp-own")
     found = own.df.select("id", "near", "dist")
     if s > 1:
-        queries = own.df.select("id", "v", "shard", "tau").mapInArrow(_routed(centres, radius, factor), "id bigint, v array<float>, shard int, tau double")
+        queries = own.df.select("id", "v", "shard", "tau").mapInArrow(frugal(_routed(centres, radius, factor)), "id bigint, v array<float>, shard int, tau double")
         both = points.union(queries).repartitionById(s, F.col("shard")).sortWithinPartitions("shard", F.col("tau").asc_nulls_first())
-        found = found.union(both.mapInArrow(_searched(k, factor, False), _FOUND).select("id", "near", "dist"))
+        found = found.union(both.mapInArrow(frugal(_searched(k, factor, False)), _FOUND).select("id", "near", "dist"))
     one = found.select("id", F.arrays_zip(F.col("dist").alias("d"), F.col("near").alias("i")).alias("z"))
     top = one.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("z"))), 1, k).alias("z"))
     return top.select(F.col("id").alias("vec_id"), F.col("z.i").alias("neighbours"), F.col("z.d").alias("distances"))

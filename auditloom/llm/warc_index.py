@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from auditloom.llm.common import Table
+from auditloom.llm.common import Table, frugal
 
 YEAR_S = 365 * 86400
 START_S = 1704067200
@@ -138,7 +138,7 @@ def merge_index(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     order = ["urlkey", "ts", "page_id", "digest"]
     runs = Table(captures(pages).withColumn("run", F.spark_partition_id()).sortWithinPartitions(*order), "warc-runs")
-    merged = Table(runs.df.repartitionByRange(*order).mapInArrow(_merge, _OUT), "warc-merged")
+    merged = Table(runs.df.repartitionByRange(*order).mapInArrow(frugal(_merge), _OUT), "warc-merged")
     runs.drop()
     m = merged.df
     # A row for each (range, URL): what a URL has in earlier ranges, and where each range begins.
