@@ -15,7 +15,7 @@ Defined results: a null source is a source of its own, with its name staying nul
 costs nothing and is taken with its neighbours in key order; rows of a source without any token are taken once. A null id counts as one id. Equal keys are
 ordered by id (nulls first), then token count; rows that repeat an id and a text share one decision only if both are
 within the target. A null or non-positive weight counts as 1. An empty table gives an empty result.
-Extra columns are kept by ``mix`` whatever their names; its own columns begin with ``__mix_``.
+Extra columns are kept by ``mix`` whatever their names: a row travels as one struct.
 """
 
 from __future__ import annotations
@@ -49,14 +49,14 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """docs with __mix_n (tokens), __mix_w (weight) and __mix_key."""
-    out = docs.withColumns({"__mix_id": F.col("doc_id"), "__mix_n": token_count()})
+    """__mix_row (the row of docs as it is, so no column of docs can clash), source, __mix_id, __mix_n (tokens), __mix_w (weight) and __mix_key."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), "source", F.col("doc_id").alias("__mix_id"), token_count().alias("__mix_n"))
     if labels is not None:
         out = out.join(quality_weights(labels), "__mix_id", "left")
     else:
         out = out.withColumn("__mix_w", F.lit(1.0))
     out = out.withColumn("__mix_w", F.when(F.col("__mix_w") > 0, F.col("__mix_w")).otherwise(1.0))
-    return out.withColumn("__mix_key", -F.ln(unit_hash(seed, F.col("doc_id"))) / F.col("__mix_w"))
+    return out.withColumn("__mix_key", -F.ln(unit_hash(seed, F.col("__mix_id"))) / F.col("__mix_w"))
 
 
 def _range(buckets: int) -> Column:
@@ -104,7 +104,7 @@ def boundaries(slim: DataFrame, budget: int | None, temperature: float, buckets:
 
 
 def decide(docs: DataFrame, labels: DataFrame | None = None, budget: int | None = None, temperature: float = TEMPERATURE, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
-    """docs with __mix_n, __mix_w and __mix_copies: how often the mixture takes each row, 0 included.
+    """The columns of ``keyed`` and __mix_copies: how often the mixture takes each row, 0 included.
 
     budget: tokens of the mixture; all tokens of docs if None.
     """
@@ -125,12 +125,12 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, budget: int | None = N
     """The mixture: the rows and columns of docs, each row as often as it is taken."""
     taken = decide(docs, labels, budget, temperature, buckets, seed).where("__mix_copies > 0")
     again = taken.withColumn("__mix_again", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return again.select("__mix_row.*")
 
 
 def report(docs: DataFrame, labels: DataFrame | None = None, **kw) -> DataFrame:
     """One row for each row of docs: doc_id, source, n_tokens, weight, copies."""
-    return decide(docs, labels, **kw).select("doc_id", "source", F.col("__mix_n").alias("n_tokens"), F.col("__mix_w").alias("weight"), F.col("__mix_copies").alias("copies"))
+    return decide(docs, labels, **kw).select(F.col("__mix_id").alias("doc_id"), "source", F.col("__mix_n").alias("n_tokens"), F.col("__mix_w").alias("weight"), F.col("__mix_copies").alias("copies"))
 
 
 SQL = f"""
