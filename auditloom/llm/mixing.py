@@ -9,7 +9,7 @@ documents whose inclusive prefix sum stays within it.
 No source is sorted in one task. Keys are cut into ranges by a monotone map into ``buckets``, the
 ranges' token totals are accumulated, and only the one range in which the target falls is
 ordered exactly, so a hot source is no straggler. The decision is then a comparison with one boundary for each
-source: the documents themselves are never shuffled.
+source: the documents are shuffled once, by id, to meet their weights, and not at all if there are no labels.
 
 Defined results: a null source is a source of its own, with its name staying null. A null or blank text has 0 tokens; it
 costs nothing and is taken with its neighbours in key order; rows of a source without any token are taken once. A null id counts as one id. Equal keys are
@@ -52,7 +52,8 @@ def keyed(docs: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
     """__mix_row (the row of docs as it is, so no column of docs can clash), source, __mix_id, __mix_n (tokens), __mix_w (weight) and __mix_key."""
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"), "source", F.col("doc_id").alias("__mix_id"), token_count().alias("__mix_n"))
     if labels is not None:
-        out = out.join(quality_weights(labels), "__mix_id", "left")
+        # One plan at every size: weights grow with the documents, so they aren't broadcast while they happen to be few.
+        out = out.join(quality_weights(labels).hint("merge"), "__mix_id", "left")
     else:
         out = out.withColumn("__mix_w", F.lit(1.0))
     out = out.withColumn("__mix_w", F.when(F.col("__mix_w") > 0, F.col("__mix_w")).otherwise(1.0))
