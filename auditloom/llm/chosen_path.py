@@ -52,7 +52,7 @@ _P = _U(0x9E3779B97F4A7C15)
 _P_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MUL = _RNG.integers(1, 2**63, T_).astype(_U) * _U(2) + _U(1)
 _ADD = _RNG.integers(1, 2**63, T_).astype(_U)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
