@@ -6,8 +6,8 @@ to a gzip, zlib, bzip2, xz or zstandard stream gives a layer of its own. New lay
 before is not taken again, so cycles end. Each layer carries a map to the characters of the text it came from, so a finding has a
 span in the original.
 
-Whole batches are first looked through in numpy: every rule and every decoder needs a run of 16 base64 characters or
-one of a few bytes, and rows that have neither cannot match, so they are left out exactly. Rows are independent: the scan is a narrow map.
+Whole batches are first looked through in numpy: every rule and every decoder needs a run of 16 base64 characters, a line of 40 with another below it or
+one of a few byte strings, and rows that have none of them cannot match, so they are left out exactly. Rows are independent: the scan is a narrow map.
 
 Defined results: a null or empty text has no findings and is kept as it is by ``redact``. Repeated rows repeat their findings. An empty table
 gives none. A broken or truncated stream gives no layer. Overlapping findings in one layer count as the longest, then the first rule.
@@ -54,7 +54,7 @@ RULES: list[tuple[str, re.Pattern]] = [
     ("assigned_quoted", re.compile(rf"(?i)(?<![A-Za-z0-9]){_KEY}[\"']?\s*(?:[:=]|=>)\s*([\"'])[^\"'\s]{{8,}}\1")),
     ("assigned", re.compile(rf"(?i)(?<![A-Za-z0-9]){_KEY}\s*[:=]\s*(?=[A-Za-z_./+-]*[0-9])[A-Za-z0-9_./+=-]{{12,}}")),
 ]
-#: Found inside a run of 16 base64 characters of either alphabet by every rule that needs neither ':', '=' nor a dash of five.
+#: Found inside a run of 16 base64 characters of either alphabet by every rule that needs neither a sign nor one of _DENSE.
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|AIza|[rsp]k_(?:live|test)_|sk-|eyJ")
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -65,7 +65,8 @@ _B64 = np.zeros(256, bool)
 _B64[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in ":=%\\"]] = True
-_DENSE = [b"&#", b"-----BEGIN"]
+#: The last two are of rules that match shorter runs: a Slack token has 15 characters at least, a part of a JWT 11.
+_DENSE = [b"&#", b"-----BEGIN", b"xox", b"eyJ"]
 
 
 def _escape(m: re.Match) -> str:
@@ -233,6 +234,9 @@ def suspects(data: np.ndarray, starts: np.ndarray, texts: list[str | None]) -> l
     edge = np.unique(np.concatenate([[0], edge, starts, [len(data)]]))
     size = np.diff(edge)
     long = np.flatnonzero((size >= 16) & inside[np.minimum(edge[:-1], len(data) - 1)])
+    lines = edge[long[size[long] >= 40] + 1]  # where long runs end: _LINES joins those that a line break follows
+    lines = lines[lines < len(data)]
+    hit[row_of(lines[(data[lines] == 10) | (data[lines] == 13)])] = True
     for k, r in zip(long.tolist(), row_of(edge[long]).tolist()):
         if hit[r]:
             continue

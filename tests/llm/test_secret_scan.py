@@ -70,6 +70,17 @@ def test_prefilter_leaves_out_no_row_with_findings(spark):
     assert len({r[0] for r in got}) == len(texts) - 20
 
 
+def test_prefilter_keeps_wrapped_layers_and_the_shortest_tokens(spark):
+    packs = (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress)
+    runs = [run for i in range(12) for pack in packs if "=" not in (run := b64(pack(f"{prose(i, 30 + i)} {KEY}".encode())))]
+    texts = [f"see\n{end.join(run[a : a + width] for a in range(0, len(run), width))}" for run in runs for width in (64, 76) for end in ("\n", "\r\n")]
+    texts += ["a xoxb-123456789a b", "a eyJabcdefgh.eyJabcdefgh.abcdefgh b"]
+    assert len(runs) > 10 and not any(set(":=%\\") & set(t) for t in texts)
+    want = sorted((i, *f) for i, t in enumerate(texts) for f in findings(t))
+    assert {r[0] for r in want} == set(range(len(texts)))
+    assert sorted(tuple(r) for r in secret_scan.scan(plain(spark, list(enumerate(texts)))).collect()) == want
+
+
 def test_redact_removes_secrets_only(spark):
     data = [(1, f"key {KEY} end"), (2, prose(2, 30)), (3, None), (4, ""), (None, f"t {TOKEN}"), (1, f"key {KEY} end"), (6, prose(6, 40_000) + f" {KEY}")]
     got = {(r.doc_id, r.text, r.n_chars) for r in secret_scan.redact(plain(spark, data)).collect()}
