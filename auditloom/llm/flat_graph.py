@@ -7,6 +7,10 @@ searched for in both of its shards: a greedy beam search from the medoid, and fr
 follows all edges until no node within the radius is new. In each shard the recall of a sample of searches is audited against brute force; while it is below
 ``RECALL``, the beam is doubled and the shard is searched again. Pairs that were found are verified by their exact cosine.
 
+Two near vectors may share no shard, the more so the more pivots there are. So where there are several shards, what was found is audited again, against brute force of a sample
+over all vectors: while the recall of the pairs near the threshold or of the closer ones is below ``RECALL``, another round is made with other pivots,
+and its pairs are added.
+
 Equal vectors are one node and are paired at the end.
 
 Defined results: rows that ``vectors.clean`` leaves out, and zero vectors, are in no pair. An id is once in the table, by the rule of ``vectors.clean``. An empty
@@ -16,13 +20,14 @@ table gives no pairs. Only the id and vector columns are read; other columns, wh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import Table, frugal
+from auditloom.llm.common import Table, frugal, unit_hash
 from auditloom.llm.vectors import clean, distances, lists, matrix, pivots
 
 COSINE = 0.95
@@ -32,6 +37,8 @@ NEAR, RANDOM, DEGREE, ALPHA = 40, 16, 32, 1.2
 BEAM = 48
 #: Searches audited in a shard, and the recall that they must reach.
 AUDIT, RECALL = 256, 0.98
+#: Vectors compared with all others after each round.
+AUDIT_ALL = 2048
 SEED = 23
 
 
@@ -273,22 +280,77 @@ def _pairs(cosine: float):
     return run
 
 
+def _round(nodes: DataFrame, n: int, shard: int, seed: int, cosine: float) -> tuple[DataFrame, int]:
+    """(a, b, cosine) of the pairs found in the shards of one draw of pivots, and the number of shards."""
+    centres = pivots(nodes, n, shard, seed)
+    placed = Table(nodes.mapInArrow(frugal(_two_shards(centres)), "shard int, id bigint, v array<float>"), "graph-shards")
+    s = len(centres)
+    lists_ = placed.df.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(_graphs), "id bigint, links array<bigint>")
+    flat = Table(lists_.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")), "graph-flat")
+    both = placed.df.join(flat.df, "id").select("shard", "id", "v", "links")
+    pairs = both.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(_pairs(cosine)), "a bigint, b bigint, cosine double")
+    return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), s
+
+
+def _against(ids: np.ndarray, x: np.ndarray, cosine: float):
+    """Pairs of the given vectors with those of a batch, by brute force."""
+    wide = x.astype(np.float64)
+    wide /= np.sqrt((wide * wide).sum(1))[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                other, v = part.column(0).to_numpy(), matrix(part.column(1))
+                near = np.nonzero(v @ x.T >= cosine - 1e-5)
+                for k in range(0, len(near[0]), 1 << 16):
+                    i, j = near[0][k : k + (1 << 16)], near[1][k : k + (1 << 16)]
+                    u = v[i].astype(np.float64)
+                    c = (u * wide[j]).sum(1) / np.sqrt((u * u).sum(1))
+                    ok = (c >= cosine) & (other[i] != ids[j])
+                    a, b = other[i[ok]], ids[j[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c[ok])], names=["a", "b", "cosine"])
+
+    return run
+
+
+def _sampled_pairs(nodes: DataFrame, n: int, cosine: float) -> DataFrame:
+    """(a, b, cosine) of all pairs that a sample of AUDIT_ALL vectors is in, in whatever shards they are."""
+    share = min(1.0, (AUDIT_ALL + 4 * AUDIT_ALL**0.5) / n)
+    drawn = nodes.withColumn("u", unit_hash(SEED - 1, F.col("id"))).where(F.col("u") < share).orderBy("u", "id").limit(AUDIT_ALL).collect()
+    ids, x = np.array([r["id"] for r in drawn], np.int64), np.array([r["v"] for r in drawn], np.float32)
+    return nodes.mapInArrow(frugal(_against(ids, x, cosine)), "a bigint, b bigint, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def audited(pairs: DataFrame, true: DataFrame, cosine: float) -> float:
+    """The share of true pairs that were found: the smaller one of those in the half next to the threshold and of those closer; 1 where there are none."""
+    near = (F.col("cosine") < (1 + cosine) / 2).alias("near")
+    got = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy(near).agg((F.count("hit") / F.count("*")).alias("recall"))
+    return min([r["recall"] for r in got.collect()], default=1.0)
+
+
 def near_duplicates(df: DataFrame, cosine: float = COSINE, shard: int = SHARD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_a, vec_b, cosine) of the pairs with at least that cosine, vec_a < vec_b."""
     unit = Table(clean(df, id_col, vec_col).mapInArrow(frugal(_unit), "id bigint, v array<float>"), "graph-unit")
     same = Table(unit.df.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "graph-nodes")
     unit.drop()
     n = same.df.count()
-    centres = pivots(same.df.select("id", "v"), n, shard, SEED)
     if not n:
         return same.df.selectExpr("id vec_a", "id vec_b", "cast(0 as double) cosine")
-    placed = Table(same.df.select("id", "v").mapInArrow(frugal(_two_shards(centres)), "shard int, id bigint, v array<float>"), "graph-shards")
-    s = len(centres)
-    lists_ = placed.df.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(_graphs), "id bigint, links array<bigint>")
-    flat = Table(lists_.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")), "graph-flat")
-    both = placed.df.join(flat.df, "id").select("shard", "id", "v", "links")
-    pairs = both.repartitionById(s, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(_pairs(cosine)), "a bigint, b bigint, cosine double")
-    pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    nodes = same.df.select("id", "v")
+    rounds: list[Table] = []
+    true: Table | None = None
+    while True:
+        found, s = _round(nodes, n, shard, SEED + len(rounds), cosine)
+        rounds.append(Table(found, "graph-pairs"))
+        pairs = reduce(DataFrame.union, [t.df for t in rounds]).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+        if s == 1:  # every two vectors were in one shard
+            break
+        true = true or Table(_sampled_pairs(nodes, n, cosine), "graph-audit")
+        if audited(pairs, true.df, cosine) >= RECALL:
+            break
+    if true:
+        true.drop()
     members = same.df.where(F.size("ids") > 1).select("id", "ids")
     left, right = members.select(F.col("id").alias("a"), F.col("ids").alias("xs")), members.select(F.col("id").alias("b"), F.col("ids").alias("ys"))
     across = pairs.join(left, "a", "left").join(right, "b", "left").withColumn("x", F.explode(F.coalesce("xs", F.array("a")))).select("x", F.explode(F.coalesce("ys", F.array("b"))).alias("y"), "cosine")

@@ -69,6 +69,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert len(want) > 1000 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_near_duplicates_in_many_shards_are_found_across_them(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    x = unit(rng.standard_normal((2000, 64)))
+    off = rng.standard_normal((2000, 64))
+    off = unit(off - (off * x).sum(1)[:, None] * x)
+    x = np.concatenate([x, 0.955 * x + (1 - 0.955**2) ** 0.5 * off]).astype(np.float32)
+    want = exact_pairs(x, 0.95)
+    got = {(r.vec_a, r.vec_b) for r in flat_graph.near_duplicates(frame(spark, list(enumerate(x))), shard=32).collect()}
+    assert len(want) == 2000 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_near_duplicates_of_odd_rows_and_equal_vectors(spark):
     x = clusters(40, centres=40)
     rows = [*enumerate(x), (100, x[0]), (101, x[0]), (101, x[0]), *ODD]
