@@ -4,7 +4,10 @@ Vectors go to the shard of their nearest pivot. A shard's tree halves its points
 descends to its own leaf first, then sweeps the tree, leaving out a child whose triangle-inequality bound is above ``FACTOR``
 times its present k-th distance. A factor of one restores exact search; a smaller one prunes more. The same rule, with the bounds of a
 shard's ball and of the plane between two pivots, decides which other shards a query is sent to after its own
-has given a first k-th distance. Whole batches of queries are taken through the tree together.
+has given a first k-th distance. Whole batches of queries are taken through the tree together. Candidates are those within the
+k-th distance and the error of single precision; they are ranked by their exact distance and id.
+
+Equal vectors are one node, with the smallest of their ids, and are neighbours of each other at the end.
 
 Every vector is a query. Its neighbours are the ``k`` others with the smallest Euclidean distance, in that order, ties by id.
 
@@ -30,13 +33,20 @@ FACTOR = 0.5
 SHARD = 16384
 LEAF = 256
 BATCH = 1024
+#: Candidates whose exact distances are computed at once.
+PAIRS = 1 << 16
 SEED = 5
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a, or of one vector, from the rows of b in double precision."""
+    return np.sqrt(((a.astype(np.float64) - b) ** 2).sum(1))
+
+
 class VPTree:
     """Nodes: (vantage point, least and most distance on the left, on the right, children) or a range of leaf rows."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF, seed: int = SEED):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF, seed: int = SEED):
         self.x, self.leaf = x, leaf
         self.rng = np.random.default_rng(seed)
         self.order: list[np.ndarray] = []
@@ -45,6 +55,7 @@ class VPTree:
         self.rows = np.concatenate(self.order) if self.order else np.empty(0, np.int64)
         self.data = x[self.rows]
         self.norm = (self.data * self.data).sum(1)
+        self.ids = ids[self.rows]
 
     def _build(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
@@ -52,7 +63,7 @@ class VPTree:
             self.size += len(rows)
             return (self.size - len(rows), self.size)
         vp = self.x[rows[self.rng.integers(len(rows))]]
-        d = np.sqrt(distances(vp[None], self.x[rows])[0])
+        d = _exact(vp, self.x[rows])
         half = len(rows) // 2
         by = np.argpartition(d, half)
         lo, hi = by[:half], by[half:]
@@ -60,13 +71,14 @@ class VPTree:
         return (vp, bounds, self._build(rows[lo]), self._build(rows[hi]))
 
     def search(self, q: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, squared distances), each (queries, k), in no order; row -1 at infinity where there are fewer. bound: distances beyond which nothing is asked for."""
-        best = np.full((len(q), k), np.inf, np.float32)
+        """(rows, distances), each (queries, k), by distance and id; row -1 at infinity where there are fewer. bound: distances beyond which nothing is asked for."""
+        best = np.full((len(q), k), np.inf)
         found = np.full((len(q), k), -1, np.int64)
-        tau = np.full(len(q), np.inf, np.float32) if bound is None else bound.astype(np.float32) ** 2 * np.float32(1 + 1e-5)
+        tau = np.full(len(q), np.inf) if bound is None else bound.astype(np.float64)
         if self.root is None:
             return found, best
         qn = (q * q).sum(1)
+        slack = (q.shape[1] + 4) * 2.0**-23 * (qn + self.norm.max())  # bound of the error of squared distances in single precision
         done = np.full(len(q), -1)
 
         def leaf(node, at: np.ndarray) -> None:
@@ -75,22 +87,30 @@ class VPTree:
             d *= -2
             d += qn[at][:, None]
             d += self.norm[None, a:b]
-            better = np.flatnonzero(d.min(1) < tau[at])
+            most = tau[at] ** 2 + slack[at]
+            better = np.flatnonzero(d.min(1) <= most)
             if not len(better):
                 return
-            at, d = at[better], d[better]
-            both = np.concatenate([best[at], np.maximum(d, 0)], 1)
-            top = np.argpartition(both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.broadcast_to(np.arange(both.shape[1]), both.shape)
-            rows = np.concatenate([found[at], np.broadcast_to(np.arange(a, b), d.shape)], 1)
-            best[at] = np.take_along_axis(both, top, 1)
-            found[at] = np.take_along_axis(rows, top, 1)
-            tau[at] = np.minimum(tau[at], best[at].max(1))
+            at, d, most = at[better], d[better], most[better]
+            if b - a > k:
+                most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * slack[at])
+            who, row = np.nonzero(d <= most[:, None])
+            row += a
+            far = np.concatenate([_exact(self.data[row[c : c + PAIRS]], q[at[who[c : c + PAIRS]]]) for c in range(0, len(row), PAIRS)])
+            near = far <= tau[at[who]]
+            who, row, far = np.concatenate([np.repeat(np.arange(len(at)), k), who[near]]), np.concatenate([found[at].reshape(-1), row[near]]), np.concatenate([best[at].reshape(-1), far[near]])
+            order = np.lexsort((self.ids[row], far, who))
+            who = who[order]
+            order = order[np.arange(len(who)) - np.searchsorted(who, who) < k]  # a query has k entries at least, if only empty ones
+            best[at], found[at] = far[order].reshape(-1, k), row[order].reshape(-1, k)
+            tau[at] = np.minimum(tau[at], best[at, -1])
 
         def away(node, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Bounds below the distances to all of the left and the right child."""
             vp, (a, b, c, e), _, _ = node
-            d = np.sqrt(distances(q[at], vp[None])[:, 0])
-            return np.maximum(0, np.maximum(a - d, d - b)), np.maximum(0, np.maximum(c - d, d - e))
+            d = _exact(vp, q[at])
+            least = lambda lo, hi: np.maximum(0, np.maximum(lo - d, d - hi) - 1e-12 * (d + hi))
+            return least(a, b), least(c, e)
 
         def descend(node, at: np.ndarray) -> None:
             if not len(at):
@@ -113,8 +133,8 @@ class VPTree:
                     leaf(node, rest)
                 return
             left, right = away(node, at)
-            sweep(node[2], at[left <= factor * np.sqrt(tau[at])])
-            sweep(node[3], at[right <= factor * np.sqrt(tau[at])])
+            sweep(node[2], at[left <= factor * tau[at]])
+            sweep(node[3], at[right <= factor * tau[at]])
 
         descend(self.root, np.arange(len(q)))
         sweep(self.root, np.arange(len(q)))
@@ -123,11 +143,12 @@ class VPTree:
 
 def _nearest(centres: np.ndarray):
     """Adds the shard (nearest pivot) and the distance from it."""
+    centres = centres.astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(matrix(batch.column(1)), centres)
+                d = distances(matrix(batch.column(1)).astype(np.float64), centres)
                 s = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(s)), s]).astype(np.float64))], names=["id", "v", "shard", "away"])
 
@@ -136,6 +157,7 @@ def _nearest(centres: np.ndarray):
 
 def _routed(centres: np.ndarray, radius: np.ndarray, factor: float):
     """A query for every other shard that may hold something nearer than its k-th neighbour so far."""
+    centres = centres.astype(np.float64)
     apart = np.sqrt(distances(centres, centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +165,11 @@ def _routed(centres: np.ndarray, radius: np.ndarray, factor: float):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 home, tau = part.column(2).to_numpy(), part.column(3).to_numpy()
-                d2 = distances(matrix(part.column(1)), centres)
+                d2 = distances(matrix(part.column(1)).astype(np.float64), centres)
                 plane = (d2 - d2[np.arange(len(home)), home][:, None]) / np.maximum(2 * apart[home], 1e-9)
                 least = np.maximum(np.sqrt(d2) - radius[None, :], plane)
-                who, where = np.nonzero((least <= factor * tau[:, None]) & (np.arange(len(centres))[None, :] != home[:, None]) & (radius >= 0)[None, :])
+                slack = 1e-6 * np.sqrt(d2.max(1))  # rounding, so that ties at the bound are kept
+                who, where = np.nonzero((least <= (factor * tau + slack)[:, None]) & (np.arange(len(centres))[None, :] != home[:, None]) & (radius >= 0)[None, :])
                 sent = part.take(pa.array(who))
                 yield pa.RecordBatch.from_arrays([sent.column(0), sent.column(1), pa.array(where.astype(np.int32)), sent.column(3)], names=["id", "v", "shard", "tau"])
 
@@ -157,12 +180,9 @@ def _searched(k: int, factor: float, own: bool):
     """Shards come one after another, points (tau null) before queries; own: the points are the queries."""
 
     def answers(tree: VPTree, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, shard: int, bound) -> pa.RecordBatch:
-        rows, _ = tree.search(q, k + 1, factor, bound)
+        rows, exact = tree.search(q, k + 1, factor, bound)
         rows = np.where(ids[rows] == qid[:, None], -1, rows)  # not itself
-        exact = np.sqrt(((tree.x[rows].astype(np.float64) - q[:, None].astype(np.float64)) ** 2).sum(2))
         exact[rows < 0] = np.inf
-        if bound is not None:
-            exact[exact > bound[:, None]] = np.inf
         order = np.lexsort((ids[rows], exact), axis=1)[:, :k]
         exact, rows = np.take_along_axis(exact, order, 1), np.take_along_axis(rows, order, 1)
         good = np.isfinite(exact)
@@ -191,7 +211,8 @@ def _searched(k: int, factor: float, own: bool):
                 elif held or tree is not None:
                     if tree is None:
                         t = pa.Table.from_batches(held)
-                        ids, tree, held = t["id"].to_numpy(), VPTree(matrix(t["v"])), []
+                        ids = t["id"].to_numpy()
+                        tree, held = VPTree(matrix(t["v"]), ids), []
                     for at in range(0, part.num_rows, BATCH):
                         p = part.slice(at, BATCH)
                         yield answers(tree, ids, matrix(p.column(1)), p.column(0).to_numpy(), int(shard), p.column(3).to_numpy())
@@ -201,7 +222,7 @@ def _searched(k: int, factor: float, own: bool):
     def whole(held: list, shard: int) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         ids, x = t["id"].to_numpy(), matrix(t["v"])
-        tree = VPTree(x)
+        tree = VPTree(x, ids)
         for at in range(0, len(x), BATCH):
             yield answers(tree, ids, x[at : at + BATCH], ids[at : at + BATCH], int(shard), None)
 
@@ -211,15 +232,27 @@ def _searched(k: int, factor: float, own: bool):
 _FOUND = "id bigint, near array<bigint>, dist array<double>, shard int, tau double, v array<float>"
 
 
+def _expanded(top: DataFrame, many: DataFrame, k: int) -> DataFrame:
+    """(id, z) of all vectors, from the k nearest nodes of each node and the ids of the nodes that are several vectors. Of a node, no more than its first k ids can be among k neighbours."""
+    first = many.select(F.col("id").alias("i"), F.slice("ids", 1, k).alias("xs"))
+    each = top.select("id", F.explode_outer("z").alias("n")).select("id", F.col("n.d").alias("d"), F.col("n.i").alias("i")).join(first, "i", "left")
+    members = F.transform(F.coalesce("xs", F.array("i")), lambda x: F.struct(F.col("d").alias("d"), x.alias("i")))
+    z = each.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("i").isNotNull(), members)))), 1, k).alias("z"))
+    z = z.join(many, "id", "left").select("z", F.slice("ids", 1, k + 1).alias("xs"), F.explode(F.coalesce("ids", F.array("id"))).alias("id"))
+    own = F.expr("transform(filter(coalesce(xs, array(id)), x -> x <> id), x -> named_struct('d', 0D, 'i', x))")
+    return z.select("id", F.slice(F.array_sort(F.concat(own, "z")), 1, k).alias("z"))
+
+
 def neighbours(df: DataFrame, k: int = K, factor: float = FACTOR, shard: int = SHARD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, neighbours array<bigint>, distances array<double>), nearest first, of every vector."""
-    rows = Table(clean(df, id_col, vec_col), "vp-vectors")
-    n = rows.df.count()
-    centres = pivots(rows.df, n, shard, SEED)
+    equal = clean(df, id_col, vec_col).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    rows = Table(equal.select(F.col("ids")[0].alias("id"), "v", "ids"), "vp-vectors")
+    nodes = rows.df.select("id", "v")
+    n = nodes.count()
+    centres = pivots(nodes, n, shard, SEED)
     if not n:
         return rows.df.selectExpr("id vec_id", "array(id) neighbours", "array(cast(0 as double)) distances")
-    placed = Table(rows.df.mapInArrow(frugal(_nearest(centres)), "id bigint, v array<float>, shard int, away double"), "vp-placed")
-    rows.drop()
+    placed = Table(nodes.mapInArrow(frugal(_nearest(centres)), "id bigint, v array<float>, shard int, away double"), "vp-placed")
     s = len(centres)
     radius = np.full(s, -1.0)
     for r in placed.df.groupBy("shard").agg(F.max("away").alias("r")).collect():  # a row for each shard
@@ -233,6 +266,11 @@ def neighbours(df: DataFrame, k: int = K, factor: float = FACTOR, shard: int = S
         found = found.union(both.mapInArrow(frugal(_searched(k, factor, False)), _FOUND).select("id", "near", "dist"))
     one = found.select("id", F.arrays_zip(F.col("dist").alias("d"), F.col("near").alias("i")).alias("z"))
     top = one.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("z"))), 1, k).alias("z"))
+    many = rows.df.where(F.size("ids") > 1).select("id", "ids")
+    if many.count():
+        top = _expanded(top, many, k)
+    else:
+        rows.drop()
     return top.select(F.col("id").alias("vec_id"), F.col("z.i").alias("neighbours"), F.col("z.d").alias("distances"))
 
 

@@ -54,6 +54,20 @@ def test_neighbours_of_odd_rows_and_ties(spark):
     assert len(one) == 1 and one[0].neighbours == []
 
 
+def test_ties_go_by_id_in_large_groups_of_copies_and_among_equal_distances(spark):
+    rng = np.random.default_rng(4)
+    x = clusters(700)
+    x[rng.permutation(700)[:150]] = np.repeat(x[:3], 50, 0)  # three groups of copies
+    grid = np.zeros((500, 24), np.float32)
+    grid[:, :3] = 40 + rng.permutation(np.stack(np.meshgrid(*[range(8)] * 3), -1).reshape(-1, 3))[:500]  # unlike vectors at equal distances
+    x = np.concatenate([x, grid])
+    want = exact_neighbours(x, 10)
+    for shard in (5000, 250):
+        got = {r.vec_id: r for r in vptree.neighbours(frame(spark, list(enumerate(x))), k=10, factor=1.0, shard=shard).collect()}
+        assert len(got) == len(x)
+        assert all(got[i].neighbours == [j for j, _ in w] and np.allclose(got[i].distances, [d for _, d in w], atol=1e-9) for i, w in enumerate(want))
+
+
 def exact_pairs(x, cosine):
     u = x.astype(np.float64)
     u /= np.sqrt((u * u).sum(1))[:, None]
