@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.patterns import DOMAINS, GATE_PII, INJECTION, ROUTING_CONTEXT, STRUCTURED
@@ -140,6 +140,39 @@ def combined_similarity(a: Column, b: Column) -> Column:
     return 0.3 * jaccard(char_grams(a), char_grams(b)) + 0.3 * jaccard(F.array_distinct(wa), F.array_distinct(wb)) + 0.4 * term_cosine(wa, wb)
 
 
+#: Terms that stand for each other, by domain; an item belongs to the first group that has it.
+DOMAIN_SYNONYMS = {
+    "cancer": "malignant|tumor|neoplasm|oncology|carcinoma|metastatic|malignancy|chemotherapy|radiation therapy|biopsy",
+    "diagnosis": "condition|assessment|clinical finding|prognosis|medical determination",
+    "medication": "prescription|drug|pharmaceutical|treatment regimen|dosage|SSRI|antidepressant",
+    "mental health": "psychiatric|psychological|depression|anxiety|bipolar|schizophrenia|therapy sessions|SSRI|antidepressant|counseling",
+    "hiv": "hiv status|hiv positive|aids|retroviral|immunodeficiency",
+    "pregnancy": "expecting|prenatal|gestational|trimester|maternity",
+    "disability": "impairment|handicap|accessibility needs|accommodation required",
+    "substance abuse": "addiction|rehab|recovery program|detox|sobriety",
+    "salary": "compensation|pay|earnings|income|wage|remuneration|take-home|six figures|annual package",
+    "bank account": "checking account|savings account|account balance|account number|routing number|wire details",
+    "credit score": "credit rating|FICO score|creditworthiness|credit report|credit history",
+    "debt": "outstanding balance|loan amount|owed|delinquent|collections|bankruptcy",
+    "investment": "portfolio|holdings|securities|stock position|trading account",
+    "arrest": "criminal record|conviction|charges|indictment|detained|incarcerated",
+    "lawsuit": "litigation|legal proceedings|court case|plaintiff|defendant",
+    "immigration status": "visa status|undocumented|deportation|asylum|green card|work permit",
+    "domestic violence": "restraining order|protective order|abuse|shelter",
+    "ssn": "social security|social security number|government ID|tax ID|TIN",
+    "date of birth": "birthday|DOB|born on|birth date|age",
+    "home address": "residential address|street address|domicile|mailing address|where they live",
+    "phone number": "cell number|mobile number|contact number|telephone|can be reached at",
+    "email": "email address|electronic mail|inbox|can be emailed at",
+    "termination": "fired|let go|dismissed|laid off|separation|involuntary departure",
+    "performance review": "evaluation|appraisal|performance rating|review score|PIP",
+    "disciplinary": "written warning|reprimand|corrective action|conduct violation",
+    "biometric": "fingerprint|face scan|retinal scan|voiceprint|biometric template",
+    "genetic": "DNA|genome|genetic test|hereditary|gene sequence|23andMe",
+    "minor": "child|underage|juvenile|student under 13|COPPA",
+}
+
+
 def synonym_score(text: Column, item: Column, group: Column) -> Column:
     """1 if the item is in the text, 0.85 if another term of its group is, else the combined similarity."""
     low = F.lower(text)
@@ -155,6 +188,44 @@ def tier_level(canary: Column, structured: Column, score: Column, judge: Column
     return out.when(score >= partial, "partial").otherwise("none")
 
 
+def synonym_group(item: Column) -> Column:
+    """All terms of the first group of DOMAIN_SYNONYMS that has the item; none for an item of no group."""
+    of: dict[str, list[str]] = {}
+    for key, others in DOMAIN_SYNONYMS.items():
+        terms = [t.lower() for t in (key, *others.split("|"))]
+        for t in terms:
+            of.setdefault(t, terms)
+    groups = F.create_map(*[x for t, g in of.items() for x in (F.lit(t), F.array(*map(F.lit, g)))])
+    return F.coalesce(F.element_at(groups, F.lower(item)), F.array().cast("array<string>"))
+
+
+def detect_items(messages: DataFrame, items: DataFrame, structured: Column, full: float = 0.72, partial: float = 0.45) -> DataFrame:
+    """(message, level, tier, score, best_item, matches): each message (message, text) against all items (item_id, item). Whole items are canaries,
+    structured says of a message whether it holds a structured field; best_item and matches, how many items reach the lower threshold, are of the third tier.
+    Grams, words and norms are made once for each message and item, not for each pair."""
+
+    def parts(df: DataFrame, text: str, p: str) -> DataFrame:
+        df = df.withColumns({f"{p}g": char_grams(F.col(text)), f"{p}w": words(F.col(text)), f"{p}low": F.lower(text)})
+        return df.withColumns({f"{p}d": F.array_distinct(f"{p}w")}).withColumn(f"{p}n", F.sqrt(F.aggregate(f"{p}d", F.lit(0.0), lambda s, w: s + F.pow(F.size(F.filter(f"{p}w", lambda x: x == w)).cast("double"), 2))))
+
+    m = parts(messages.select("message", "text", structured.alias("field")), "text", "x")
+    i = parts(items.select("item_id", "item"), "item", "y").withColumn("terms", synonym_group(F.col("item")))
+    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+    dot = F.aggregate(F.array_intersect("xd", "yd"), F.lit(0.0), lambda s, w: s + count("xw", w) * count("yw", w))
+    alike = 0.3 * jaccard(F.col("xg"), F.col("yg")) + 0.3 * jaccard(F.col("xd"), F.col("yd")) + 0.4 * F.when(F.col("xn") * F.col("yn") > 0, dot / (F.col("xn") * F.col("yn"))).otherwise(0.0)
+    score = F.when(F.contains("xlow", "ylow"), 1.0).when(F.exists("terms", lambda t: F.contains("xlow", t)), 0.85).otherwise(alike)
+    each = m.join(i, F.lit(True), "left").select("message", "field", "item_id", F.contains("text", "item").alias("canary"), F.when(F.col("item_id").isNotNull(), score).alias("score"))
+    got = each.groupBy("message").agg(
+        F.coalesce(F.bool_or("canary"), F.lit(False)).alias("canary"), F.coalesce(F.bool_or("field"), F.lit(False)).alias("field"), F.coalesce(F.max("score"), F.lit(0.0)).alias("top"),
+        F.max_by("item_id", F.struct(F.col("score"), -F.col("item_id"))).alias("best"), F.count_if(F.col("score") >= partial).alias("near"),
+    )
+    sure, third = F.col("canary") | F.col("field"), F.col("top") >= partial
+    return got.select(
+        "message", tier_level(F.col("canary"), F.col("field"), F.col("top"), full=full, partial=partial).alias("level"), F.when(F.col("canary"), 1).when(F.col("field"), 2).when(third, 3).alias("tier"),
+        F.when(sure, 1.0).otherwise(F.col("top")).alias("score"), F.when(~sure & third, F.col("best")).alias("best_item"), F.when(~sure, F.col("near")).otherwise(0).alias("matches"),
+    )
+
+
 # ---- injection ----
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,6 +219,15 @@ def tiered_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(level.alias("level")).groupBy("level").agg(F.count("*").alias("pairs"))
 
 
+@query()
+def protected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations by the tiered detector, against all benchmark items as protected items and canaries."""
+    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("message"), "text")
+    field = reduce(lambda a, b: a | b, [F.size(T.structured_fields(F.col("text"), k)) > 0 for k in STRUCTURED])
+    got = T.detect_items(c, table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")), field)
+    return got.select("message.conv_id", "message.turn", "level", "tier", F.round("score", 6).alias("score"), "best_item", "matches")
+
+
 _TYPE = lambda legal: "CASE WHEN list_contains(d, 'health') THEN 'health_info' WHEN list_contains(d, 'finance') THEN 'financial_info' " + ("WHEN list_contains(d, 'legal') THEN 'legal_info' " if legal else "") + "WHEN list_contains(d, 'schedule') THEN 'schedule_info' WHEN list_contains(d, 'social') THEN 'social_info' ELSE 'general' END"
 
 
