@@ -152,6 +152,16 @@ _ACCESS = (
 @query(_ACCESS)
 def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests are orders, clearances are customers; every tenth customer is not registered."""
+    return _access(spark, sf_dir, "c_custkey % 10 <> 9")
+
+
+@query(_ACCESS.replace("c_custkey % 10 <> 9", "c_acctbal >= 0"))
+def access_decisions_by_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests; customers whose account is overdrawn are not registered, all others are, whatever their key."""
+    return _access(spark, sf_dir, "c_acctbal >= 0")
+
+
+def _access(spark: SparkSession, sf_dir: str, registered: str) -> DataFrame:
     from auditloom.operators.controls import check_access
 
     o = table(spark, sf_dir, "orders")
@@ -161,7 +171,7 @@ def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("request"), F.col("o_custkey").cast("string").alias("agent"), action.alias("action"), F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.array().cast("array<string>").alias("domains"),
         F.when(k % 3 == 0, F.concat(F.lit("tenant:"), k % 25)).otherwise("").alias("owner"), F.concat(F.lit("tool:"), k % 5).alias("tool"), ((F.col("o_custkey") + 1) % 2000).cast("string").alias("target"),
     )
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 9")  # registration is a property of the data here
+    c = table(spark, sf_dir, "customer").where(registered)  # registration is a property of the data here
     clearances = c.select(
         F.col("c_custkey").cast("string").alias("agent"), (F.col("c_nationkey") % 5 + 1).alias("max_level"), F.array().cast("array<string>").alias("allowed_domains"), F.concat(F.lit("tenant:"), F.col("c_nationkey")).alias("user_id"),
         F.array(F.lit("tool:0"), F.lit("tool:1")).alias("allowed_tools"), (F.col("c_custkey") % 3 == 0).alias("can_delegate"), F.array(F.lit("tool:3")).alias("delegatable_tools"),

@@ -184,6 +184,16 @@ def memory_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(M.memory_findings(e)).drop("agent")
 
 
+@query(
+    f"""SELECT entry_id, kind, matches, round(least(1.0, CASE kind WHEN 'injection_attempt' THEN matches * 0.25 + 0.2 ELSE matches * 0.2 + 0.3 END), 6) AS severity FROM (
+    SELECT doc_id AS entry_id, 'injection_attempt' AS kind, {_N(M.INJECTION)} AS matches FROM documents UNION ALL SELECT doc_id, 'extraction_probe', {_N(M.EXTRACTION)} FROM documents) WHERE matches > 0"""
+)
+def memory_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document both as a memory write and as a read."""
+    e = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.col("source").alias("agent"), F.explode(F.array(F.lit("memory_write"), F.lit("memory_read"))).alias("action"), F.col("text").alias("output_text"), F.lit("").alias("input_text"))
+    return _six(M.memory_findings(e)).drop("agent")
+
+
 @query(CTES + "SELECT d AS domain, count(*) AS edges FROM (SELECT unnest(list_filter(domains, lambda x: x NOT IN ('health', 'social'))) AS d FROM edges WHERE sens >= 1) GROUP BY 1")
 def memory_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges above level 0 as memory writes that are authorized for health and social domains."""
