@@ -4,12 +4,12 @@ The automaton holds every substring of the token sequences of the license templa
 it: at each position the state gives the longest suffix of what was read that occurs in a template (the matching statistics). Matches
 that end (the next token doesn't lengthen them) and have ``LEAST`` tokens or more are kept with the template positions at which they
 occur, and are chained: matches in the order of both document and template, at most ``GAP`` tokens apart on either side, make
-one span that covers a part of a template. A span is reported if it covers ``COVER`` of its template; for
-a document, overlapping spans are cut to the best template.
+one span that covers a part of a template. A span is reported if it covers ``COVER`` of its template, or all of one of ``SHORT`` tokens or fewer, which
+differs from other licenses by a word; for a document, overlapping spans are cut to the best template.
 
 Tokens are runs of ASCII letters, digits and dots inside numbers, in lower case; case, punctuation and white space don't count.
 
-Defined results: null and empty texts and texts without a token have no spans. Of spans that overlap, the one with more covered tokens stays, then the one that covers
+Defined results: null and empty texts and texts without a token have no spans. A partial span falls to a complete one that overlaps it and isn't inside it. Of other spans that overlap, the one with more covered tokens stays, then the one that covers
 more of its template, then the first by name. Repeated rows repeat their spans; an empty table gives none. Texts of any length are streamed
 whole. Only doc_id and text are read; other columns, whatever their names, are ignored.
 """
@@ -29,6 +29,8 @@ from auditloom.llm.common import frugal
 LEAST = 3
 GAP = 8
 COVER = 0.6
+#: Templates of so many tokens or fewer must be covered whole.
+SHORT = 12
 
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -175,8 +177,10 @@ class Scanner:
         for k, ms in by.items():
             for s, e, covered in self._chains(sorted(ms)):
                 share = covered / len(self.seqs[k])
-                if share >= self.cover:
+                if share >= (1 if len(self.seqs[k]) <= SHORT else self.cover):
                     out.append((covered, share, self.names[k], s, e))
+        complete = [(s, e) for _, share, _, s, e in out if share >= 1]
+        out = [x for x in out if x[1] >= 1 or not any(s < x[4] and x[3] < e and not x[3] <= s < e <= x[4] for s, e in complete)]
         out.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
         kept: list[tuple] = []
         for covered, share, name, s, e in out:

@@ -50,6 +50,17 @@ def test_edited_text_is_chained_and_short_matches_are_not_reported():
     assert Scanner().spans(prose(3, 5000)) == []
 
 
+def test_other_versions_and_variants_are_not_taken_for_a_template():
+    names = lambda text: [x[2] for x in Scanner().spans(text)]
+    assert names("This work is licensed under the GNU General Public License, version 2") == ["GPL-2.0"]
+    for text in ("Licensed under the Apache License, Version 1.1", "licensed under CC BY-ND 4.0", "Licensed under the ISC License"):
+        assert names(text) == [], text
+    header = TEMPLATES["Apache-2.0-header"].replace("language", "EDITED")
+    assert names(header) == ["Apache-2.0-header"]  # not cut to the line that is complete inside it
+    long = {"a": " ".join("abcdefghijklmnopqrst"), "b": " ".join("cdefghijklmnz")}
+    assert [x[2] for x in Scanner(long).spans("a b c d e f g h i j k l m n z")] == ["b"]
+
+
 def test_all_cases(spark):
     assert license_scan.scan(docs(spark)).count() == 0
     data = [(1, prose(1, 20_000) + " " + TEMPLATES["ISC"]), (1, TEMPLATES["ISC"]), (None, TEMPLATES["ISC"]), (2, None), (3, "")]
