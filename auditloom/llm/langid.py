@@ -108,21 +108,23 @@ class BiGRU:
         z /= z.sum(0)
         return z.reshape(k, *x.shape)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions of windows x (W, B) of classes y (B,), and its gradients through time."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over all positions of windows x (W, B) of classes y (B,) that mask (W, B) has as 1, and its gradients through time."""
         p = self.p
         steps, b = x.shape
         kept: list = []
-        s = self.states(x, None, kept)
+        mask = np.ones((steps, b), p["u"].dtype) if mask is None else mask
+        both = np.stack([mask, mask[::-1]])[..., None]  # in each direction's own order
+        s = self.states(x, mask, kept)
         s1 = s[1, ::-1]
         z = s[0] @ p["w"][0] + s1 @ p["w"][1] + p["c"]
         z = z - z.max(-1, keepdims=True)
         e = np.exp(z)
         q = e / e.sum(-1, keepdims=True)
-        loss = float(-np.log(q[:, np.arange(b), y] + 1e-12).mean())
+        loss = float(-(np.log(q[:, np.arange(b), y] + 1e-12) * mask).sum() / mask.sum())
         dz = q.copy()
         dz[:, np.arange(b), y] -= 1
-        dz /= steps * b
+        dz *= (mask / mask.sum())[..., None]
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         flat = dz.reshape(-1, dz.shape[-1])
         hidden = p["u"].shape[-1]
@@ -135,7 +137,7 @@ class BiGRU:
         for t in range(steps - 1, -1, -1):
             h, g, un = kept[t]
             r, zt, n = g[:, 0], g[:, 1], g[:, 2]
-            dh = dh + ds[:, t]
+            dh = (dh + ds[:, t]) * both[:, t]
             dn = dh * (1 - zt) * (1 - n * n)
             dzt = dh * (h - n) * zt * (1 - zt)
             dr = dn * un * r * (1 - r)
@@ -161,9 +163,10 @@ class BiGRU:
         losses = []
         for step in range(1, steps + 1):
             at = np.concatenate([rng.choice(rows, max(1, batch // len(by))) for rows in by])
-            short = min(size, *(len(windows[i]) for i in at))  # short windows make a short batch
-            x = np.stack([np.frombuffer(windows[i], np.uint8)[:short] if len(windows[i]) == short else np.frombuffer(windows[i], np.uint8)[(o := int(rng.integers(0, len(windows[i]) - short + 1))) : o + short] for i in at]).T
-            loss, grad = self.gradients(x, y[at])
+            x, mask = np.zeros((size, len(at)), np.uint8), np.zeros((size, len(at)), np.float32)
+            for j, i in enumerate(at):
+                x[: len(windows[i]), j], mask[: len(windows[i]), j] = np.frombuffer(windows[i], np.uint8), 1
+            loss, grad = self.gradients(x, y[at], mask)
             losses.append(loss)
             norm = float(np.sqrt(sum(float((g * g).sum()) for g in grad.values())))
             lr = rate * min(1.0, step / 20) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))

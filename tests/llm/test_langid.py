@@ -35,6 +35,23 @@ def test_gradients_agree_with_differences():
             assert abs((up - down) / (2 * eps) - grad[k][at]) < 1e-6, (k, at)
 
 
+def test_a_short_window_leaves_the_others_whole(monkeypatch):
+    model = BiGRU(["a", "b"], hidden=3, seed=1)
+    read = []
+    whole = BiGRU.gradients
+    monkeypatch.setattr(BiGRU, "gradients", lambda self, x, y, *mask: (read.append((x.shape, *[m.sum() for m in mask])), whole(self, x, y, *mask))[1])
+    model.fit([b"k" * 72, b"z" * 24], [0, 1], steps=2, batch=4)
+    assert read == [((72, 4), 2 * 72 + 2 * 24)] * 2
+    # padding changes neither the loss nor the gradients
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y = np.random.default_rng(0).integers(0, 256, (9, 2)), np.array([0, 1])
+    mask = np.ones((9, 2))
+    mask[5:, 1] = 0
+    loss, grad = model.gradients(x, y, mask)
+    (one, g), (two, h) = model.gradients(x[:, :1], y[:1]), model.gradients(x[:5, 1:], y[1:])
+    assert abs(loss - (9 * one + 5 * two) / 14) < 1e-9 and all(np.allclose(grad[k], (9 * g[k] + 5 * h[k]) / 14) for k in grad)
+
+
 @pytest.fixture(scope="module")
 def labelled():
     return [(i, sentence(lang, 60, i), lang) for i, lang in enumerate(sorted(SYLLABLES) * 120)]
