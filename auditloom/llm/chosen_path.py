@@ -7,17 +7,24 @@ words is a set of one). The join finds all pairs with Jaccard similarity of ``TH
    size: the tokens (i, minimum i) of two sets agree in a share that is their Jaccard similarity on average.
 2. A run takes a token of a set with probability 1 / (THRESHOLD * T_), by a hash of the token alone; sets that take one token
    share a bucket. Runs are repeated as often as the target recall asks for; equal buckets of several runs are one.
-3. A bucket of up to ``LIMIT`` sets is compared by brute force. A larger one is split again: sets that are close to the bucket on
-   average are compared with all of it and leave it, and the rest is cut by further tokens that its members share, until
-   parts are small or ``LEVELS`` deep, where they are compared by brute force whatever their size. So no bucket is capped.
-4. Pairs whose sketches come near the threshold are verified exactly on the sets themselves (40-bit hashes of 3-grams), each pair once, group by group.
+3. A bucket of up to ``LIMIT`` sets is compared by brute force in one task. A larger one is split by a further round over the whole cluster: it is dealt into
+   chunks of bounded size, each with the same sample of the bucket; sets that are close to the sample on average would be compared with most
+   of the bucket in any case, so they are compared with all of it, in cells of ``BLOCK`` by ``BLOCK`` sets, and leave it. The rest goes to buckets by further tokens
+   that its members share (``SPLIT_RUNS`` runs), until buckets are small or ``LEVELS`` deep, where what is left is compared in cells. So no bucket is capped,
+   and none is held by one task or the driver.
+4. Pairs whose sketches come near the threshold are verified exactly on the sets themselves (40-bit hashes of 3-grams), each pair once, group by group; a group of more than
+   ``GROUP`` sets or ``GRAMS`` n-grams is verified in cells.
 
 A pair that shares tokens of several small buckets is taken in the first, by rule and without a shuffle.
 
-Defined results: rows with a null id are in no pair; null and empty texts and texts without a word have empty sets and are in no pair. Rows that
-repeat an id and a text are one document; an id with several texts takes part with each, a pair is named once, with
-its highest similarity, and no document is paired with itself. An empty table gives no pairs. Only doc_id and text are read; other columns, whatever their
-names, are ignored by ``join`` and kept by ``dedupe``. ``dedupe`` keeps, of each connected group, the document with the smallest id; rows of the same id stay or go together, and rows with a null
+``classes`` returns one row for each document id: its class (the smallest id of the connected group) and the number of its links. Copies are never expanded into pairs: links of equal
+sets are counted by multiplication. ``join`` returns the pairs of different sets by the smallest id that has each, and ``membership`` says which
+ids have which set. The number of such pairs, and with it the work, grows with the links between different texts: a family of f unlike texts that are all similar has f * f / 2.
+
+Defined results: rows with a null id are in no class and no pair; null and empty texts and texts without a word have empty sets and no link, so the class of their id is the id itself
+(unless it has other texts). Rows that repeat an id and a text are one document. An id with several texts takes part with each; a link is counted for each two texts (of this id and another), and texts of
+one id are in one class without a link. An empty table gives no rows. Ids are whole numbers; an id that isn't, in a column of another type, counts as null. Only doc_id and text are read; other columns, whatever their
+names, are ignored by ``classes`` and ``join`` and kept by ``dedupe``. ``dedupe`` keeps, of each connected group, the document with the smallest id; rows of the same id stay or go together, and rows with a null
 id stay.
 """
 
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +43,17 @@ from auditloom.llm.common import Table, frugal
 
 NGRAM = 3
 THRESHOLD = 0.5
-TARGET_RECALL = 0.95
+TARGET_RECALL = 0.97
 #: Tokens of a sketch (bits of a mask: at most 63), and how far below the threshold a sketch may be and its pair is still verified.
 T_ = 63
 SLACK = 0.15
 LIMIT = 1000
 LEVELS = 6
+#: Runs of the tokens by which a large bucket is split, sets of a sample of a large bucket, of a chunk of it, and of a side of a cell.
+SPLIT_RUNS = 3
+SAMPLE, CHUNK, BLOCK = 256, 4096, 1024
+#: Sets, and n-grams of them, that are verified together at most, but for a cell of two sides.
+GROUP, GRAMS = 1024, 1 << 20
 SEED = 2718
 
 _U = np.uint64
@@ -171,17 +184,32 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
+def _id(col: F.Column | None = None) -> F.Column:
+    """doc_id as a whole number, null where it is none."""
+    return (F.col("doc_id") if col is None else col).try_cast("bigint")
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, set_id, n, sketch, grams) of the documents that have an id and a word."""
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
+    texts = docs.select(_id().alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
     return texts.mapInArrow(frugal(_sets_of), "doc_id bigint, set_id bigint, n int, sketch binary, grams binary")
 
 
+def expected_recall(times: int, threshold: float = THRESHOLD, depth: int = LEVELS) -> float:
+    """The probability that a pair at the threshold is found if every bucket that it shares is split depth times: a token of both is taken in some run, it stays together in every split, and its sketches pass."""
+    p, shared = 1 / (threshold * T_), threshold * T_
+    stays = (1 - (1 - p) ** (SPLIT_RUNS * shared)) ** depth
+    least = math.ceil((threshold - SLACK) * T_)
+    sketch = sum(math.comb(T_, k) * threshold**k * (1 - threshold) ** (T_ - k) for k in range(least, T_ + 1))
+    return sketch * (1 - (1 - p * stays) ** (times * shared))
+
+
 def runs(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """Runs for a pair at the threshold to be found with the target's probability, if its buckets are split once more."""
-    p = 1 / (threshold * T_)
-    once = 1 - (1 - p) ** (threshold * T_)
-    return math.ceil(math.log(1 - target) / math.log(1 - once**2))
+    """Runs for a pair at the threshold to be found with the target's probability even in the deepest buckets; where sketches alone lose more, the runs after which no more is gained."""
+    times = 1
+    while expected_recall(times, threshold) < target and expected_recall(times + 1, threshold) - expected_recall(times, threshold) > 1e-3:
+        times += 1
+    return times
 
 
 def chosen(sketch: np.ndarray, p: float, seed: int, times: int = 1) -> np.ndarray:
@@ -213,41 +241,19 @@ def _pairs_within(s: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarr
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def bucket_pairs(s: np.ndarray, n: np.ndarray, threshold: float, seed: int, limit: int = LIMIT, levels: int = LEVELS) -> np.ndarray:
-    """Candidate pairs of a bucket (m, T_): brute force if it is small, else recursion."""
-    least = threshold - SLACK
-    found: list[np.ndarray] = []
-    work = [(np.arange(len(s)), 0, seed)]
-    while work:
-        rows, level, seed = work.pop()
-        if len(rows) < 2:
-            continue
-        if len(rows) <= limit or level >= levels:
-            found.append(_pairs_within(s, n, rows, rows, least, threshold))
-            continue
-        # Sets that are like the bucket on average would be compared with most of it in any case.
-        near = np.zeros(len(rows))
-        for i in range(T_):
-            _, inv, count = np.unique(s[rows, i], return_inverse=True, return_counts=True)
-            near += (count[inv] - 1) / (len(rows) - 1)
-        heavy = near / T_ > 0.9 * threshold
-        if heavy.any():
-            found.append(_pairs_within(s, n, rows[heavy], rows, least, threshold))
-            rows = rows[~heavy]
-        if len(rows) < 2:
-            continue
-        if len(rows) <= limit:
-            work.append((rows, level + 1, seed))
-            continue
-        who, pos = np.nonzero(chosen(s[rows], 1 / (threshold * T_), seed))
-        token = s[rows[who], pos].astype(_U) | pos.astype(_U) << _U(32)
-        order = np.argsort(token, kind="stable")
-        edge = np.flatnonzero(np.diff(token[order])) + 1
-        for k, part in enumerate(np.split(rows[who][order], edge)):
-            if len(part) > 1:
-                work.append((part, level + 1, (seed * 1_000_003 + k + 1) % 2**62))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+def split(s: np.ndarray, sample: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For members (m, T_) of a large bucket: which are close to its sample on average, and (row, child bucket) of the others."""
+    near = np.zeros(len(s))
+    for i in range(T_):
+        value, count = np.unique(sample[:, i], return_counts=True)
+        at = np.minimum(np.searchsorted(value, s[:, i]), len(value) - 1)
+        near += np.where(value[at] == s[:, i], count[at], 0) / len(sample)
+    heavy = near / T_ > 0.9 * threshold
+    light = np.flatnonzero(~heavy)
+    who, pos = np.nonzero(chosen(s[light], 1 / (threshold * T_), seed, SPLIT_RUNS))
+    with np.errstate(over="ignore"):
+        child = _mix((s[light[who], pos].astype(_U) | pos.astype(_U) << _U(32)) ^ _mix(np.array([seed], _U) + _P))
+    return heavy, light[who], child.view(np.int64)
 
 
 def _buckets_of(times: int, threshold: float):
@@ -285,25 +291,88 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def _sketch_rows(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, T_)
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _small_buckets(s: np.ndarray, mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As bits, the small buckets that both sets of each pair are in."""
+    both = np.zeros(len(a), np.int64)
+    for i in range(T_):
+        both |= np.where(s[a, i] == s[b, i], np.int64(1) << np.int64(i), 0)
+    return both & mask[a] & mask[b]
+
+
 def _candidates_of(threshold: float):
+    """Small buckets, one after another. The first small bucket that both are in names a pair, any other is silent; pos is null in a bucket that a large one was split into."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 0):
-            ids, n, mask = t["set_id"].to_numpy(), t["n"].to_numpy(), t["small"].to_numpy()
-            s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, T_)
-            bucket, pos = t["bucket"][0].as_py(), t["pos"][0].as_py()
-            p = bucket_pairs(s, n, threshold, bucket % 2**62)
-            if not len(p):
-                continue
+            ids, n, mask, s = t["set_id"].to_numpy(), t["n"].to_numpy(), t["small"].to_numpy(), _sketch_rows(t)
+            every = np.arange(len(s))
+            p = _pairs_within(s, n, every, every, threshold - SLACK, threshold)
+            p = np.unique(p, axis=0) if len(p) else p
             a, b = p[:, 0], p[:, 1]
-            # The small buckets that both are in: the first of them names the pair, any other is silent.
-            both = np.zeros(len(p), np.int64)
-            for i in range(T_):
-                both |= np.where(s[a, i] == s[b, i], np.int64(1) << np.int64(i), 0)
-            both &= mask[a] & mask[b]
-            first = both & -both
-            mine = first == (np.int64(1) << np.int64(pos)) if len(ids) <= LIMIT else first == 0
-            a, b = ids[a[mine]], ids[b[mine]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            both, pos = _small_buckets(s, mask, a, b), t["pos"][0].as_py()
+            mine = both & -both == (0 if pos is None else np.int64(1) << np.int64(pos))
+            if mine.any():
+                yield _pair_batch(ids[a[mine]], ids[b[mine]])
+
+    return run
+
+
+def _split_of(threshold: float):
+    """Chunks of large buckets: the sample (is_sample) and members of each. Members leave as they came with heavy set, and as rows of child buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 0):
+            t = t.combine_chunks()
+            drawn = t["is_sample"].to_numpy(zero_copy_only=False)
+            sample, member = t.filter(pa.array(drawn)), t.filter(pa.array(~drawn))
+            if not member.num_rows:
+                continue
+            s = _sketch_rows(member)
+            bucket = t["bucket"][0].as_py()
+            heavy, who, child = split(s, _sketch_rows(sample) if sample.num_rows else s, threshold, bucket % 2**62)
+            for rows, to, is_heavy in ((np.flatnonzero(heavy), None, True), (np.flatnonzero(~heavy), None, False), (who, child, None)):
+                out = member.take(pa.array(rows)).combine_chunks()
+                for batch in out.select(["set_id", "n", "small", "sketch"]).to_batches():
+                    size = batch.num_rows
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(size, bucket) if to is None else to), pa.array([is_heavy] * size, pa.bool_()), *batch.columns], names=["bucket", "heavy", "set_id", "n", "small", "sketch"]
+                    )
+
+    return run
+
+
+def _cells_of(threshold: float):
+    """Cells of a large bucket: heavy sets on the left, members on the right; of two heavy sets the smaller is on the left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 0):
+            ids, n, mask, s = t["set_id"].to_numpy(), t["n"].to_numpy(), t["small"].to_numpy(), _sketch_rows(t)
+            left, heavy = t["is_left"].to_numpy(zero_copy_only=False), t["heavy"].to_numpy(zero_copy_only=False)
+            rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
+            if not len(rows) or not len(cols):
+                continue
+            t = None
+            need = math.ceil((threshold - SLACK) * T_)
+            for at in range(0, len(rows), 256):
+                r = rows[at : at + 256]
+                same = np.zeros((len(r), len(cols)), np.uint8)
+                for i in range(T_):
+                    same += s[r, i][:, None] == s[cols, i][None, :]
+                a, b = np.nonzero(same >= need)
+                a, b = r[a], cols[b]
+                ok = (ids[a] != ids[b]) & (~heavy[b] | (ids[a] < ids[b])) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
+                a, b = a[ok], b[ok]
+                mine = _small_buckets(s, mask, a, b) == 0
+                if mine.any():
+                    yield _pair_batch(ids[a[mine]], ids[b[mine]])
 
     return run
 
@@ -314,6 +383,8 @@ def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 0):
             is_pair = t["b"].is_valid().to_numpy(zero_copy_only=False)
+            if not is_pair.any():
+                continue
             whole = t.filter(pa.array(~is_pair))
             pair = t.filter(pa.array(is_pair))
             ids = whole["a"].to_numpy()
@@ -345,51 +416,159 @@ def _verified(threshold: float):
     return run
 
 
+_MEMBER = "bucket bigint, pos tinyint, set_id bigint, n int, small bigint, sketch binary"
+
+
+def _crowds(tokens: DataFrame) -> DataFrame:
+    """tokens with ``crowd``, the size of the bucket, without those of one set. Sizes are counted with partial sums, and a hot bucket is joined with one row."""
+    sizes = tokens.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    return tokens.join(sizes, "bucket")
+
+
+def _of_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    return rows.select("bucket", "pos", "set_id", "n", "small", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_candidates_of(threshold)), "a bigint, b bigint")
+
+
+def _dealt(col: str, parts: F.Column, seed: int) -> F.Column:
+    """A part for each set, by a hash of its id alone."""
+    return F.pmod(F.xxhash64(F.lit(seed), col), parts).cast("bigint")
+
+
+def _in_cells(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of heavy sets with all of their bucket; rows: bucket, heavy, set_id, n, small, sketch. Left sides and right sides are dealt into blocks, so a cell is bounded however large the bucket."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("all"), F.count(F.when(F.col("heavy"), 1)).alias("hot")).where("hot > 0")
+    sized = rows.join(sizes, "bucket").withColumns({"lefts": F.ceil(F.col("hot") / BLOCK), "rights": F.ceil(F.col("all") / BLOCK)})
+    row = ["bucket", "heavy", "set_id", "n", "small", "sketch"]
+    to = lambda parts: F.explode(F.expr(f"sequence(0L, {parts} - 1)"))
+    left = sized.where("heavy").select(*row, _dealt("set_id", F.col("lefts"), 1).alias("i"), to("rights").alias("j"), F.lit(True).alias("is_left"))
+    right = sized.select(*row, to("lefts").alias("i"), _dealt("set_id", F.col("rights"), 2).alias("j"), F.lit(False).alias("is_left"))
+    cells = left.union(right).select(F.xxhash64("bucket", "i", "j").alias("cell"), *row[1:], "is_left")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal(_cells_of(threshold)), "a bigint, b bigint")
+
+
+def _large_buckets(large: DataFrame, threshold: float) -> list[Table]:
+    """Candidates of the buckets above LIMIT, level by level; large: bucket, set_id, n, small, sketch, crowd. Every level is written, so a lost executor costs no more than its tasks."""
+    found: list[Table] = []
+    held = Table(large, "path-large-0")
+    for level in range(1, LEVELS + 1):
+        chunks = F.ceil(F.col("crowd") / CHUNK)
+        member = held.df.withColumns({"chunk": _dealt("set_id", chunks, 3), "is_sample": F.lit(False)})
+        drawn = F.pmod(F.xxhash64(F.lit(level), "set_id", "bucket"), F.lit(1 << 40)) < F.lit(float(SAMPLE << 40)) / F.col("crowd")
+        sample = held.df.where(drawn).withColumns({"chunk": F.explode(F.expr(f"sequence(0L, ceil(crowd / {CHUNK}) - 1)")), "is_sample": F.lit(True)})
+        dealt = member.unionByName(sample).select(F.xxhash64("bucket", "chunk").alias("cell"), "bucket", "set_id", "n", "small", "sketch", "is_sample")
+        parted = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal(_split_of(threshold)), "bucket bigint, heavy boolean, set_id bigint, n int, small bigint, sketch binary")
+        parted = Table(parted, f"path-split-{level}")
+        held.drop()
+        found.append(Table(_in_cells(parted.df.where("heavy is not null"), threshold), f"path-heavy-{level}"))
+        children = Table(_crowds(parted.df.where("heavy is null").drop("heavy")), f"path-children-{level}")
+        parted.drop()
+        few = children.df.where(F.col("crowd") <= LIMIT).withColumn("pos", F.lit(None).cast("tinyint"))
+        found.append(Table(_of_buckets(few, threshold), f"path-small-{level}"))
+        many = children.df.where(F.col("crowd") > LIMIT)
+        if not many.limit(1).count():
+            children.drop()
+            return found
+        held = Table(many, f"path-large-{level}")
+        children.drop()
+    found.append(Table(_in_cells(held.df.withColumn("heavy", F.lit(True)), threshold), "path-rest"))
+    held.drop()
+    return found
+
+
+def _verification(cands: DataFrame, raw: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the candidates at the threshold. A pair is verified with the others of its neighbourhood, so a set is sent to few places; large neighbourhoods are dealt into cells."""
+    near = cands.select(F.col("a").alias("x"), F.col("b").alias("y")).union(cands.select(F.col("b"), F.col("a")))
+    label = near.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("g"))
+    placed = Table(cands.join(label, F.col("a") == F.col("x")).select("g", "a", "b"), "path-groups")
+    one = raw.groupBy("set_id").agg(F.min("row").alias("row"), F.min("n").alias("n"))  # of many equal sets one row is sent
+    inside = placed.df.select("g", F.col("a").alias("s")).union(placed.df.select("g", "b")).distinct().join(one, F.col("s") == F.col("set_id"))
+    parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GRAMS))
+    sizes = inside.groupBy("g").agg(parts.cast("bigint").alias("parts"))
+    cell = placed.df.join(sizes, "g").select(F.xxhash64("g", _dealt("a", F.col("parts"), 4), _dealt("b", F.col("parts"), 4)).alias("g"), "a", "b")
+    cell = Table(cell, "path-cells")
+    placed.drop()
+    need = cell.df.select("g", F.col("a").alias("s")).union(cell.df.select("g", "b")).distinct()
+    wanted = need.join(one, F.col("s") == F.col("set_id")).select("g", "set_id", "row")
+    sent = wanted.join(raw.select("row", "grams"), "row")
+    sent = sent.select("g", F.col("set_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
+    both = sent.union(cell.df.select("g", "a", "b", F.lit(None).cast("binary")))
+    return both.repartition("g").sortWithinPartitions("g").mapInArrow(frugal(_verified(threshold)), "a bigint, b bigint, jaccard double")
+
+
 def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> tuple[Table, Table]:
-    """(documents' sets: doc_id, set_id, ...; pairs of sets: a, b, jaccard), both written to the shared folder."""
-    raw = Table(document_sets(docs), "path-sets")
+    """(documents' sets: doc_id, set_id, ..., rows that repeat both are one; pairs of sets: a, b, jaccard), both written to the shared folder."""
+    raw = Table(document_sets(docs).withColumn("row", F.monotonically_increasing_id()), "path-sets")
     reps = raw.df.groupBy("set_id").agg(F.min_by(F.struct("n", "sketch"), "doc_id").alias("s")).select("set_id", "s.n", "s.sketch")
     reps = Table(reps, "path-sketches")
     tokens = reps.df.select("set_id", "sketch").mapInArrow(frugal(_buckets_of(runs(threshold, target), threshold)), "bucket bigint, pos tinyint, set_id bigint")
-    crowds = tokens.groupBy("bucket", "pos").agg(F.collect_list("set_id").alias("sets")).where(F.size("sets") > 1)
-    at = F.struct("bucket", "pos")
+    member = Table(_crowds(tokens), "path-members")
+    at = F.struct("bucket", "pos", "crowd")
     bit = F.when(F.col("crowd") <= LIMIT, F.expr("shiftleft(1L, cast(pos as int))")).otherwise(F.lit(0).cast("bigint"))
-    member = crowds.select("bucket", "pos", F.size("sets").alias("crowd"), F.explode("sets").alias("set_id"))
-    per_set = member.groupBy("set_id").agg(F.bit_or(bit).alias("small"), F.collect_list(at).alias("at"))
-    rows = per_set.join(reps.df, "set_id").select(F.explode("at").alias("at"), "set_id", "n", "small", "sketch").select("at.bucket", "at.pos", "set_id", "n", "small", "sketch")
-    cands = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_candidates_of(threshold)), "a bigint, b bigint")
-    cands = Table(cands.distinct(), "path-candidates")
+    per_set = member.df.groupBy("set_id").agg(F.bit_or(bit).alias("small"), F.collect_list(at).alias("at"))  # T_ buckets of a set at most
+    rows = per_set.join(reps.df, "set_id").select(F.explode("at").alias("at"), "set_id", "n", "small", "sketch").select("at.*", "set_id", "n", "small", "sketch")
+    found = [Table(_of_buckets(rows.where(F.col("crowd") <= LIMIT), threshold), "path-small-0")]
+    if member.df.where(F.col("crowd") > LIMIT).limit(1).count():
+        found += _large_buckets(rows.where(F.col("crowd") > LIMIT).drop("pos"), threshold)
+    member.drop()
     reps.drop()
-    # A pair is verified with the others of its neighbourhood, so a set is sent to few places.
-    near = cands.df.select(F.col("a").alias("x"), F.col("b").alias("y")).union(cands.df.select(F.col("b"), F.col("a")))
-    label = near.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("g"))
-    placed = Table(cands.df.join(label, F.col("a") == F.col("x")).select("g", "a", "b"), "path-groups")
-    need = placed.df.select("g", F.col("a").alias("s")).union(placed.df.select("g", "b")).distinct()
-    one = raw.df.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = need.join(one, F.col("s") == F.col("set_id")).select("g", "set_id", "doc_id")
-    grams = raw.df.select("doc_id", "set_id", "grams")
-    sent = wanted.join(grams, ["doc_id", "set_id"]).dropDuplicates(["g", "set_id"])
-    sent = sent.select("g", F.col("set_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    both = sent.union(placed.df.select("g", "a", "b", F.lit(None).cast("binary")))
-    pairs = both.repartition("g").sortWithinPartitions("g").mapInArrow(frugal(_verified(threshold)), "a bigint, b bigint, jaccard double")
-    pairs = Table(pairs, "path-pairs")
-    placed.drop()
+    cands = Table(reduce(DataFrame.union, [t.df for t in found]).distinct(), "path-candidates")
+    for t in found:
+        t.drop()
+    pairs = Table(_verification(cands.df, raw.df, threshold), "path-pairs")
     cands.drop()
     return raw, pairs
 
 
+def _names(raw: DataFrame) -> DataFrame:
+    """(set_id, doc): the smallest id that has the set."""
+    return raw.groupBy("set_id").agg(F.min("doc_id").alias("doc"))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs that were found. The result grows with the square of a group of copies, as a join's does; ``dedupe`` doesn't."""
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: the pairs of different sets, each set by the smallest id that has it (``membership`` has the others); pairs of one id's own texts are left out."""
     raw, pairs = similar_sets(docs, threshold, target)
-    member = raw.df.select("set_id", "doc_id").distinct()
-    left, right = member.select(F.col("set_id").alias("a"), F.col("doc_id").alias("x")), member.select(F.col("set_id").alias("b"), F.col("doc_id").alias("y"))
-    across = pairs.df.join(left, "a").join(right, "b").select("x", "y", "jaccard")
-    crowd = member.groupBy("set_id").agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
-    equal = crowd.select(F.explode("ids").alias("x"), "ids").select("x", F.explode(F.expr("filter(ids, i -> i > x)")).alias("y"), F.lit(1.0).alias("jaccard"))
-    named = across.union(equal).where("x <> y")
+    name = _names(raw.df)
+    left, right = name.select(F.col("set_id").alias("a"), F.col("doc").alias("x")), name.select(F.col("set_id").alias("b"), F.col("doc").alias("y"))
+    named = pairs.df.join(left, "a").join(right, "b").where("x <> y")
     return named.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
+def membership(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_of): for each id and each of its sets, the smallest id with an equal set."""
+    raw = Table(document_sets(docs), "path-sets").df.select("set_id", "doc_id").distinct()
+    return raw.join(_names(raw), "set_id").select("doc_id", F.col("doc").alias("text_of")).distinct()
+
+
+def _grouped_ids(member: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Table]:
+    """(doc_id, set_id, root) of the ids' sets, and the table of roots to be dropped after use; sets that one id has several of are connected through it."""
+    through = member.join(member.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.count("*").alias("k")).where("k > 1"), "doc_id").where("set_id <> b").select(F.col("set_id").alias("a"), "b")
+    root = components(pairs.select("a", "b").union(through))
+    return member.join(root.df.select(F.col("x").alias("set_id"), "root"), "set_id", "left").select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root")), root
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links), a row for each id: the smallest id of its connected group, and how many texts of other ids are at least that similar to its own."""
+    raw, pairs = similar_sets(docs, threshold, target)
+    member = Table(raw.df.select("set_id", "doc_id").distinct(), "path-member")
+    raw.drop()
+    copies = member.df.groupBy("set_id").agg(F.count("*").alias("copies"))
+    both = pairs.df.select(F.col("a").alias("set_id"), F.col("b").alias("o")).union(pairs.df.select("b", "a"))
+    linked = both.join(copies.withColumnRenamed("set_id", "o"), "o").groupBy("set_id").agg(F.sum("copies").alias("others"))
+    per_set = copies.join(linked, "set_id", "left").select("set_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    group, root = _grouped_ids(member.df, pairs.df)
+    first = group.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    per_id = group.join(per_set, "set_id").join(first, "root").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    # Links of an id with itself: pairs of its own sets, for ids that have several.
+    several = member.df.join(member.df.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1"), "doc_id").select("doc_id", "set_id")
+    own = pairs.df.join(several.select(F.col("set_id").alias("a"), "doc_id"), "a").join(several.select(F.col("set_id").alias("b"), "doc_id"), ["b", "doc_id"]).groupBy("doc_id").agg((2 * F.count("*")).alias("own"))
+    every = docs.select(_id().alias("doc_id")).where("doc_id is not null").distinct()
+    out = every.join(per_id, "doc_id", "left").join(own, "doc_id", "left")
+    out = Table(out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("n_links")), "path-classes")
+    for t in (member, pairs, root):
+        t.drop()
+    return out.df
+
+
 def components(edges: DataFrame) -> Table:
     """(x, root) for the nodes of (a, b): the smallest node that each is connected with, by minima of neighbours and pointer jumping."""
     both = Table(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "components-edges")
@@ -411,28 +590,29 @@ def components(edges: DataFrame) -> Table:
 def dedupe(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """docs without the documents that are near duplicates of one with a smaller id, over whole connected groups."""
     raw, pairs = similar_sets(docs, threshold, target)
-    member = raw.df.select("set_id", "doc_id").distinct()
-    # Sets that one document id has several of are connected through it.
-    through = member.join(member.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.count("*").alias("k")).where("k > 1"), "doc_id").where("set_id <> b").select(F.col("set_id").alias("a"), "b")
-    root = components(pairs.df.select("a", "b").union(through))
-    group = member.join(root.df.select(F.col("x").alias("set_id"), "root"), "set_id", "left").select("doc_id", F.coalesce("root", "set_id").alias("root"))
+    group, root = _grouped_ids(raw.df.select("set_id", "doc_id").distinct(), pairs.df)
     first = group.groupBy("root").agg(F.min("doc_id").alias("kept"), F.count("*").alias("k")).where("k > 1")
     lost = Table(group.join(first, "root").where("doc_id <> kept").select(F.col("doc_id").alias("__path_lost")).distinct(), "path-lost")
     raw.drop()
     pairs.drop()
     root.drop()
     gone = lost.df
-    return docs.join(gone, docs["doc_id"] == gone["__path_lost"], "left_anti")
+    return docs.join(gone, _id(docs["doc_id"]) == gone["__path_lost"], "left_anti")
 
 
 SQL = f"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '(?:[0-9a-z]|[^\\x00-\\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {NGRAM} THEN list_transform(range(1, len(w) - {NGRAM} + 2), lambda i: array_to_string(w[i : i + {NGRAM} - 1], ' '))
          ELSE [array_to_string(w, ' ')] END) AS gram FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a AS doc_a, b AS doc_b, CAST(c AS DOUBLE) / (x.n + y.n - c) AS jaccard
-FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= {THRESHOLD}
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= {THRESHOLD}),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+f AS (SELECT x, least(x, min(y)) AS class_id FROM r GROUP BY x),
+k AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN f ON f.x = doc_id LEFT JOIN k ON k.a = doc_id
 """

@@ -16,7 +16,7 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.join(table(spark, sf_dir, "documents"))
+    return chosen_path.classes(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,28 +38,79 @@ def test_recall_and_exact_scores_against_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
-def test_large_bucket_is_split_and_loses_nothing_of_a_copy_group():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**32, chosen_path.T_, dtype=np.uint64).astype(np.uint32)
-    s = np.repeat(base[None], 300, 0)
-    other = rng.integers(0, 2**32, (300, chosen_path.T_), dtype=np.uint64).astype(np.uint32)
-    s = np.concatenate([s, other])
-    n = np.full(600, 50)
-    got = chosen_path.bucket_pairs(s, n, 0.5, 7, limit=50)
-    assert len(got) == 300 * 299 // 2
+def brute_classes(data, threshold=0.5):
+    """{id: (class, links)} by comparing all texts."""
+    sets = sorted({(i, frozenset(grams(t))) for i, t in data if i is not None and t}, key=repr)
+    sets = [(i, g) for i, g in sets if g]
+    root = {i: i for i, _ in data if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = dict.fromkeys(root, 0)
+    for (i, a), (j, b) in combinations(sets, 2):
+        if i != j and len(a & b) / len(a | b) >= threshold:
+            links[i] += 1
+            links[j] += 1
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return {i: (find(i), links[i]) for i in root}
+
+
+def got_classes(df):
+    rows = chosen_path.classes(df).collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    return {r.doc_id: (r.class_id, r.n_links) for r in rows}
+
+
+def test_classes_and_links_against_brute_force(spark):
+    data = [(i, prose(i, 80)) for i in range(40)]
+    data += [(100 + i * 10 + e, near(i, 80, e)) for i in range(20) for e in (1, 2, 3)]
+    data += [(1000 + i, prose(3, 80)) for i in range(30)]  # copies of a text that has near ones
+    assert got_classes(plain(spark, data)) == brute_classes(data)
+
+
+def test_large_buckets_are_split_and_lose_nothing(spark, monkeypatch):
+    for name, n in (("LIMIT", 20), ("CHUNK", 64), ("BLOCK", 16), ("SAMPLE", 24), ("GROUP", 16)):
+        monkeypatch.setattr(chosen_path, name, n)
+    words = prose(1, 40)
+    family = [(i, f"{words} {prose(1000 + i, 3)}") for i in range(150)]  # all alike
+    # A template that every text has (background similarity about 0.4) and pairs at 0.5 to 0.6 in it.
+    template = prose(2, 66)
+    loose = [(500 + 2 * i + k, f"{template} {prose(2000 + i, 26)} {prose(5000 + 2 * i + k, 24)}") for i in range(120) for k in (0, 1)]
+    data = family + loose + [(900, prose(77, 50))]
+    want, got = brute(data), {(r.doc_a, r.doc_b) for r in chosen_path.join(plain(spark, data)).collect()}
+    assert got <= set(want)
+    assert sum(a < 500 for a, _ in want) == 150 * 149 // 2 and len([x for x in want if x[0] >= 500]) >= 120
+    for part in (lambda a: a < 500, lambda a: a >= 500):
+        mine = [x for x in want if part(x[0])]
+        assert len([x for x in mine if x in got]) >= 0.95 * len(mine)
+
+
+def test_expected_recall_is_reached_by_the_runs():
+    assert chosen_path.expected_recall(chosen_path.runs()) >= chosen_path.TARGET_RECALL > chosen_path.expected_recall(chosen_path.runs() - 1)
 
 
 def test_every_case_has_its_defined_result(spark):
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in chosen_path.join(docs(spark)).collect()}
-    assert got == {(1, 2): 1.0}
+    assert chosen_path.join(docs(spark)).count() == 0  # texts 1 and 2 are equal: one set
+    assert sorted(tuple(r) for r in chosen_path.membership(docs(spark)).collect()) == [(1, 1), (2, 1), (3, 3), (8, 8), (9, 9), (10, 10), (11, 11), (12, 12)]
+    alone = {i: (i, 0) for i in (3, 4, 5, 6, 8, 9, 10, 11, 12)}
+    assert got_classes(docs(spark)) == {1: (1, 1), 2: (1, 1), **alone}
+
+
+def test_text_ids_that_are_no_numbers_count_as_null(spark):
+    df = spark.createDataFrame([("1", prose(1, 20)), ("x", prose(1, 20)), ("2", prose(1, 20))], "doc_id string, text string")
+    assert got_classes(df) == {1: (1, 1), 2: (1, 1)}
+    assert sorted(r.doc_id for r in chosen_path.dedupe(df).collect()) == ["1", "x"]
 
 
 def test_an_id_with_several_texts_and_no_pair_with_itself(spark):
-    data = [(1, prose(1, 50)), (1, prose(2, 50)), (1, near(1, 50, 1)), (2, prose(2, 50)), (2, near(2, 50, 2))]
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in chosen_path.join(plain(spark, data)).collect()}
-    assert got == {(1, 2): 1.0}
+    data = [(1, prose(1, 50)), (1, prose(2, 50)), (1, near(1, 50, 1)), (2, prose(2, 50)), (2, near(2, 50, 2)), (3, near(1, 50, 2))]
+    got = {(r.doc_a, r.doc_b) for r in chosen_path.join(plain(spark, data)).collect()}
+    assert got == {(1, 2), (1, 3)}
+    assert got_classes(plain(spark, data)) == brute_classes(data) == {1: (1, 4), 2: (1, 2), 3: (1, 2)}
 
 
 def test_dedupe_keeps_one_of_each_group_and_all_columns(spark):
@@ -84,4 +135,5 @@ def test_dedupe_takes_whole_chains(spark):
 
 def test_empty_table(spark):
     assert chosen_path.join(docs(spark, [])).count() == 0
+    assert chosen_path.classes(docs(spark, [])).count() == 0
     assert chosen_path.dedupe(docs(spark, [])).count() == 0
