@@ -24,7 +24,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+    return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

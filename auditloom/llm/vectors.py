@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import unit_hash
 
 
-def clean(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def clean(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """(id, v) of the rows that can be searched, each id once.
 
-    Left out: null ids, null or empty vectors, vectors with null, NaN or infinite members, and those whose dimension is not the
-    commonest (the smaller one on a tie). Of an id with several vectors the smallest by array order stays.
+    Left out: null ids and those that are no whole number, null or empty vectors, vectors with null, NaN or infinite members, and those whose dimension is not ``dim``; where that
+    isn't named, it is the commonest of the table (the smaller one on a tie). ``rejected`` lists what is left out. Of an id with several vectors the smallest by array order stays.
     """
     v = F.col(f"`{vec_col}`").cast("array<float>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.where(F.col(f"`{id_col}`").isNotNull() & (F.size(v) > 0) & ~bad).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return rows
-    return rows.where(F.size("v") == sizes["d"]).groupBy("id").agg(F.min("v").alias("v"))
+    ident = F.col(f"`{id_col}`").try_cast("bigint")
+    rows = df.where(ident.isNotNull() & (F.size(v) > 0) & ~bad).select(ident.alias("id"), v.alias("v"))
+    if dim is None:
+        sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        if sizes is None:
+            return rows
+        dim = sizes["d"]
+    return rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+
+
+def rejected(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
+    """(id, dimension) of the ids none of whose vectors ``clean`` keeps; null ids as one row."""
+    ids = df.select(F.col(f"`{id_col}`").try_cast("bigint").alias("id"), F.size(F.col(f"`{vec_col}`")).alias("dimension")).groupBy("id").agg(F.max("dimension").alias("dimension"))
+    return ids.join(clean(df, id_col, vec_col, dim).select("id"), "id", "left_anti")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -68,19 +68,56 @@ def test_ties_go_by_id_in_large_groups_of_copies_and_among_equal_distances(spark
         assert all(got[i].neighbours == [j for j, _ in w] and np.allclose(got[i].distances, [d for _, d in w], atol=1e-9) for i, w in enumerate(want))
 
 
-def exact_pairs(x, cosine):
-    u = x.astype(np.float64)
-    u /= np.sqrt((u * u).sum(1))[:, None]
-    c = u @ u.T
-    a, b = np.nonzero(np.triu(c >= cosine, 1))
-    return {(int(i), int(j)) for i, j in zip(a, b)}
+def exact_classes(rows, cosine=0.95):
+    """{id: (class, links)} by comparing all vectors that can be compared."""
+    good = {}
+    for i, v in rows:
+        if i is not None and v is not None and len(v) == len(rows[0][1]) and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good[i] = np.asarray(v, np.float32).astype(np.float64)
+    ids = sorted(good)
+    u = np.array([good[i] / np.sqrt((good[i] ** 2).sum()) for i in ids])
+    near = u @ u.T >= cosine - 1e-9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(ids))
+    while True:
+        new = np.minimum(label, np.where(near, label[None], len(ids)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    return {i: (i, 0) for i, _ in rows if i is not None} | {i: (ids[label[k]], int(near[k].sum())) for k, i in enumerate(ids)}
+
+
+def got_classes(df, **kw):
+    rows = flat_graph.near_duplicates(df, **kw).collect()
+    assert len(rows) == len({r.vec_id for r in rows})
+    return {r.vec_id: (r.class_id, r.n_links) for r in rows}
+
+
+def agree(got, want, least):
+    links, all_links = sum(min(got[i][1], want[i][1]) for i in want), sum(n for _, n in want.values())
+    assert set(got) == set(want) and all(got[i][1] <= want[i][1] for i in want)
+    assert links >= least * all_links and sum(got[i][0] == want[i][0] for i in want) >= least * len(want)
+
+
+@pytest.mark.parametrize("full", [10**6, 120])
+def test_near_duplicates_against_all_pairs(spark, full, monkeypatch):
+    monkeypatch.setattr(flat_graph, "BLOCK", 50)
+    x = clusters(1200, spread=0.2)
+    rows = list(enumerate(x))
+    want = exact_classes(rows)
+    assert sum(n for _, n in want.values()) > 2000
+    agree(got_classes(frame(spark, rows), shard=300, full=full), want, 0.95)
 
 
-def test_near_duplicates_against_all_pairs(spark):
-    x = clusters(1200, spread=0.2)
-    want = exact_pairs(x, 0.95)
-    got = {(r.vec_a, r.vec_b) for r in flat_graph.near_duplicates(frame(spark, list(enumerate(x))), shard=300).collect()}
-    assert len(want) > 1000 and got <= want and len(got) >= 0.95 * len(want)
+def test_a_hot_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    hot = rng.standard_normal(24) + 0.02 * rng.standard_normal((300, 24))
+    x = np.concatenate([hot, clusters(600, spread=0.5), np.repeat(hot[:1], 5, 0)]).astype(np.float32)
+    rows = list(enumerate(x))
+    want = exact_classes(rows)
+    assert want[0] == (0, 304)
+    agree(got_classes(frame(spark, rows), shard=60, full=100), want, 0.98)
 
 
 def test_near_duplicates_in_many_shards_are_found_across_them(spark):
@@ -90,18 +127,18 @@ def test_near_duplicates_in_many_shards_are_found_across_them(spark):
     off = rng.standard_normal((2000, 64))
     off = unit(off - (off * x).sum(1)[:, None] * x)
     x = np.concatenate([x, 0.955 * x + (1 - 0.955**2) ** 0.5 * off]).astype(np.float32)
-    want = exact_pairs(x, 0.95)
-    got = {(r.vec_a, r.vec_b) for r in flat_graph.near_duplicates(frame(spark, list(enumerate(x))), shard=32).collect()}
-    assert len(want) == 2000 and got <= want and len(got) >= 0.97 * len(want)
+    rows = list(enumerate(x))
+    want = exact_classes(rows)
+    assert sum(n for _, n in want.values()) == 4000
+    agree(got_classes(frame(spark, rows), shard=32), want, 0.97)
 
 
 def test_near_duplicates_of_odd_rows_and_equal_vectors(spark):
     x = clusters(40, centres=40)
     rows = [*enumerate(x), (100, x[0]), (101, x[0]), (101, x[0]), *ODD]
-    got = sorted((r.vec_a, r.vec_b) for r in flat_graph.near_duplicates(frame(spark, rows)).collect())
-    assert got == sorted({(0, 100), (0, 101), (100, 101)} | exact_pairs(x, 0.95))
+    assert got_classes(frame(spark, rows)) == exact_classes(rows)
     assert flat_graph.near_duplicates(frame(spark, [])).count() == 0
-    assert flat_graph.near_duplicates(frame(spark, [(1, x[0])])).count() == 0
+    assert got_classes(frame(spark, [(1, x[0])])) == {1: (1, 0)}
 
 
 def test_robust_pruning_keeps_what_no_kept_one_covers():
