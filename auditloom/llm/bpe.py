@@ -229,7 +229,7 @@ def encode_table(docs: DataFrame, path: str = VOCAB) -> DataFrame:
         enc.cache.clear()
         enc.fits.clear()
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, token_ids array<int>, decoded_md5 string, round_trip boolean")
+    return docs.selectExpr("try_cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, token_ids array<int>, decoded_md5 string, round_trip boolean")
 
 
 def decode_table(encoded: DataFrame, path: str = VOCAB) -> DataFrame:

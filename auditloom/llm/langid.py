@@ -299,7 +299,7 @@ def identify(docs: DataFrame, model: BiGRU | None = None) -> DataFrame:
                 cols += [pa.ListArray.from_arrays(pa.array(cut), flat(ends, np.int32)), pa.ListArray.from_arrays(pa.array(cut), flat(runs, np.int8))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_id", "probability", "accepted", "n_bytes", "run_ends", "run_labels"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _OUT)
+    return docs.selectExpr("try_cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _OUT)
 
 
 def keep_identified(docs: DataFrame, model: BiGRU | None = None) -> DataFrame:

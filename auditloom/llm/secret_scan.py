@@ -1,8 +1,8 @@
 """Secret scans by a recursive decoding worklist.
 
 A text is the first layer. Every layer is scanned by the rules, then unwrapped: percent escapes, Unicode and HTML
-number escapes are replaced all over the layer, and each run of base64 that decodes to text or
-to a gzip, zlib, bzip2, xz or zstandard stream gives a layer of its own. New layers join the worklist until none is new; a layer seen
+number escapes are replaced all over the layer, and each run of base64 that decodes to text (UTF-8 or UTF-16), to bytes in which a rule could match,
+or to a gzip, zlib, bzip2, xz or zstandard stream gives a layer of its own. New layers join the worklist until none is new; a layer seen
 before is not taken again, so cycles end. Each layer carries a map to the characters of the text it came from, so a finding has a
 span in the original.
 
@@ -10,9 +10,11 @@ Whole batches are first looked through in numpy: every rule and every decoder ne
 one of a few byte strings, and rows that have none of them cannot match, so they are left out exactly. Rows are independent: the scan is a narrow map.
 
 Defined results: a null or empty text has no findings and is kept as it is by ``redact``. Repeated rows repeat their findings. An empty table
-gives none. A broken or truncated stream gives no layer. Overlapping findings in one layer count as the longest, then the first rule.
-The same span found in several layers is reported once, from the shallowest. ``scan`` reads doc_id and
-text only; ``redact`` keeps all columns whatever their names.
+gives none. Of a compressed stream that is cut short, or unfolds to more than ``STREAM_BYTES``, what can be read is scanned, and its run of base64 is a finding of the rule ``unscanned``; a
+broken stream gives no layer. Overlapping findings in one layer count as the longest, then the first rule. Every secret of a layer is a finding of its own, also where several have one span of the
+original, as in one run of base64; a secret that is still there when the escapes around it are replaced is reported once, from the shallower layer. A private key is its BEGIN line with what can be
+a key's body after it, up to the END line if there is one: a mention of a BEGIN line in prose is none. ``scan`` reads doc_id and
+text only, and a doc_id that is no whole number counts as null; ``redact`` keeps all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +38,16 @@ from pyspark.sql import types as T
 
 from auditloom.llm.common import frugal
 
-#: Bytes that one compressed stream may unfold to; a larger one gives no layer (a guard against decompression bombs).
-STREAM_BYTES = 256 << 20
+#: Bytes to which one compressed stream is unfolded; what is beyond is reported as unscanned (a guard against decompression bombs).
+STREAM_BYTES = 64 << 20
+UNSCANNED = "unscanned"
 
 _KEY = r"(?:api[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|auth[_-]?token|access[_-]?token|token|secret|password|passwd|pwd)"
 RULES: list[tuple[str, re.Pattern]] = [
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)")),
+    ("private_key", re.compile(
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s|\\+[nr])*[A-Za-z][A-Za-z-]{2,30}: [^\r\n\\]{0,200}(?:[\r\n]|\\+[nr])+)*"  # headers of an encrypted key
+        r"(?:(?:[A-Za-z0-9+/=\s]|\\+[nr])*-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\+[nr])*[A-Za-z0-9+/]{16,}={0,2})+)"
+    )),
     ("aws_access_key", re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Z0-9])")),
     ("github_token", re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{40,255})")),
     ("gitlab_token", re.compile(r"(?<![A-Za-z0-9_])glpat-[A-Za-z0-9_-]{20,}")),
@@ -56,6 +62,8 @@ RULES: list[tuple[str, re.Pattern]] = [
 ]
 #: Found inside a run of 16 base64 characters of either alphabet by every rule that needs neither a sign nor one of _DENSE.
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|AIza|[rsp]k_(?:live|test)_|sk-|eyJ")
+#: In bytes that are no text, only what is unlikely by chance is looked for.
+_BINARY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30}|github_pat_[A-Za-z0-9_]{40}|glpat-[A-Za-z0-9_-]{20}|xox[abeoprs]-[A-Za-z0-9-]{10}|AIza[A-Za-z0-9_-]{35}|[rsp]k_(?:live|test)_[A-Za-z0-9]{16}|sk-[A-Za-z0-9_-]{20}|eyJ[A-Za-z0-9_-]{8,}\.eyJ|-----BEGIN [A-Z ]*PRIVATE KEY|(?i:" + _KEY + r")[\"']?\s*(?:[:=]|=>)\s*[\"']?[^\"'\s]{8}")
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)+[A-Za-z0-9+/]+={0,2}")
@@ -105,54 +113,81 @@ def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     return "".join(out), spans
 
 
-def _stream(make, data: bytes) -> bytes | None:
-    """All of a compressed stream, or None if it is none, is cut short or is too large."""
+def _stream(make, data: bytes) -> tuple[bytes, bool] | None:
+    """What a compressed stream unfolds to, and whether that is all of it; None if it is none or broken."""
+    out, left = b"", data
     try:
-        d = make()
-        if isinstance(d, zstandard.ZstdDecompressor):
-            with d.stream_reader(data) as r:
-                out = r.read(STREAM_BYTES + 1)
-            return out if len(out) <= STREAM_BYTES else None
-        out = d.decompress(data, STREAM_BYTES)
-        return out if d.eof else None
+        while left:
+            d = make()
+            if isinstance(d, zstandard.ZstdDecompressor):
+                with d.stream_reader(left, read_across_frames=True) as r:
+                    out = r.read(STREAM_BYTES + 1)
+                told = zstandard.get_frame_parameters(left).content_size
+                return out[:STREAM_BYTES], len(out) <= STREAM_BYTES and (told >= 1 << 63 or told <= len(out))
+            out += d.decompress(left, STREAM_BYTES - len(out) + 1)
+            if len(out) > STREAM_BYTES or not d.eof:
+                return out[:STREAM_BYTES], False
+            left = d.unused_data
+            if not left.startswith(data[:3]):  # members can follow each other
+                break
+        return out, True
     except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
-        return None
+        return (out, False) if out else None
 
 
-_MAGIC = [(b"\x1f\x8b", "gzip", lambda: zlib.decompressobj(31)), (b"BZh", "bzip2", bz2.BZ2Decompressor), (b"\xfd7zXZ", "xz", lzma.LZMADecompressor), (b"\x28\xb5\x2f\xfd", "zstd", zstandard.ZstdDecompressor)]
+_MAGIC = [(b"\x1f\x8b\x08", "gzip", lambda: zlib.decompressobj(31)), (b"BZh", "bzip2", bz2.BZ2Decompressor), (b"\xfd7zXZ", "xz", lzma.LZMADecompressor), (b"\x28\xb5\x2f\xfd", "zstd", zstandard.ZstdDecompressor)]
 _ZLIB = {b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"}
 
 
-def _unpack(data: bytes) -> tuple[bytes, list[str]]:
-    """Compressed layers off until there are none; a stream that repeats itself ends it."""
+def _unpack(data: bytes) -> tuple[bytes, list[str], bool]:
+    """Compressed layers off until there are none (a stream that repeats itself ends it), their names, and whether all was read."""
     names: list[str] = []
     seen = {hashlib.sha256(data).digest()}
+    whole = True
     while True:
         found = next(((n, m) for magic, n, m in _MAGIC if data.startswith(magic)), None) or (("zlib", zlib.decompressobj) if data[:2] in _ZLIB else None)
-        out = _stream(found[1], data) if found else None
-        if out is None or (h := hashlib.sha256(out).digest()) in seen:
-            return data, names
+        got = _stream(found[1], data) if found else None
+        if got is None or (h := hashlib.sha256(got[0]).digest()) in seen or (found[0] == "zlib" and not got[1]):  # two bytes are too few to tell a zlib stream that is cut short
+            return data, names, whole
         seen.add(h)
-        data, names = out, [*names, found[0]]
+        data, names, whole = got[0], [*names, found[0]], whole and got[1]
 
 
-def _base64(run: str) -> tuple[str, list[str]] | None:
-    """The text under a run of base64, and the names of what was unwrapped; None if it holds no text."""
+def _plain(data: bytes) -> str | None:
+    """Bytes as text: UTF-8, UTF-16, or a character for each byte where a rule could match; None if there is no text in them."""
+    try:
+        text = data.decode("utf-8")
+        if text and "\0" not in text and len(_PRINT.findall(text)) * 20 <= len(text):
+            return text
+    except UnicodeDecodeError:
+        pass
+    for start, code in ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")) if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ((b"", "utf-16-le"), (b"", "utf-16-be")):
+        side = data[1::2] if code == "utf-16-le" else data[::2]
+        if len(data) >= 8 and len(data) % 2 == 0 and (start or side.count(0) * 2 > len(side)):
+            try:
+                text = data.decode(code)
+            except UnicodeDecodeError:
+                continue
+            if len(_PRINT.findall(text)) * 20 <= len(text):
+                return text
+    text = data.decode("latin-1")
+    return text if _BINARY.search(text) else None
+
+
+def _base64(run: str) -> tuple[str, list[str], bool] | None:
+    """The text under a run of base64, the names of what was unwrapped, and whether all could be read; None if it holds no text."""
     body = re.sub(r"\s", "", run).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    data, names = _unpack(data)
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or len(_PRINT.findall(text)) * 20 > len(text):
+    data, names, whole = _unpack(data)
+    text = _plain(data)
+    if text is None and whole:
         return None
-    return text, ["base64", *names]
+    return text or "", ["base64", *names], whole
 
 
 def _marked(text: str) -> list[tuple[int, int, str]]:
@@ -185,33 +220,38 @@ def findings(text: str | None) -> list[tuple[int, int, str, str, int, str]]:
     """(start, end, rule, layers, depth, SHA-256 of the secret) in a text: characters of the text, layers as 'url>base64>gzip'."""
     if not text:
         return []
-    out: dict[tuple[int, int], tuple] = {}
+    out: dict[tuple, tuple] = {}
     seen = {(_digest(text), 0, len(text))}
-    work: list[tuple[str, list[str], list]] = [(text, [], [])]
-    while work:
-        layer, names, maps = work.pop(0)
+    work: list[tuple[str, list[str], list, set]] = [(text, [], [], set())]  # with what the layer above has found
+    for layer, names, maps, above in work:
 
         def origin(start: int, end: int) -> tuple[int, int]:
             for spans in reversed(maps):
                 start, end = _through(spans, start, end)
             return start, end
 
+        mine = set()
         for s, e, rule in _marked(layer):
-            at = origin(s, e)
-            if at not in out:
-                out[at] = (*at, rule, ">".join(names), len(names), _digest(layer[s:e]))
+            at, secret = origin(s, e), _digest(layer[s:e])
+            mine.add((*at, rule))
+            if not (names and names[-1] == "escape" and (*at, rule) in above):
+                out.setdefault((*at, secret), (*at, rule, ">".join(names), len(names), secret))
         nexts = []
         if flat := _unescape(layer):
             nexts.append((flat[0], ["escape"], flat[1], (0, len(text))))
         for pattern in (_LINES, _RUN):
             for m in pattern.finditer(layer):
                 if got := _base64(m.group()):
-                    nexts.append((got[0], got[1], [(-1, -1, m.start(), m.end())], origin(m.start(), m.end())))
+                    at = origin(m.start(), m.end())
+                    if not got[2]:
+                        out.setdefault((*at, UNSCANNED), (*at, UNSCANNED, ">".join(names + got[1]), len(names + got[1]), _digest(m.group())))
+                    if got[0]:
+                        nexts.append((got[0], got[1], [(-1, -1, m.start(), m.end())], at))
         for new, added, spans, at in nexts:
             key = (_digest(new), *at)
             if key not in seen:  # the same text from the same place is a cycle, or a layer that two ways lead to
                 seen.add(key)
-                work.append((new, names + added, [*maps, spans]))
+                work.append((new, names + added, [*maps, spans], mine))
     return sorted(out.values())
 
 
@@ -272,7 +312,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _FOUND)
+    return docs.selectExpr("try_cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _FOUND)
 
 
 def _blank(text: str, found: list) -> str:

@@ -63,7 +63,8 @@ def test_queries_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_queries_without_sql_run(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    # the smallest documents hold no secret
+    assert QUERIES[name](spark, SF.replace("0.001", "0.01") if name == "op7_secret_scan" else SF).count() > 0
 
 
 def test_mixture_weights_follow_the_labels(spark):
