@@ -10,7 +10,7 @@ words is a set of one). The join finds all pairs with Jaccard similarity of ``TH
 3. A bucket of up to ``LIMIT`` sets is compared by brute force in one task. A larger one is split by a further round over the whole cluster: it is dealt into
    chunks of bounded size, each with the same sample of the bucket; sets that are close to the sample on average would be compared with most
    of the bucket in any case, so they are compared with all of it, in cells of ``BLOCK`` by ``BLOCK`` sets, and leave it. The rest goes to buckets by further tokens
-   that its members share (``SPLIT_RUNS`` runs), until buckets are small or ``LEVELS`` deep, where what is left is compared in cells. So no bucket is capped,
+   that its members share (``SPLIT_RUNS`` runs in the first split, then one), until buckets are small or ``LEVELS`` deep, where what is left is compared in cells. So no bucket is capped,
    and none is held by one task or the driver.
 4. Pairs whose sketches come near the threshold are verified exactly on the sets themselves (40-bit hashes of 3-grams), each pair once, group by group; a group of more than
    ``GROUP`` sets or ``GRAMS`` n-grams is verified in cells.
@@ -48,8 +48,8 @@ TARGET_RECALL = 0.97
 T_ = 63
 SLACK = 0.15
 LIMIT = 1000
-LEVELS = 6
-#: Runs of the tokens by which a large bucket is split, sets of a sample of a large bucket, of a chunk of it, and of a side of a cell.
+LEVELS = 4
+#: Runs of the tokens by which a large bucket is split first (one in further splits), sets of a sample of a large bucket, of a chunk of it, and of a side of a cell.
 SPLIT_RUNS = 3
 SAMPLE, CHUNK, BLOCK = 256, 4096, 1024
 #: Sets, and n-grams of them, that are verified together at most, but for a cell of two sides.
@@ -196,12 +196,14 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def expected_recall(times: int, threshold: float = THRESHOLD, depth: int = LEVELS) -> float:
-    """The probability that a pair at the threshold is found if every bucket that it shares is split depth times: a token of both is taken in some run, it stays together in every split, and its sketches pass."""
+    """The probability that a pair at the threshold is found if every bucket that it shares is split depth times: a token of both is taken in some run, some token in each split, and its sketches pass."""
     p, shared = 1 / (threshold * T_), threshold * T_
-    stays = (1 - (1 - p) ** (SPLIT_RUNS * shared)) ** depth
+    meets = 1.0
+    for level in range(depth):  # from the deepest split up
+        meets = 1 - (1 - p * meets) ** (shared * (SPLIT_RUNS if level == depth - 1 else 1))
     least = math.ceil((threshold - SLACK) * T_)
     sketch = sum(math.comb(T_, k) * threshold**k * (1 - threshold) ** (T_ - k) for k in range(least, T_ + 1))
-    return sketch * (1 - (1 - p * stays) ** (times * shared))
+    return sketch * (1 - (1 - p * meets) ** (times * shared))
 
 
 def runs(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
@@ -241,7 +243,7 @@ def _pairs_within(s: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarr
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def split(s: np.ndarray, sample: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(s: np.ndarray, sample: np.ndarray, threshold: float, seed: int, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For members (m, T_) of a large bucket: which are close to its sample on average, and (row, child bucket) of the others."""
     near = np.zeros(len(s))
     for i in range(T_):
@@ -250,7 +252,7 @@ def split(s: np.ndarray, sample: np.ndarray, threshold: float, seed: int) -> tup
         near += np.where(value[at] == s[:, i], count[at], 0) / len(sample)
     heavy = near / T_ > 0.9 * threshold
     light = np.flatnonzero(~heavy)
-    who, pos = np.nonzero(chosen(s[light], 1 / (threshold * T_), seed, SPLIT_RUNS))
+    who, pos = np.nonzero(chosen(s[light], 1 / (threshold * T_), seed, times))
     with np.errstate(over="ignore"):
         child = _mix((s[light[who], pos].astype(_U) | pos.astype(_U) << _U(32)) ^ _mix(np.array([seed], _U) + _P))
     return heavy, light[who], child.view(np.int64)
@@ -325,26 +327,19 @@ def _candidates_of(threshold: float):
     return run
 
 
-def _split_of(threshold: float):
-    """Chunks of large buckets: the sample (is_sample) and members of each. Members leave as they came with heavy set, and as rows of child buckets."""
+def _split_of(threshold: float, times: int):
+    """Chunks of large buckets: the sample (is_sample) and members of each. A member leaves as (bucket, set_id, heavy) and, if it isn't heavy, in its child buckets, with heavy null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 0):
-            t = t.combine_chunks()
             drawn = t["is_sample"].to_numpy(zero_copy_only=False)
             sample, member = t.filter(pa.array(drawn)), t.filter(pa.array(~drawn))
             if not member.num_rows:
                 continue
-            s = _sketch_rows(member)
-            bucket = t["bucket"][0].as_py()
-            heavy, who, child = split(s, _sketch_rows(sample) if sample.num_rows else s, threshold, bucket % 2**62)
-            for rows, to, is_heavy in ((np.flatnonzero(heavy), None, True), (np.flatnonzero(~heavy), None, False), (who, child, None)):
-                out = member.take(pa.array(rows)).combine_chunks()
-                for batch in out.select(["set_id", "n", "small", "sketch"]).to_batches():
-                    size = batch.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(size, bucket) if to is None else to), pa.array([is_heavy] * size, pa.bool_()), *batch.columns], names=["bucket", "heavy", "set_id", "n", "small", "sketch"]
-                    )
+            s, ids, bucket = _sketch_rows(member), member["set_id"].to_numpy(), t["bucket"][0].as_py()
+            heavy, who, child = split(s, _sketch_rows(sample) if sample.num_rows else s, threshold, bucket % 2**62, times)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket)), pa.array(ids), pa.array(heavy)], names=["bucket", "set_id", "heavy"])
+            yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(ids[who]), pa.nulls(len(who), pa.bool_())], names=["bucket", "set_id", "heavy"])
 
     return run
 
@@ -377,8 +372,9 @@ def _cells_of(threshold: float):
     return run
 
 
-def _verified(threshold: float):
-    """Groups come as their sets, then their pairs; sets are bit rows over the n-grams that at least two of them share."""
+def _verified(threshold: float, tally: bool):
+    """Groups come as their sets, then their pairs; sets are bit rows over the n-grams that at least two of them share. The pairs leave or, as a tally, (set, links, root) of each set:
+    a link counts for each id that has the other set, and the root is the smallest set of the group that it is connected with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 0):
@@ -389,11 +385,12 @@ def _verified(threshold: float):
             pair = t.filter(pa.array(is_pair))
             ids = whole["a"].to_numpy()
             order = np.argsort(ids)
-            ids = ids[order]
+            ids, copies = ids[order], whole["copies"].to_numpy()[order]
             grams = whole["grams"].to_pylist()
             sets = [unpacked(grams[k]) for k in order.tolist()]
             size = np.array([len(x) for x in sets])
-            a, b = np.searchsorted(ids, pair["a"].to_numpy()), np.searchsorted(ids, pair["b"].to_numpy())
+            both = np.unique(np.stack([pair["a"].to_numpy(), pair["b"].to_numpy()], 1), axis=0)  # a pair of several large buckets comes several times
+            a, b = np.searchsorted(ids, both[:, 0]), np.searchsorted(ids, both[:, 1])
             _, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             own = np.repeat(np.arange(len(sets)), size)
             shared = count > 1
@@ -411,12 +408,28 @@ def _verified(threshold: float):
                     common[k : k + rows] += np.bitwise_count(bits[a[k : k + rows]] & bits[b[k : k + rows]]).sum(1, dtype=np.int64)
             j = common / (size[a] + size[b] - common)
             ok = j >= threshold
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]]), pa.array(j[ok])], names=["a", "b", "jaccard"])
+            a, b = a[ok], b[ok]
+            if not tally:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(j[ok])], names=["a", "b", "jaccard"])
+                continue
+            links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[roots(len(ids), a, b)[some]])], names=["a", "links", "root"])
 
     return run
 
 
-_MEMBER = "bucket bigint, pos tinyint, set_id bigint, n int, small bigint, sketch binary"
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of n rows is connected with by the pairs (a, b): larger roots are hooked to smaller ones until no pair has two."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
 
 
 def _crowds(tokens: DataFrame) -> DataFrame:
@@ -446,23 +459,27 @@ def _in_cells(rows: DataFrame, threshold: float) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal(_cells_of(threshold)), "a bigint, b bigint")
 
 
-def _large_buckets(large: DataFrame, threshold: float) -> list[Table]:
-    """Candidates of the buckets above LIMIT, level by level; large: bucket, set_id, n, small, sketch, crowd. Every level is written, so a lost executor costs no more than its tasks."""
+def _large_buckets(large: DataFrame, sets: DataFrame, threshold: float) -> list[Table]:
+    """Candidates of the buckets above LIMIT, level by level; large: bucket, set_id, crowd; sets: set_id, n, small, sketch of the sets in them. Every level is written, so a lost executor costs no more than its tasks."""
     found: list[Table] = []
     held = Table(large, "path-large-0")
     for level in range(1, LEVELS + 1):
-        chunks = F.ceil(F.col("crowd") / CHUNK)
-        member = held.df.withColumns({"chunk": _dealt("set_id", chunks, 3), "is_sample": F.lit(False)})
+        row = ["bucket", "set_id", "sketch", "crowd"]
+        whole = held.df.join(sets.select("set_id", "sketch"), "set_id").select(*row)
+        last = F.expr(f"cast(ceil(crowd / {CHUNK}) as bigint) - 1")
         drawn = F.pmod(F.xxhash64(F.lit(level), "set_id", "bucket"), F.lit(1 << 40)) < F.lit(float(SAMPLE << 40)) / F.col("crowd")
-        sample = held.df.where(drawn).withColumns({"chunk": F.explode(F.expr(f"sequence(0L, ceil(crowd / {CHUNK}) - 1)")), "is_sample": F.lit(True)})
-        dealt = member.unionByName(sample).select(F.xxhash64("bucket", "chunk").alias("cell"), "bucket", "set_id", "n", "small", "sketch", "is_sample")
-        parted = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal(_split_of(threshold)), "bucket bigint, heavy boolean, set_id bigint, n int, small bigint, sketch binary")
+        dealt = F.array(F.struct(_dealt("set_id", last + 1, 3).alias("chunk"), F.lit(False).alias("is_sample")))
+        to_all = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("is_sample")))
+        each = whole.withColumn("to", F.explode(F.when(drawn, F.concat(dealt, to_all)).otherwise(dealt))).select(F.xxhash64("bucket", "to.chunk").alias("cell"), "bucket", "set_id", "sketch", "to.is_sample")
+        parted = each.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal(_split_of(threshold, SPLIT_RUNS if level == 1 else 1)), "bucket bigint, set_id bigint, heavy boolean")
         parted = Table(parted, f"path-split-{level}")
         held.drop()
-        found.append(Table(_in_cells(parted.df.where("heavy is not null"), threshold), f"path-heavy-{level}"))
+        hot = parted.df.where("heavy").select("bucket").distinct()
+        heavy = parted.df.where("heavy is not null").join(hot, "bucket", "left_semi").join(sets, "set_id")
+        found.append(Table(_in_cells(heavy, threshold), f"path-heavy-{level}"))
         children = Table(_crowds(parted.df.where("heavy is null").drop("heavy")), f"path-children-{level}")
         parted.drop()
-        few = children.df.where(F.col("crowd") <= LIMIT).withColumn("pos", F.lit(None).cast("tinyint"))
+        few = children.df.where(F.col("crowd") <= LIMIT).join(sets, "set_id").withColumn("pos", F.lit(None).cast("tinyint"))
         found.append(Table(_of_buckets(few, threshold), f"path-small-{level}"))
         many = children.df.where(F.col("crowd") > LIMIT)
         if not many.limit(1).count():
@@ -470,53 +487,77 @@ def _large_buckets(large: DataFrame, threshold: float) -> list[Table]:
             return found
         held = Table(many, f"path-large-{level}")
         children.drop()
-    found.append(Table(_in_cells(held.df.withColumn("heavy", F.lit(True)), threshold), "path-rest"))
+    found.append(Table(_in_cells(held.df.join(sets, "set_id").withColumn("heavy", F.lit(True)), threshold), "path-rest"))
     held.drop()
     return found
 
 
-def _verification(cands: DataFrame, raw: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the candidates at the threshold. A pair is verified with the others of its neighbourhood, so a set is sent to few places; large neighbourhoods are dealt into cells."""
-    near = cands.select(F.col("a").alias("x"), F.col("b").alias("y")).union(cands.select(F.col("b"), F.col("a")))
-    label = near.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("g"))
-    placed = Table(cands.join(label, F.col("a") == F.col("x")).select("g", "a", "b"), "path-groups")
-    one = raw.groupBy("set_id").agg(F.min("row").alias("row"), F.min("n").alias("n"))  # of many equal sets one row is sent
-    inside = placed.df.select("g", F.col("a").alias("s")).union(placed.df.select("g", "b")).distinct().join(one, F.col("s") == F.col("set_id"))
-    parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GRAMS))
-    sizes = inside.groupBy("g").agg(parts.cast("bigint").alias("parts"))
-    cell = placed.df.join(sizes, "g").select(F.xxhash64("g", _dealt("a", F.col("parts"), 4), _dealt("b", F.col("parts"), 4)).alias("g"), "a", "b")
-    cell = Table(cell, "path-cells")
-    placed.drop()
-    need = cell.df.select("g", F.col("a").alias("s")).union(cell.df.select("g", "b")).distinct()
-    wanted = need.join(one, F.col("s") == F.col("set_id")).select("g", "set_id", "row")
-    sent = wanted.join(raw.select("row", "grams"), "row")
-    sent = sent.select("g", F.col("set_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    both = sent.union(cell.df.select("g", "a", "b", F.lit(None).cast("binary")))
-    return both.repartition("g").sortWithinPartitions("g").mapInArrow(frugal(_verified(threshold)), "a bigint, b bigint, jaccard double")
-
-
-def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> tuple[Table, Table]:
-    """(documents' sets: doc_id, set_id, ..., rows that repeat both are one; pairs of sets: a, b, jaccard), both written to the shared folder."""
-    raw = Table(document_sets(docs).withColumn("row", F.monotonically_increasing_id()), "path-sets")
-    reps = raw.df.groupBy("set_id").agg(F.min_by(F.struct("n", "sketch"), "doc_id").alias("s")).select("set_id", "s.n", "s.sketch")
-    reps = Table(reps, "path-sketches")
-    tokens = reps.df.select("set_id", "sketch").mapInArrow(frugal(_buckets_of(runs(threshold, target), threshold)), "bucket bigint, pos tinyint, set_id bigint")
-    member = Table(_crowds(tokens), "path-members")
-    at = F.struct("bucket", "pos", "crowd")
-    bit = F.when(F.col("crowd") <= LIMIT, F.expr("shiftleft(1L, cast(pos as int))")).otherwise(F.lit(0).cast("bigint"))
-    per_set = member.df.groupBy("set_id").agg(F.bit_or(bit).alias("small"), F.collect_list(at).alias("at"))  # T_ buckets of a set at most
-    rows = per_set.join(reps.df, "set_id").select(F.explode("at").alias("at"), "set_id", "n", "small", "sketch").select("at.*", "set_id", "n", "small", "sketch")
-    found = [Table(_of_buckets(rows.where(F.col("crowd") <= LIMIT), threshold), "path-small-0")]
-    if member.df.where(F.col("crowd") > LIMIT).limit(1).count():
-        found += _large_buckets(rows.where(F.col("crowd") > LIMIT).drop("pos"), threshold)
-    member.drop()
-    reps.drop()
-    cands = Table(reduce(DataFrame.union, [t.df for t in found]).distinct(), "path-candidates")
-    for t in found:
-        t.drop()
-    pairs = Table(_verification(cands.df, raw.df, threshold), "path-pairs")
-    cands.drop()
-    return raw, pairs
+class Candidates:
+    """What the chosen paths leave: the documents' sets (doc_id, set_id, n, grams, row), (set_id, doc_id) without repeats, and the candidate pairs (a, b), which can come several times."""
+
+    def __init__(self, docs: DataFrame, threshold: float, target: float):
+        self.threshold = threshold
+        self.raw = Table(document_sets(docs).withColumn("row", F.monotonically_increasing_id()), "path-sets")
+        self.member = Table(self.raw.df.select("set_id", "doc_id").distinct(), "path-member")
+        reps = self.raw.df.groupBy("set_id").agg(F.min_by(F.struct("n", "sketch"), "doc_id").alias("s")).select("set_id", "s.n", "s.sketch")
+        reps = Table(reps, "path-sketches")
+        tokens = reps.df.select("set_id", "sketch").mapInArrow(frugal(_buckets_of(runs(threshold, target), threshold)), "bucket bigint, pos tinyint, set_id bigint")
+        buckets = Table(_crowds(tokens), "path-buckets")
+        at = F.struct("bucket", "pos", "crowd")
+        bit = F.when(F.col("crowd") <= LIMIT, F.expr("shiftleft(1L, cast(pos as int))")).otherwise(F.lit(0).cast("bigint"))
+        per_set = buckets.df.groupBy("set_id").agg(F.bit_or(bit).alias("small"), F.collect_list(at).alias("at"))  # T_ buckets of a set at most
+        masked = per_set.join(reps.df, "set_id")
+        rows = masked.select(F.explode("at").alias("at"), "set_id", "n", "small", "sketch").select("at.*", "set_id", "n", "small", "sketch")
+        found = [Table(_of_buckets(rows.where(F.col("crowd") <= LIMIT), threshold), "path-small-0")]
+        if buckets.df.where(F.col("crowd") > LIMIT).limit(1).count():
+            sets = Table(masked.where(F.exists("at", lambda x: x.crowd > LIMIT)).select("set_id", "n", "small", "sketch"), "path-large-sets")
+            found += _large_buckets(buckets.df.where(F.col("crowd") > LIMIT).drop("pos"), sets.df, threshold)
+            sets.drop()
+        buckets.drop()
+        reps.drop()
+        self.parts = found
+
+    @property
+    def pairs(self) -> DataFrame:
+        return reduce(DataFrame.union, [t.df for t in self.parts])
+
+    def verified(self, pairs: DataFrame | None = None, tally: bool = False) -> Table:
+        """(a, b, jaccard) of the pairs at the threshold or, as a tally, (a, links, root) of the sets in them, as each task counts them.
+
+        A pair is verified with the others of its neighbourhood, so a set is sent to few places; large neighbourhoods are dealt into cells.
+        """
+        cands, raw = self.pairs if pairs is None else pairs, self.raw.df
+        near = cands.select(F.col("a").alias("x"), F.col("b").alias("y")).union(cands.select(F.col("b"), F.col("a")))
+        label = near.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("g"))
+        placed = Table(cands.join(label, F.col("a") == F.col("x")).select("g", "a", "b"), "path-groups")
+        copies = self.member.df.groupBy("set_id").agg(F.count("*").alias("copies"))
+        one = raw.groupBy("set_id").agg(F.min("row").alias("row"), F.min("n").alias("n"))  # of many equal sets one row is sent
+        inside = placed.df.select("g", F.col("a").alias("s")).union(placed.df.select("g", "b")).distinct()
+        parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GRAMS)).cast("bigint")
+        large = Table(inside.join(one, F.col("s") == F.col("set_id")).groupBy("g").agg(parts.alias("parts")).where("parts > 1"), "path-large-groups")
+        split = placed.df.join(large.df, "g", "left")
+        cell = split.select(F.when(F.col("parts") > 1, F.xxhash64("g", _dealt("a", F.col("parts"), 4), _dealt("b", F.col("parts"), 4))).otherwise(F.col("g")).alias("g"), "a", "b")
+        need = cell.select("g", F.col("a").alias("s")).union(cell.select("g", "b")).distinct()
+        sent = need.join(one, F.col("s") == F.col("set_id")).join(copies, "set_id").select("g", "set_id", "copies", "row").join(raw.select("row", "grams"), "row")
+        sent = sent.select("g", F.col("set_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "copies", "grams")
+        both = sent.union(cell.select("g", "a", "b", F.lit(None).cast("bigint"), F.lit(None).cast("binary")))
+        out = both.repartition("g").sortWithinPartitions("g").mapInArrow(frugal(_verified(self.threshold, tally)), "a bigint, links bigint, root bigint" if tally else "a bigint, b bigint, jaccard double")
+        out = Table(out, "path-verified")
+        placed.drop()
+        large.drop()
+        return out
+
+    def groups(self, tally: DataFrame) -> tuple[DataFrame, Table]:
+        """(doc_id, set_id, root) of the ids' sets, and the table of roots, to be dropped after use; sets that one id has several of are connected through it."""
+        member = self.member.df
+        several = member.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.count("*").alias("k")).where("k > 1")
+        through = member.join(several, "doc_id").where("set_id <> b").select(F.col("set_id").alias("a"), "b")
+        root = components(tally.where("a <> root").select("a", F.col("root").alias("b")).union(through))
+        return member.join(root.df.select(F.col("x").alias("set_id"), "root"), "set_id", "left").select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root")), root
+
+    def drop(self) -> None:
+        for t in (self.raw, self.member, *self.parts):
+            t.drop()
 
 
 def _names(raw: DataFrame) -> DataFrame:
@@ -526,11 +567,14 @@ def _names(raw: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: the pairs of different sets, each set by the smallest id that has it (``membership`` has the others); pairs of one id's own texts are left out."""
-    raw, pairs = similar_sets(docs, threshold, target)
-    name = _names(raw.df)
+    found = Candidates(docs, threshold, target)
+    pairs, name = found.verified(), _names(found.member.df)
     left, right = name.select(F.col("set_id").alias("a"), F.col("doc").alias("x")), name.select(F.col("set_id").alias("b"), F.col("doc").alias("y"))
     named = pairs.df.join(left, "a").join(right, "b").where("x <> y")
-    return named.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+    out = Table(named.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard")), "path-pairs")
+    found.drop()
+    pairs.drop()
+    return out.df
 
 
 def membership(docs: DataFrame) -> DataFrame:
@@ -539,32 +583,32 @@ def membership(docs: DataFrame) -> DataFrame:
     return raw.join(_names(raw), "set_id").select("doc_id", F.col("doc").alias("text_of")).distinct()
 
 
-def _grouped_ids(member: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Table]:
-    """(doc_id, set_id, root) of the ids' sets, and the table of roots to be dropped after use; sets that one id has several of are connected through it."""
-    through = member.join(member.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.count("*").alias("k")).where("k > 1"), "doc_id").where("set_id <> b").select(F.col("set_id").alias("a"), "b")
-    root = components(pairs.select("a", "b").union(through))
-    return member.join(root.df.select(F.col("x").alias("set_id"), "root"), "set_id", "left").select("doc_id", "set_id", F.coalesce("root", "set_id").alias("root")), root
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """(doc_id, class_id, n_links), a row for each id: the smallest id of its connected group, and how many texts of other ids are at least that similar to its own."""
-    raw, pairs = similar_sets(docs, threshold, target)
-    member = Table(raw.df.select("set_id", "doc_id").distinct(), "path-member")
-    raw.drop()
-    copies = member.df.groupBy("set_id").agg(F.count("*").alias("copies"))
-    both = pairs.df.select(F.col("a").alias("set_id"), F.col("b").alias("o")).union(pairs.df.select("b", "a"))
-    linked = both.join(copies.withColumnRenamed("set_id", "o"), "o").groupBy("set_id").agg(F.sum("copies").alias("others"))
+    found = Candidates(docs, threshold, target)
+    tally = found.verified(tally=True)
+    member = found.member.df
+    copies = member.groupBy("set_id").agg(F.count("*").alias("copies"))
+    linked = tally.df.groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("others"))
     per_set = copies.join(linked, "set_id", "left").select("set_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    group, root = _grouped_ids(member.df, pairs.df)
+    group, root = found.groups(tally.df)
     first = group.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     per_id = group.join(per_set, "set_id").join(first, "root").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
-    # Links of an id with itself: pairs of its own sets, for ids that have several.
-    several = member.df.join(member.df.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1"), "doc_id").select("doc_id", "set_id")
-    own = pairs.df.join(several.select(F.col("set_id").alias("a"), "doc_id"), "a").join(several.select(F.col("set_id").alias("b"), "doc_id"), ["b", "doc_id"]).groupBy("doc_id").agg((2 * F.count("*")).alias("own"))
     every = docs.select(_id().alias("doc_id")).where("doc_id is not null").distinct()
-    out = every.join(per_id, "doc_id", "left").join(own, "doc_id", "left")
-    out = Table(out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("n_links")), "path-classes")
-    for t in (member, pairs, root):
+    out = every.join(per_id, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+    several = member.join(member.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1"), "doc_id").select("doc_id", "set_id")
+    extra = [tally, root]
+    if several.limit(1).count():  # an id's own texts, where it has several, are no links of it
+        several = Table(several, "path-several")
+        side = lambda c: several.df.select(F.col("set_id").alias(c), F.col("doc_id").alias("d"))
+        mine = Table(found.pairs.join(side("a"), "a").join(side("b"), ["b", "d"]).select("a", "b", "d").distinct(), "path-own")
+        near = found.verified(mine.df.select("a", "b").distinct())
+        own = mine.df.join(near.df, ["a", "b"]).groupBy(F.col("d").alias("doc_id")).agg((2 * F.count("*")).alias("own"))
+        out = out.join(own, "doc_id", "left").select("doc_id", "class_id", (F.col("n_links") - F.coalesce("own", F.lit(0))).alias("n_links"))
+        extra += [several, mine, near]
+    out = Table(out, "path-classes")
+    found.drop()
+    for t in extra:
         t.drop()
     return out.df
 
@@ -589,12 +633,13 @@ def components(edges: DataFrame) -> Table:
 
 def dedupe(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """docs without the documents that are near duplicates of one with a smaller id, over whole connected groups."""
-    raw, pairs = similar_sets(docs, threshold, target)
-    group, root = _grouped_ids(raw.df.select("set_id", "doc_id").distinct(), pairs.df)
+    found = Candidates(docs, threshold, target)
+    tally = found.verified(tally=True)
+    group, root = found.groups(tally.df)
     first = group.groupBy("root").agg(F.min("doc_id").alias("kept"), F.count("*").alias("k")).where("k > 1")
     lost = Table(group.join(first, "root").where("doc_id <> kept").select(F.col("doc_id").alias("__path_lost")).distinct(), "path-lost")
-    raw.drop()
-    pairs.drop()
+    found.drop()
+    tally.drop()
     root.drop()
     gone = lost.df
     return docs.join(gone, _id(docs["doc_id"]) == gone["__path_lost"], "left_anti")
