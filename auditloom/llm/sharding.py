@@ -1,13 +1,13 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters the rows uniformly into buckets that fit in memory, by a seeded hash of their content.
-Pass 2 puts each bucket in a canonical order and permutes it by a Fisher-Yates shuffle seeded
-with the bucket's number, so a task that runs again writes the same rows in the same order.
-The number of buckets follows the bytes of the input.
-
-Defined results: rows are kept whatever they hold: nulls, empty and very long texts, columns of any name. Equal
-rows go to one bucket and are told apart by nothing, so their order doesn't show. An
-empty table gives no rows. If the input has a column named ``shard`` or ``position``, the new one replaces it.
+Pass 1 scatters the rows uniformly into buckets that fit in memory, by a seeded hash of their content; rows that are repeated are told apart by their place in the
+written input, so a group of copies is spread like any other rows. Pass 2 puts each bucket in the order of the hashes and permutes it by a Fisher-Yates shuffle seeded
+with the bucket's number. The input is written to the shared folder first, so a task that runs again sees the same places and writes the same rows in the same order.
+The number of buckets follows the bytes of all columns of the input. ``write_shards`` writes every bucket as a folder of its own.
+
+Defined results: rows are kept whatever they hold: nulls, empty and very long texts, columns of any name and kind; a table needs no column of a certain name. Rows without repetition have one order for any partitioning
+of the input; where rows are repeated, the order is one for each partitioning. An
+empty table gives no rows. The new columns are named ``shard`` and ``position``; where the input has such a column, it stays, and the new one is ``shard_1`` or ``position_1``, and so on (``new_names``).
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import frugal
+from auditloom.llm.common import Table, frugal
 
 SEED = 77
-#: Bytes of text in a bucket.
+#: Bytes of a bucket.
 BUCKET_BYTES = 24 << 20
 
 
@@ -43,37 +43,61 @@ def bucket_seed(seed: int, bucket: int) -> int:
     return seed * 1_000_003 + bucket
 
 
-def scatter_hash(docs: DataFrame, seed: int) -> F.Column:
-    """Over all columns that can be hashed, so only rows that are equal in them tie."""
-    cols = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(F.lit(seed), *cols)
+def new_names(columns: list[str]) -> tuple[str, str]:
+    """Names of the two new columns that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    free = lambda name: next(x for x in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if x not in taken)
+    return free("shard"), free("position")
+
+
+def _bytes(field: T.StructField, col: F.Column) -> F.Column:
+    """Bytes of a value, as text for a nested one."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(col)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(col.alias("x"))))
+    return F.lit(8)
+
+
+def _hashed(field: T.StructField, col: F.Column) -> F.Column:
+    """Something of a column that can be hashed: maps can't be."""
+    return F.to_json(F.struct(col.alias("x"))) if "map<" in field.dataType.simpleString() else col
 
 
 def shard(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """docs with ``shard`` and ``position`` (0, 1, ... in each shard), in shuffled order inside each shard."""
-    keep = [c for c in docs.columns if c not in ("shard", "position")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    n = max(1, math.ceil(size / bucket_bytes))
-    h = scatter_hash(docs, seed)
-    scattered = docs.withColumns({"__shard_h": h, "__shard_b": F.pmod(h, F.lit(n)).cast("int")}).repartitionById(n, F.col("__shard_b"))
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("position", T.LongType()), *docs.schema.fields])
+    """docs with the new columns first: the bucket, and the position (0, 1, ...) in it."""
+    fields, (shard_name, position_name) = docs.schema.fields, new_names(docs.columns)
+    cols = [F.col(f"`{f.name}`") for f in fields]
+    mine = [f"c{k}" for k in range(len(fields))]  # no name of docs can clash with ours
+    h = F.xxhash64(F.lit(seed), *[_hashed(f, c) for f, c in zip(fields, cols)])
+    size = sum((F.coalesce(_bytes(f, c), F.lit(0)) for f, c in zip(fields, cols)), F.lit(16))
+    rows = Table(docs.select(*[c.alias(m) for c, m in zip(cols, mine)], h.alias("h"), size.cast("bigint").alias("s"), F.monotonically_increasing_id().alias("r")), "shard-input")
+    total = rows.df.agg(F.sum("s")).first()[0] or 0
+    n = max(1, math.ceil(total / bucket_bytes))
+    repeated = Table(rows.df.groupBy(F.col("h").alias("again")).agg(F.count("*").alias("k")).where("k > 1").select("again"), "shard-repeated")
+    place = F.when(F.col("again").isNull(), F.xxhash64(F.lit(seed + 1), "h")).otherwise(F.xxhash64(F.lit(seed + 1), "h", "r"))
+    scattered = rows.df.join(repeated.df, F.col("h") == F.col("again"), "left").withColumn("b", F.pmod(place, F.lit(n)).cast("int")).select(*mine, "h", "r", "b").repartitionById(n, F.col("b"))
+    names = [shard_name, position_name, *docs.columns]
+    schema = T.StructType([T.StructField(shard_name, T.IntegerType()), T.StructField(position_name, T.LongType()), *[T.StructField(f.name, f.dataType, True) for f in fields]])
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
         if not whole:
             return
         t = pa.Table.from_batches(whole)
-        for b in sorted(pc.unique(t["__shard_b"]).to_pylist()):
-            part = t.filter(pc.equal(t["__shard_b"], b))
-            # by hash, then id: rows that are still equal are alike, but for a collision of 64 bits
-            first = pc.sort_indices(part, sort_keys=[("__shard_h", "ascending"), ("doc_id", "ascending")])
-            order = first.to_numpy()[fisher_yates(part.num_rows, bucket_seed(seed, b))]
-            step = 2000
-            for at in range(0, len(order), step):
-                out = part.take(pa.array(order[at : at + step])).combine_chunks()
-                cols = [pa.array(np.full(out.num_rows, b, np.int32)), pa.array(np.arange(at, at + out.num_rows, dtype=np.int64))]
-                cols += [out[c].combine_chunks() if out[c].num_chunks != 1 else out[c].chunk(0) for c in keep]
-                yield pa.RecordBatch.from_arrays(cols, names=["shard", "position", *keep])
+        for b in sorted(pc.unique(t["b"]).to_pylist()):
+            part = t.filter(pc.equal(t["b"], b))
+            first = np.lexsort((part["r"].to_numpy(), part["h"].to_numpy()))
+            order = first[fisher_yates(part.num_rows, bucket_seed(seed, b))]
+            for at in range(0, len(order), 2000):
+                out = part.take(pa.array(order[at : at + 2000])).combine_chunks()
+                new = [pa.array(np.full(out.num_rows, b, np.int32)), pa.array(np.arange(at, at + out.num_rows, dtype=np.int64))]
+                new += [out[c].combine_chunks() if out[c].num_chunks != 1 else out[c].chunk(0) for c in mine]
+                yield pa.RecordBatch.from_arrays(new, names=names)
 
     return scattered.mapInArrow(frugal(shuffle), schema)
+
+
+def write_shards(docs: DataFrame, path: str, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
+    """Writes the buckets as Parquet under path, a folder ``<shard>=<number>`` for each, its rows in shuffled order."""
+    shard(docs, seed, bucket_bytes).write.partitionBy(new_names(docs.columns)[0]).parquet(path)
