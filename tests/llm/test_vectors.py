@@ -62,12 +62,27 @@ def test_ties_go_by_id_in_large_groups_of_copies_and_among_equal_distances(spark
     grid[:, :3] = 40 + rng.permutation(np.stack(np.meshgrid(*[range(8)] * 3), -1).reshape(-1, 3))[:500]  # unlike vectors at equal distances
     x = np.concatenate([x, grid])
     want = exact_neighbours(x, 10)
-    for shard in (5000, 250):
-        got = {r.vec_id: r for r in vptree.neighbours(frame(spark, list(enumerate(x))), k=10, factor=1.0, shard=shard).collect()}
+    for shard, full in ((5000, None), (250, None), (250, 60)):
+        got = {r.vec_id: r for r in vptree.neighbours(frame(spark, list(enumerate(x))), k=10, factor=1.0, shard=shard, full=full).collect()}
         assert len(got) == len(x)
         assert all(got[i].neighbours == [j for j, _ in w] and np.allclose(got[i].distances, [d for _, d in w], atol=1e-9) for i, w in enumerate(want))
 
 
+def test_only_queries_are_answered_but_all_vectors_are_searched(spark):
+    x = clusters(900)
+    x[7], x[40] = x[20], x[20]  # copies of a query, one of them a query too
+    want = exact_neighbours(x, 10)
+    got = {r.vec_id: r for r in vptree.neighbours(frame(spark, list(enumerate(x))), k=10, factor=1.0, shard=200, asked=lambda i: i % 20 == 0).collect()}
+    assert sorted(got) == list(range(0, 900, 20))
+    assert all(r.neighbours == [j for j, _ in want[i]] for i, r in got.items()) and got[20].neighbours[:2] == [7, 40]
+
+
+def test_six_hundred_equal_vectors(spark):
+    x = np.ones((600, 24), np.float32)
+    got = {r.vec_id: r.neighbours for r in vptree.neighbours(frame(spark, list(enumerate(x))), k=3, factor=1.0).collect()}
+    assert all(got[i] == [j for j in range(4) if j != i][:3] for i in range(600))
+
+
 def exact_classes(rows, cosine=0.95):
     """{id: (class, links)} by comparing all vectors that can be compared."""
     good = {}
