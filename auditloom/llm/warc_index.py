@@ -1,15 +1,16 @@
 """External merge of a web-archive index.
 
-Every input partition is sorted by URL key, timestamp and record id: a run. Runs are written to the shared folder
-and cut into key ranges. The task of a range takes its slices of all runs, as they come in any order, and merges
-them with a loser tree, so nothing is sorted again. A last pass carries what crosses the
-borders of ranges, so a URL whose captures fill several ranges has one history.
+Every input partition is sorted by URL key, timestamp, record id and digest: a run. Runs are written to the shared folder
+and cut into key ranges of ``RANGE_ROWS`` captures on average, whatever the size of the table; a row's run and place in it end the key, so a URL, and even one capture that is repeated without end, is cut
+like anything else. The task of a range takes its slices of all runs, as they come in any order, and merges
+them with a loser tree, so nothing is sorted again; capture numbers, times between captures and revisits follow from the merged order in the same pass. Only a range's first and last URL can
+go on in another range: one row for each range, ``MOST_RANGES`` at most, says what its first URL had before and how many captures both have in all.
 
 URL key: the host without ``www.``, user and port, its labels reversed and joined by commas, then ``)``, path and query in lower case; the
-fragment goes, as does a trailing slash. Timestamp: ``timestamp`` if the table has that column, else a capture time that
+fragment goes, as does a trailing slash. Timestamp: ``timestamp`` if the table has that column (14 digits as in capture indexes, a number of seconds, or anything that casts to a timestamp; else it is null), else a capture time that
 follows from the record id (the tables here have none): 2024-01-01 plus id * 7919 seconds modulo a year.
 
-Defined results: a null or empty URL has the key '' and sorts first; a null timestamp sorts first, then a null id.
+Defined results: a null or empty URL has the key '' and sorts first; a null timestamp sorts first, then a null id; an id that is no whole number counts as null.
 Equal captures (key, time, id) keep any order among them, which doesn't show unless their other columns differ; then the digest decides.
 An empty table gives no rows. Columns other than page_id, url, html and timestamp are not read.
 """
@@ -20,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from auditloom.llm.common import Table, frugal
 
+#: Captures of a range, of which a task holds the keys, and ranges at most; beyond their product ranges grow.
+RANGE_ROWS, MOST_RANGES = 200_000, 1 << 16
 YEAR_S = 365 * 86400
 START_S = 1704067200
 
@@ -86,20 +89,31 @@ def url_key(url: Column) -> Column:
     return F.when(u == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), path))
 
 
+def _time(stamp: Column) -> Column:
+    """Seconds of a timestamp column of any type."""
+    t = F.trim(stamp.cast("string"))
+    return (
+        F.when(t.rlike("^[0-9]{14}$"), F.unix_timestamp(F.try_to_timestamp(t, F.lit("yyyyMMddHHmmss"))))
+        .when(t.rlike("^[0-9]{9,11}$"), t.try_cast("bigint"))
+        .when(t.rlike("^[0-9]{8}$"), F.unix_timestamp(F.try_to_timestamp(t, F.lit("yyyyMMdd"))))
+        .otherwise(F.unix_timestamp(t.try_cast("timestamp")))
+    )
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """(urlkey, ts, page_id, url, digest, length): ts in seconds, digest as MD5 of the record, '' for a null one."""
-    if "timestamp" in pages.columns:
-        ts = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
-    else:
-        ts = F.lit(START_S) + F.pmod(F.col("page_id") * 7919, F.lit(YEAR_S))
+    ident = F.col("page_id").try_cast("bigint")
+    # Remainders first: ids of any size stay within 64 bits.
+    ts = _time(F.col("timestamp")) if "timestamp" in pages.columns else F.lit(START_S) + F.pmod(F.pmod(ident, F.lit(YEAR_S)) * 7919, F.lit(YEAR_S))
     return pages.select(
-        url_key(F.col("url")).alias("urlkey"), ts.cast("bigint").alias("ts"), F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
-        F.coalesce(F.md5(F.col("html")), F.lit("")).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint").alias("length"),
+        url_key(F.col("url")).alias("urlkey"), ts.cast("bigint").alias("ts"), ident.alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce(F.md5(F.col("html").cast("binary")), F.lit("")).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint").alias("length"),
     )
 
 
 _COLS = ["urlkey", "ts", "page_id", "url", "digest", "length"]
-_OUT = "urlkey string, ts bigint, page_id bigint, url string, digest string, length bigint, part int, row bigint"
+#: Of each row: its range and place in it, its number among the URL's captures in the range and their count, the capture before in the range, and whether the URL is the range's first or last.
+_OUT = "urlkey string, ts bigint, page_id bigint, url string, digest string, length bigint, part int, row bigint, nth bigint, here bigint, prev_ts bigint, prev_digest string, is_first boolean, is_last boolean"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,51 +138,68 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 runs.append(rows[begin:i])
                 begin = i
         runs.append(rows[begin:])
-    order = np.fromiter((runs[r][i] for r, i in LoserTree([[keys[i] for i in rows] for rows in runs])), dtype=np.int64, count=len(keys))
+    n = len(keys)
+    order = np.fromiter((runs[r][i] for r, i in LoserTree([[keys[i] for i in rows] for rows in runs])), dtype=np.int64, count=n)
+    new = np.fromiter((k == 0 or keys[order[k]][0] != keys[order[k - 1]][0] for k in range(n)), dtype=bool, count=n)
+    del keys, runs
+    group = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    here = np.diff(np.append(begin, n))
     t = t.select(_COLS)
-    for at in range(0, len(order), 20000):
-        out = t.take(pa.array(order[at : at + 20000])).combine_chunks()
-        cols = [out[c].chunk(0) for c in _COLS] + [pa.array(np.full(out.num_rows, part, np.int32)), pa.array(np.arange(at, at + out.num_rows, dtype=np.int64))]
-        yield pa.RecordBatch.from_arrays(cols, names=[*_COLS, "part", "row"])
-
-
-def merge_index(pages: DataFrame) -> DataFrame:
+    for at in range(0, n, 20000):
+        k = np.arange(at, min(n, at + 20000))
+        out, before = t.take(pa.array(order[k])).combine_chunks(), t.take(pa.array(order[np.maximum(k - 1, 0)])).combine_chunks()
+        fresh = pa.array(new[k])
+        seen = lambda c: pc.if_else(fresh, pa.nulls(len(k), before[c].type), before[c].combine_chunks() if before[c].num_chunks != 1 else before[c].chunk(0))  # noqa: B023, E731
+        cols = [out[c].chunk(0) for c in _COLS] + [pa.array(np.full(len(k), part, np.int32)), pa.array(k), pa.array(k - begin[group[k]] + 1), pa.array(here[group[k]])]
+        cols += [seen("ts"), seen("digest"), pa.array(group[k] == 0), pa.array(group[k] == len(begin) - 1)]
+        yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _OUT.split(", ")])
+
+
+def _carried(ranges: list) -> list[tuple]:
+    """(part, where it starts, what its first URL has before, the last capture of that as time and digest, all captures of its first and last URL), from a summary of each range in order."""
+    out, start = [], 0
+    url, seen, ts, digest = None, 0, None, None
+    total: dict[str, int] = {}
+    for r in ranges:
+        total[r["first_url"]] = total.get(r["first_url"], 0) + r["first_n"]
+        if r["last_url"] != r["first_url"]:
+            total[r["last_url"]] = total.get(r["last_url"], 0) + r["last_n"]
+    for r in ranges:
+        goes_on = r["first_url"] == url
+        out.append((r["part"], start, seen if goes_on else 0, goes_on, ts if goes_on else None, digest if goes_on else None, total[r["first_url"]], total[r["last_url"]]))
+        seen = r["last_n"] + (seen if goes_on and r["last_url"] == r["first_url"] else 0)
+        url, ts, digest = r["last_url"], r["last"]["ts"], r["last"]["digest"]
+        start += r["n"]
+    return out
+
+
+def merge_index(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row for each capture: position (global, from 1), urlkey, ts, page_id, url, digest, length, capture_no,
     n_captures of the URL, seconds since the capture before (null for the first) and revisit: whether the digest is the one before."""
     spark = pages.sparkSession
     order = ["urlkey", "ts", "page_id", "digest"]
-    runs = Table(captures(pages).withColumn("run", F.spark_partition_id()).sortWithinPartitions(*order), "warc-runs")
-    merged = Table(runs.df.repartitionByRange(*order).mapInArrow(frugal(_merge), _OUT), "warc-merged")
+    sorted_runs = captures(pages).withColumn("run", F.spark_partition_id()).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    runs = Table(sorted_runs, "warc-runs")
+    n = runs.df.count()
+    ranges = min(MOST_RANGES, max(1, -(-n // range_rows)))
+    # Written, so every row's range stays the same when a task runs again.
+    merged = Table(runs.df.repartitionByRange(ranges, *order, "place").mapInArrow(frugal(_merge), _OUT), "warc-merged")
     runs.drop()
     m = merged.df
-    # A row for each (range, URL): what a URL has in earlier ranges, and where each range begins.
-    at = F.struct("row", "ts", "digest")
-    per = m.groupBy("part", "urlkey").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
-    sizes = m.groupBy("part").agg(F.count("*").alias("rows"))
-    starts, total = [], 0
-    for p, n in sorted(sizes.collect()):  # as many rows as ranges
-        starts.append((p, total))
-        total += n
-    start = spark.createDataFrame(starts, "part int, start bigint")
-    by_url = Window.partitionBy("urlkey").orderBy("part")
-    carried = (
-        per.withColumn("seen", F.coalesce(F.sum("n").over(by_url.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("n_captures", F.sum("n").over(Window.partitionBy("urlkey")))
-        .withColumn("before", F.lag("last").over(by_url))
-        .select("part", "urlkey", "seen", "n_captures", F.col("before.ts").alias("before_ts"), F.col("before.digest").alias("before_digest"), F.col("first.row").alias("first_row"))
-    )
-    inner = Window.partitionBy("part", "urlkey").orderBy("row")
-    return (
-        m.join(carried, ["part", "urlkey"])
-        .join(F.broadcast(start), "part")  # one row for each range
-        .withColumn("capture_no", F.col("seen") + F.col("row") - F.col("first_row") + 1)
-        .withColumn("prev_ts", F.when(F.col("row") == F.col("first_row"), F.col("before_ts")).otherwise(F.lag("ts").over(inner)))
-        .withColumn("prev_digest", F.when(F.col("row") == F.col("first_row"), F.col("before_digest")).otherwise(F.lag("digest").over(inner)))
-        .select(
-            (F.col("start") + F.col("row") + 1).alias("position"), "urlkey", "ts", "page_id", "url", "digest", "length", "capture_no", "n_captures",
-            (F.col("ts") - F.col("prev_ts")).alias("since_s"), F.coalesce(F.col("digest") == F.col("prev_digest"), F.lit(False)).alias("revisit"),
-        )
-    )
+    summary = m.groupBy("part").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("is_first"), F.col("urlkey"))).alias("first_url"), F.max(F.when(F.col("is_last"), F.col("urlkey"))).alias("last_url"),
+        F.count_if("is_first").alias("first_n"), F.count_if("is_last").alias("last_n"), F.max_by(F.struct("ts", "digest"), "row").alias("last"),
+    )
+    carry = spark.createDataFrame(_carried(sorted(summary.collect(), key=lambda r: r["part"])), "part int, start bigint, seen bigint, goes_on boolean, old_ts bigint, old_digest string, first_all bigint, last_all bigint")
+    first_row = F.col("is_first") & (F.col("nth") == 1) & F.col("goes_on")
+    joined = m.join(F.broadcast(carry), "part")  # MOST_RANGES rows at most
+    joined = joined.withColumns({"prev_ts": F.when(first_row, F.col("old_ts")).otherwise(F.col("prev_ts")), "prev_digest": F.when(first_row, F.col("old_digest")).otherwise(F.col("prev_digest"))})
+    return joined.select(
+        (F.col("start") + F.col("row") + 1).alias("position"), *_COLS, (F.col("nth") + F.when(F.col("is_first"), F.col("seen")).otherwise(0)).alias("capture_no"),
+        F.when(F.col("is_first"), F.col("first_all")).when(F.col("is_last"), F.col("last_all")).otherwise(F.col("here")).alias("n_captures"),
+        (F.col("ts") - F.col("prev_ts")).alias("since_s"), F.coalesce(F.col("digest") == F.col("prev_digest"), F.lit(False)).alias("revisit"),
+    )
 
 
 SQL = f"""

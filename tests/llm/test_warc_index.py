@@ -59,6 +59,25 @@ def test_histories_against_sorting_everything(spark):
     assert sorted(map(repr, (r[4] for r in got))) == sorted(map(repr, (r[4] for r in want)))
 
 
+def test_histories_that_span_many_ranges(spark):
+    rows = data() + [(5000, "http://www.b.example.com/x", "<p>0</p>")] * 120  # one capture, repeated
+    df = pages(spark, rows).repartition(5)
+    want = brute([r.asDict() for r in warc_index.captures(df).collect()])
+    out = warc_index.merge_index(df, range_rows=25)
+    got = [tuple(r) for r in out.orderBy("position").collect()]
+    drop = lambda rows: [tuple(v for k, v in enumerate(r) if k != 4) for r in rows]
+    assert len(want) > 400 and drop(got) == drop(want)
+
+
+def test_ids_and_times_of_other_kinds(spark):
+    df = spark.createDataFrame([("1", "a.org", "x", "20240501000000"), ("no id", "a.org", "x", "n/a"), ("3", "a.org", "y", "2024-04-01 00:00:00"), ("4", "a.org/" + "p" * 100_000, "y", "1714521600")], "page_id string, url string, html string, timestamp string")
+    got = warc_index.merge_index(df).orderBy("position").collect()
+    assert [(r.page_id, r.since_s, r.capture_no, r.n_captures) for r in got] == [(None, None, 1, 3), (3, None, 2, 3), (1, 30 * 86400, 3, 3), (4, None, 1, 1)]
+    assert got[2].ts == got[3].ts
+    big = pages(spark, [(2**60, "a.org", "x"), (-5, "a.org", "x")])
+    assert {r.page_id: r.ts for r in warc_index.merge_index(big).collect()} == {i: warc_index.START_S + i * 7919 % warc_index.YEAR_S for i in (2**60, -5)}
+
+
 def test_own_timestamps_are_used_and_null_ones_come_first(spark):
     import datetime as dt
 
