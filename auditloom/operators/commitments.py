@@ -1,50 +1,86 @@
-"""Merkle trees, message authentication, tokens, challenges and peer checks, all in built-in functions."""
+"""Merkle trees, commitments and reveals, message authentication, tokens, challenges and peer checks."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditloom.functions.ordered import in_order, numbered
+from auditloom.functions.shared import written
 
-def _up(level: Column) -> Column:
-    """The next level of a tree: hashes of pairs, an odd last one with itself."""
+
+#: Levels of a tree that are built in one row, over 2 ** LEVELS nodes.
+LEVELS = 8
+
+
+def _up(level: Column, alone: Column) -> Column:
+    """The next level of a tree: hashes of pairs, an odd last one with itself; alone: whether a single node still has levels above it."""
     pair = lambda i: F.sha2(F.concat(F.get(level, i * 2), F.coalesce(F.get(level, i * 2 + 1), F.get(level, i * 2))), 256)
-    return F.when(F.size(level) > 1, F.transform(F.sequence(F.lit(0), F.floor((F.size(level) + 1) / 2).cast("int") - 1), pair)).otherwise(level)
+    return F.when((F.size(level) > 1) | alone, F.transform(F.sequence(F.lit(0), F.floor((F.size(level) + 1) / 2).cast("int") - 1), pair)).otherwise(level)
+
+
+def _rounds(items: DataFrame, group: str, order: list[str], item: str) -> list[DataFrame]:
+    """Rounds of subtrees: (group, chunk, n, l0, ..., l8). A round's nodes are dealt into chunks of 2 ** LEVELS, a row each, whose roots are the nodes of the next; n is the number of the group's nodes in the round.
 
+    So a row is bounded whatever a group has, and a tree of 16 million leaves takes three rounds. Every round is written.
+    """
+    wide = 1 << LEVELS
+    by = [f"__o{k}" for k in range(len(order))]
+    leaves = items.select(group, *[F.col(c).alias(b) for c, b in zip(order, by)], F.sha2(F.col(item).cast("string"), 256).alias("hash"))
+    nodes = numbered(leaves, [group], by).select(group, "idx", "n", "hash")
+    rounds: list[DataFrame] = []
+    while True:
+        chunk = nodes.groupBy(group, F.floor(F.col("idx") / wide).alias("chunk")).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("l0"))
+        for k in range(LEVELS):
+            chunk = chunk.withColumn(f"l{k + 1}", _up(F.col(f"l{k}"), F.col("n") > wide))
+        rounds.append(written(chunk, f"merkle-{len(rounds)}"))
+        rest = rounds[-1].where(F.col("n") > wide)
+        if not rest.limit(1).count():
+            return rounds
+        nodes = rest.select(group, F.col("chunk").alias("idx"), F.ceil(F.col("n") / wide).alias("n"), F.get(F.col(f"l{LEVELS}"), F.lit(0)).alias("hash"))
 
-def merkle_trees(items: DataFrame, group: str, order: list[str], item: str) -> tuple[DataFrame, int]:
-    """(group, l0, l1, ...) and the number of levels: one shuffle, then a narrow pass for each level. A report's leaves fit a row, as they do in its message."""
-    leaves = items.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(item).cast("string").alias("__item")))), lambda s: F.sha2(s["__item"], 256)).alias("l0"))
-    most = items.groupBy(group).count().agg(F.max("count")).first()[0] or 1
-    depth = max(0, (most - 1).bit_length())
-    for k in range(depth):
-        leaves = leaves.withColumn(f"l{k + 1}", _up(F.col(f"l{k}")))
-    return leaves, depth + 1
+
+def _top(rounds: list[DataFrame], group: str) -> DataFrame:
+    """(group, root): of each group the round in which its nodes fit one row."""
+    each = [r.where(F.col("n") <= 1 << LEVELS).select(group, F.get(F.col(f"l{LEVELS}"), F.lit(0)).alias("root")) for r in rounds]
+    return reduce(DataFrame.union, each)
 
 
 def merkle_roots(items: DataFrame, group: str, order: list[str], item: str) -> DataFrame:
     """(group, root, leaves)."""
-    t, n = merkle_trees(items, group, order, item)
-    return t.select(group, F.get(F.col(f"l{n - 1}"), F.lit(0)).alias("root"), F.size("l0").alias("leaves"))
+    rounds = _rounds(items, group, order, item)
+    n = rounds[0].groupBy(group).agg(F.max("n").cast("int").alias("leaves"))
+    return _top(rounds, group).join(n, group)
 
 
 def merkle_proofs(items: DataFrame, group: str, order: list[str], item: str) -> DataFrame:
     """(group, index, leaf, proof, root): proof holds the sibling of every level and the side it stands on."""
-    t, n = merkle_trees(items, group, order, item)
-    each = t.select("*", F.posexplode("l0").alias("index", "leaf"))
-    steps = []
-    for k in range(n - 1):
-        i = F.expr(f"shiftright(index, {k})")
-        level = F.col(f"l{k}")
-        left = i % 2 == 1
-        sibling = F.when(left, F.get(level, i - 1)).otherwise(F.coalesce(F.get(level, i + 1), F.get(level, i)))
-        steps.append(F.when(F.size(level) > 1, F.struct(sibling.alias("hash"), F.when(left, "left").otherwise("right").alias("side"))))
-    empty = F.array().cast("array<struct<hash:string,side:string>>")
-    proof = F.array_compact(F.array(*steps)) if steps else empty
-    return each.select(group, "index", "leaf", proof.alias("proof"), F.get(F.col(f"l{n - 1}"), F.lit(0)).alias("root"))
+    wide, rounds = 1 << LEVELS, _rounds(items, group, order, item)
+
+    def steps(r: DataFrame) -> DataFrame:
+        """(group, at, steps): for each node of a round its number and the steps up to its chunk's root."""
+        each = r.select("*", F.posexplode("l0").alias("pos", "leaf"))
+        found = []
+        for k in range(LEVELS):
+            i, level = F.expr(f"shiftright(pos, {k})"), F.col(f"l{k}")
+            left = i % 2 == 1
+            sibling = F.when(left, F.get(level, i - 1)).otherwise(F.coalesce(F.get(level, i + 1), F.get(level, i)))
+            found.append(F.when((F.size(level) > 1) | (F.col("n") > wide), F.struct(sibling.alias("hash"), F.when(left, "left").otherwise("right").alias("side"))))
+        return each.select(group, (F.col("chunk") * wide + F.col("pos")).alias("at"), F.col("chunk").alias("__up"), "leaf", F.array_compact(F.array(*found)).alias("steps"))
+
+    out = steps(rounds[0]).select(group, F.col("at").alias("index"), "leaf", "__up", F.col("steps").alias("proof"))
+    for r in rounds[1:]:
+        more = steps(r).select(group, F.col("at").alias("__at"), F.col("__up").alias("__next"), "steps")
+        j = out.alias("o").join(more.alias("m"), (F.col(f"o.{group}").eqNullSafe(F.col(f"m.{group}"))) & (F.col("__up") == F.col("__at")), "left")
+        none = F.array().cast("array<struct<hash:string,side:string>>")
+        out = j.select(f"o.{group}", "index", "leaf", F.coalesce("__next", "__up").alias("__up"), F.concat("proof", F.coalesce("steps", none)).alias("proof"))
+    return out.drop("__up").join(_top(rounds, group), group)
 
 
 def verify_proof(leaf: Column, proof: Column, root: Column) -> Column:
@@ -98,3 +134,111 @@ def peer_verified(sender: DataFrame, receiver: DataFrame) -> DataFrame:
     """(edge_id, same): edges that both sides report, and whether their hashes are equal."""
     other = receiver.select("edge_id", F.col("content_hash").alias("theirs"))
     return sender.join(other, "edge_id").select("edge_id", (F.col("content_hash") == F.col("theirs")).alias("same"))
+
+
+# ---- commit and reveal ----
+
+
+def commit_traces(entries: DataFrame, trace: str, order: list[str], body: str, violation: Column) -> DataFrame:
+    """(trace, root, entries, violations, rate): what is committed for each trace."""
+    roots = merkle_roots(entries, trace, order, body)
+    n = entries.groupBy(trace).agg(F.count_if(violation).alias("violations"))
+    return roots.join(n, trace).select(trace, "root", F.col("leaves").alias("entries"), "violations", (F.col("violations") / F.col("leaves")).alias("rate"))
+
+
+def reveal(entries: DataFrame, trace: str, order: list[str], body: str, challenges: DataFrame) -> DataFrame:
+    """(trace, order columns, body, proof) of the entries that are challenged. challenges: (trace, entry), an entry by its first order column; a null entry asks for all of the trace."""
+    first = order[0]
+    at = numbered(entries.select(trace, *order, body), [trace], order)
+    whole = challenges.where("entry is null").select(F.col(trace).alias("__t")).distinct()
+    some = challenges.where("entry is not null").select(F.col(trace).alias("__t"), F.col("entry").alias("__e")).distinct()
+    asked = at.join(whole, F.col(trace) == F.col("__t"), "left_semi").union(at.join(some, (F.col(trace) == F.col("__t")) & (F.col(first) == F.col("__e")), "left_semi")).distinct()
+    proofs = merkle_proofs(entries, trace, order, body).select(F.col(trace).alias("__t"), F.col("index").alias("__i"), "proof")
+    return asked.join(proofs, (F.col(trace) == F.col("__t")) & (F.col("idx") == F.col("__i"))).select(trace, *order, body, "proof")
+
+
+def verify_reveals(revealed: DataFrame, commits: DataFrame, trace: str, body: str) -> DataFrame:
+    """(trace, revealed, verified): whether every revealed entry is in the committed tree."""
+    j = revealed.join(commits.select(trace, "root"), trace)
+    ok = verify_proof(F.sha2(F.col(body).cast("string"), 256), F.col("proof"), F.col("root"))
+    return j.groupBy(trace).agg(F.count("*").alias("revealed"), F.bool_and(ok).alias("verified"))
+
+
+# ---- attestation with state and other backends ----
+
+
+def signed_by(sign: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
+    """A signing backend of one's own (a remote or hardware attestation, say) as a pandas UDF: whole batches of payloads to signatures."""
+    return F.pandas_udf(sign, "string")
+
+
+def attest_reports(reports: DataFrame, agent: str, seq: str, digest: str, claimed: str, fingerprint: str, backend: Callable[[Column], Column]) -> DataFrame:
+    """reports with prev_hash, chain_hash and signature: every attestation covers the one before it, the report's digest, the build's fingerprint and the number of messages claimed. seq counts from 0."""
+
+    def step(state: dict, r) -> tuple:
+        prev = state.get("hash", "")
+        text = "|".join([prev, str(getattr(r, seq)), getattr(r, digest), fingerprint, str(getattr(r, claimed))])
+        state["hash"] = hashlib.sha256(text.encode()).hexdigest()
+        return (getattr(r, agent), getattr(r, seq), prev, state["hash"])
+
+    kind = dict(reports.dtypes)[agent]
+    chain = in_order(reports.select(agent, seq, digest, claimed), agent, [seq], dict, step, f"{agent} {kind}, {seq} bigint, prev_hash string, chain_hash string")
+    return reports.join(chain, [agent, seq]).withColumns({"fingerprint": F.lit(fingerprint), "signature": backend(F.col("chain_hash"))})
+
+
+def verify_attestations(reports: DataFrame, agent: str, seq: str, digest: str, claimed: str, edges: str, backends: dict[str, Callable[[Column], Column]], evidence: Column | None = None) -> DataFrame:
+    """(agent, seq, reasons): what is wrong with each attestation; none is a good one. State goes on only after a good one, so what follows a bad one has a gap.
+
+    backends: fingerprint -> signing function; ``edges`` is the number of edges in the report, ``evidence`` whether a quote that came with it is valid.
+    """
+    known = F.lit(False)
+    good = F.lit(False)
+    for fp, sign in backends.items():
+        known = known | (F.col("fingerprint") == fp)
+        good = good | ((F.col("fingerprint") == fp) & (F.col("signature") == sign(F.col("chain_hash"))))
+    text = F.concat_ws("|", "prev_hash", F.col(seq).cast("string"), digest, "fingerprint", F.col(claimed).cast("string"))
+    rows = reports.select(
+        F.col(agent).alias("agent"), F.col(seq).cast("bigint").alias("seq"), "prev_hash", "chain_hash", known.alias("known"), good.alias("signed"), (F.sha2(text, 256) == F.col("chain_hash")).alias("same"),
+        (F.col(claimed) <= F.col(edges)).alias("complete"), (F.lit(True) if evidence is None else evidence).alias("proven"),
+    )
+
+    def step(state: dict, r) -> tuple:
+        why = []
+        if not r.known:
+            return (r.agent, r.seq, "untrusted_build")
+        if not r.signed:
+            why.append("bad_signature")
+        if not r.proven:
+            why.append("evidence")
+        if not r.same:
+            why.append("report_tampered")
+        if "seq" not in state:
+            if r.seq != 0:
+                why.append("missing_initial_reports")
+        else:
+            if r.seq != state["seq"] + 1:
+                why.append("sequence_gap")
+            if r.prev_hash != state["hash"]:
+                why.append("broken_chain")
+        if not r.complete:
+            why.append("underreported_edges")
+        if not why:
+            state.update(seq=r.seq, hash=r.chain_hash)
+        return (r.agent, r.seq, ",".join(why))
+
+    return in_order(rows, "agent", ["seq"], dict, step, f"agent {dict(rows.dtypes)['agent']}, seq bigint, reasons string")
+
+
+def verify_tokens(rows: DataFrame, names: list[str], claimed: str) -> DataFrame:
+    """rows with ``valid``: whether the token that is claimed is that of the columns."""
+    return rows.withColumn("valid", token(names) == F.col(claimed))
+
+
+def edge_challenges(reports: DataFrame, challenges: DataFrame) -> DataFrame:
+    """(agent, edge_index, edge_id, content_hash, verified) of challenges (agent, edge_index) for the edge at a place of an agent's report; a place that isn't there verifies nothing.
+
+    reports: (agent, edge_id, content_hash), an edge's place being its number by id, from 0.
+    """
+    at = numbered(reports.select("agent", "edge_id", "content_hash"), ["agent"], ["edge_id"])
+    j = challenges.join(at.withColumnRenamed("agent", "__a"), (F.col("agent") == F.col("__a")) & (F.col("edge_index") == F.col("idx")), "left")
+    return j.select("agent", "edge_index", "edge_id", "content_hash", F.col("edge_id").isNotNull().alias("verified"))

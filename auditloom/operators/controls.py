@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENSITIVE = ("health", "finance", "legal", "identity")
@@ -90,9 +90,18 @@ def partial_answers(e: DataFrame, exclusions: list[str] = EXCLUSIONS) -> DataFra
     return rows.where("kind is not null and inferred is not null").withColumn("confidence", F.when(partial, F.least(F.lit(0.9), 0.4 + (n - named) * 0.1)).otherwise(0.65))
 
 
-def scope_violations(entries: DataFrame, authorized: list[str]) -> DataFrame:
-    """Memory entries with tags outside the authorized ones; none if nothing is authorized."""
-    if not authorized:
-        return entries.where(F.lit(False)).withColumns({"outside": F.array().cast("array<string>"), "severity": F.lit(0.0)})
-    outside = F.array_except("tags", F.array(*map(F.lit, authorized)))
-    return entries.withColumn("outside", outside).where(F.size("outside") > 0).withColumn("severity", F.least(F.lit(1.0), F.size("outside") * 0.3 + 0.2))
+def response_times(e: DataFrame) -> DataFrame:
+    """(agent, responses, average): mean time of the responses."""
+    return e.groupBy("agent").agg(F.count("actual").alias("responses"), F.avg("actual").alias("average"))
+
+
+def register_clearances(registrations: DataFrame) -> DataFrame:
+    """The last clearance that each agent has registered, by seq."""
+    cols = [c for c in registrations.columns if c not in ("agent", "seq")]
+    return registrations.groupBy("agent").agg(F.max_by(F.struct(*cols), "seq").alias("r")).select("agent", "r.*")
+
+
+def access_log(checked: DataFrame, order: str) -> DataFrame:
+    """The log of what ``check_access`` decided: who asked for what and how it ended, with a running number of the agent's refusals."""
+    w = Window.partitionBy("agent").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return checked.select("agent", order, "action", "level", "decision", "escalation", F.count_if(F.col("decision") != "allow").over(w).alias("refused_so_far"))

@@ -57,8 +57,8 @@ def pseudonym(agent: Column, salt: str) -> Column:
 
 
 def pseudonym_or_pass(name: Column, salt: str) -> Column:
-    """Subjects and principals: an empty name and 'multi' stay."""
-    return F.when((name == "") | (name == "multi"), name).otherwise(pseudonym(name, salt))
+    """Subjects and principals: an empty name, a null one and 'multi' stay."""
+    return F.when(name.isNull() | (name == "") | (name == "multi"), name).otherwise(pseudonym(name, salt))
 
 
 def reverse_map(agents: DataFrame, column: str, salt: str) -> DataFrame:
@@ -93,7 +93,13 @@ def generalized(domains: Column, keep: list[str], parents: dict[str, str]) -> Co
 
 
 def desensitize(edges: DataFrame, config: Config, keep: list[str] | None = None) -> DataFrame:
-    """edge_id, content_hash, ts, from_agent, to_agent, domains, sens, violation: hash, bucket, pseudonyms, k-anonymous domains, noise. One narrow pass; without counts (keep None) domains stay."""
+    """edge_id, content_hash, ts, from_agent, to_agent, domains, sens, violation: hash, bucket, pseudonyms, k-anonymous domains, noise. One narrow pass; without counts (keep None) domains stay.
+
+    What the edges have of injected, t_domains, t_hops and t_risk stays as it is, and t_subject and t_principal become pseudonyms of the same salt, so the central audit can still compare them.
+    """
+    has = set(edges.columns)
+    kept = [c for c in ("injected", "t_domains", "t_hops", "t_risk") if c in has]
+    names = [pseudonym_or_pass(F.col(c), config.salt).alias(c) for c in ("t_subject", "t_principal") if c in has]
     e = config.epsilons
     u = lambda what: noise.uniform(f"{config.salt}:{what}", F.col("edge_id"))
     sens = F.least(F.lit(5), noise.noisy_count(F.col("sens"), u("sens"), e.sensitivity)).cast("int") if e else F.col("sens")
@@ -101,7 +107,7 @@ def desensitize(edges: DataFrame, config: Config, keep: list[str] | None = None)
         "edge_id", salted_hash(F.col("content"), config.salt, config.bits).alias("content_hash"), time_bucket(F.col("ts"), config.minutes).alias("ts"),
         pseudonym(F.col("from_agent"), config.salt).alias("from_agent"), pseudonym(F.col("to_agent"), config.salt).alias("to_agent"),
         (F.col("domains") if keep is None else generalized(F.col("domains"), keep, config.parents)).alias("domains"), sens.alias("sens"),
-        (noise.response(F.col("violation"), u("violation"), e.edge) if e else F.col("violation")).alias("violation"),
+        (noise.response(F.col("violation"), u("violation"), e.edge) if e else F.col("violation")).alias("violation"), *kept, *names,
     )
 
 
@@ -111,6 +117,31 @@ def response_domains(domains: Column, key: Column, seed: str, epsilon: float) ->
     return F.array_compact(F.array(*each))
 
 
+def dummies_wanted(n_edges: int, share: float = 0.2) -> int:
+    """How many made-up edges go with a report."""
+    return max(1, int(n_edges * share)) if n_edges > 0 else 0
+
+
+def desensitize_taint(edges: DataFrame, salt: str) -> DataFrame:
+    """edges with t_subject and t_principal as eight digits of a salted hash ('' and 'multi' stay) and t_risk to one decimal."""
+    h = lambda c: F.when((c == "") | (c == "multi"), c).otherwise(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), c), 256), 1, 8))
+    return edges.withColumns({"t_subject": h(F.col("t_subject")), "t_principal": h(F.col("t_principal")), "t_risk": F.bround("t_risk", 1)})
+
+
+def audit_modes(totals: DataFrame, e: Epsilons | None = None, text_length: int = 200) -> DataFrame:
+    """(mode, privacy, detection) of a central, a local and a federated audit, from rows of (agents, edges, risks): what share of the content stays, and of the risks is seen."""
+    content = F.col("agents") * F.col("edges") * F.lit(text_length * 4.5)
+    leaked = F.col("edges") * F.lit(80.0)
+    if e is not None:
+        per_report = F.floor(F.col("edges") / F.greatest(F.col("agents"), F.lit(1))) * (e.edge + e.sensitivity + e.domains) + 4 * e.stats
+        leaked = leaked * F.least(F.lit(1.0), per_report / 10.0)
+    alone = F.when(F.col("edges") > 0, F.greatest(F.lit(0), F.col("edges") - F.col("risks")) / F.col("edges")).otherwise(1.0)
+    joined = F.least(F.lit(1.0), alone + F.when(F.col("edges") > 0, F.col("risks") / F.col("edges")).otherwise(0.0))
+    kept = F.when(content > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - leaked / content))).otherwise(1.0)
+    rows = [("centralized", F.lit(0.0), F.lit(1.0)), ("local_only", F.lit(1.0), alone), ("federated", kept, joined)]
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), p.cast("double").alias("privacy"), d.cast("double").alias("detection")) for m, p, d in rows])))
+
+
 def dummy_edges(spark: SparkSession, agents: list[str], n: int, salt: str) -> DataFrame:
     """n made-up edges between distinct agents of a list, of sensitivity 0 to 2 and the general domain."""
     if len(agents) < 2 or n <= 0:

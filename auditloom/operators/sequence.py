@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions.ordered import in_order
+
 WRITES, READS = ("memory_write", "summary_write"), ("memory_read",)
 #: stage -> stages that may follow; a stage that leads nowhere is terminal, but for 'timed_out' and 'failed', which can go on.
 TRANSITIONS = {
@@ -96,16 +97,18 @@ def hop_counts(messages: DataFrame, datum: Column, *order: str) -> DataFrame:
 
 
 def append_chain(entries: DataFrame) -> DataFrame:
-    """(agent, seq, payload, hash): each hash covers the one before it and the payload; the first covers ''."""
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out, prev = [], ""
-        for p in pdf["payload"]:
-            prev = hashlib.sha256(f"{prev}:{p}".encode()).hexdigest()
-            out.append(prev)
-        return pdf.assign(hash=out)
+    """(agent, seq, payload, hash): each hash covers the one before it and the payload; the first covers ''. An agent's entries are read as a stream, so a chain of any length is held by none."""
+
+    def link(state: dict, r) -> tuple:
+        state["hash"] = hashlib.sha256(f"{state.get('hash', '')}:{r.payload}".encode()).hexdigest()
+        return (r.agent, r.seq, r.payload, state["hash"])
+
+    return in_order(entries.select("agent", "seq", "payload"), "agent", ["seq"], dict, link, "agent string, seq bigint, payload string, hash string")
+
 
-    return entries.select("agent", "seq", "payload").groupBy("agent").applyInPandas(link, "agent string, seq bigint, payload string, hash string")
+def chain_snapshot(chain: DataFrame, seq: int) -> DataFrame:
+    """(agent, links, head): chains as they were up to a number."""
+    return chain.where(F.col("seq") <= seq).groupBy("agent").agg(F.count("*").alias("links"), F.max_by("hash", "seq").alias("head"))
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:
@@ -134,34 +137,54 @@ def node_handoffs(log: DataFrame) -> DataFrame:
     return log.withColumn("from_agent", before).where("from_agent is not null and from_agent <> node").select("run", "ts", "ord", "from_agent", F.col("node").alias("to_agent"))
 
 
-def propagate_taint(handoffs: DataFrame) -> DataFrame:
+class TaintState:
+    """What an agent has received in a trace, merged: domains, largest sensitivity and hops, subjects and principals ('' is none), and by subject the domains and sensitivity that the compound risk needs."""
+
+    def __init__(self) -> None:
+        self.domains: set[str] = set()
+        self.sens = self.hops = 0
+        self.subjects: set[str] = set()
+        self.principals: set[str] = set()
+        self.by: dict[str, tuple[set, int]] = {}
+
+    def receive(self, domains, sens: int, subject: str, principal: str, hops: int) -> None:
+        self.domains |= set(domains)
+        self.sens, self.hops = max(self.sens, sens), max(self.hops, hops)
+        self.subjects |= {subject} - {""}
+        self.principals |= {principal} - {""}
+        held, most = self.by.get(subject or "unknown", (set(), 0))
+        self.by[subject or "unknown"] = (held | set(domains), max(most, sens))
+
+    def emit(self, domains, sens: int) -> tuple[set, int, str, str, int]:
+        one = lambda names: "" if not names else next(iter(names)) if len(names) == 1 else "multi"
+        return self.domains | set(domains), max(self.sens, sens), one(self.subjects), one(self.principals), self.hops + 1
+
+    def risk(self) -> float:
+        return compound_risk([(d, s, subject if subject != "unknown" else "", 0) for subject, (d, s) in self.by.items()])
+
+
+def propagate_taint(handoffs: DataFrame, owners: bool = False) -> DataFrame:
     """Taint over the handoffs of each trace, in order of seq.
 
     A sender's emission merges its own domains and sensitivity with all taint it has received in the trace: domains united, sensitivity the largest,
     hops one more than the largest, one subject or 'multi'. A sender is seeded once for each subject it names. A blocked handoff emits but does not arrive. The compound risk is
-    that of the sender's state. State is kept by trace, so traces are independent.
+    that of the sender's state. State is kept by trace, so traces are independent; a trace is read as a stream, and what is held is its agents' merged state. With ``owners``, a column ``principal`` of the sender's
+    owner travels with what it seeds, as t_principal.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, list[tuple[frozenset, int, str, int]]] = {}
-        seeded: set[tuple[str, str]] = set()
-        out = []
-        for r in pdf.sort_values("seq").itertuples():
-            state = held.setdefault(r.from_agent, [])
-            if r.subject and (r.from_agent, r.subject) not in seeded:
-                seeded.add((r.from_agent, r.subject))
-                state.append((frozenset(r.domains), int(r.sens), r.subject, 0))
-            domains = frozenset(r.domains).union(*(d for d, _, _, _ in state))
-            sens = max([int(r.sens), *(s for _, s, _, _ in state)])
-            subjects = {s for _, _, s, _ in state if s}
-            subject = "" if not subjects else next(iter(subjects)) if len(subjects) == 1 else "multi"
-            hops = max([0, *(h for _, _, _, h in state)]) + 1
-            out.append((r.trace, r.seq, ",".join(sorted(domains)), sens, subject, hops, compound_risk(state)))
-            if not r.blocked:
-                held.setdefault(r.to_agent, []).append((domains, sens, subject, hops))
-        return pd.DataFrame(out, columns=["trace", "seq", "t_domains", "t_sens", "t_subject", "t_hops", "t_risk"])
-
-    return handoffs.groupBy("trace").applyInPandas(run, "trace bigint, seq bigint, t_domains string, t_sens int, t_subject string, t_hops int, t_risk double")
+    def step(trace: dict, r) -> tuple:
+        state = trace.setdefault(("at", r.from_agent), TaintState())
+        if r.subject and ("seeded", r.from_agent, r.subject) not in trace:
+            trace["seeded", r.from_agent, r.subject] = True
+            state.receive(r.domains, int(r.sens), r.subject, r.principal if owners else "", 0)
+        risk = state.risk()
+        domains, sens, subject, principal, hops = state.emit(r.domains, int(r.sens))
+        if not r.blocked:
+            trace.setdefault(("at", r.to_agent), TaintState()).receive(domains, sens, subject, principal, hops)
+        out = (r.trace, r.seq, ",".join(sorted(domains)), sens, subject, hops, risk)
+        return (*out, principal) if owners else out
+
+    return in_order(handoffs, "trace", ["seq"], dict, step, "trace bigint, seq bigint, t_domains string, t_sens int, t_subject string, t_hops int, t_risk double" + (", t_principal string" if owners else ""))
 
 
 def compound_risk(state: list, sensitive: tuple[str, ...] = ("health", "finance", "legal", "identity")) -> float:
@@ -178,9 +201,3 @@ def compound_risk(state: list, sensitive: tuple[str, ...] = ("health", "finance"
         if n >= 2:
             most = max(most, 0.7 * min(1.0, n / 3) + 0.3 * sens[key] / 5)
     return round(min(1.0, most), 3)
-
-
-def receipts_without_edge(receipts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Receipts (from_agent, to_agent, content_hash) that no reported edge explains."""
-    return receipts.join(edges, ["from_agent", "to_agent", "content_hash"], "left_anti")
-

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditloom.functions import noise
+from auditloom.operators.commitments import hmac_sha256
 
 SENSITIVE = ("behavioral", "biometric", "credentials", "demographic", "education", "employment", "finance", "health", "legal", "location")
 FLOOR, PRIOR, RATIO, GAIN = 3, 0.1, 3.0, 0.3
@@ -97,3 +98,67 @@ def raw_leaks(parts: DataFrame, view: DataFrame, labels: DataFrame) -> DataFrame
     """parts (message_id, text) of which a word that is no label value is in the center's view. view: (word); labels: (word)."""
     words = parts.select("message_id", F.explode(content_tokens(F.col("text"))).alias("word"))
     return words.join(labels.select("word").distinct(), "word", "left_anti").join(view.select("word").distinct(), "word", "left_semi").select("message_id").distinct()
+
+
+# ---- labels on the wire, attestation of a build, the service's log ----
+
+KEY = "privacy-label"
+
+
+def attach(columns: list[str]) -> Column:
+    """The label of those columns as the metadata of a message part, in JSON."""
+    return F.to_json(F.struct(F.struct(*columns).alias(KEY)))
+
+
+LABEL = "subject string, owner string, sens int, category array<string>"
+
+
+def extract(parts: DataFrame, metadata: str, schema: str = LABEL) -> DataFrame:
+    """parts with ``label``; null where the metadata has none."""
+    return parts.withColumn("label", F.from_json(metadata, f"`{KEY}` struct<{schema.replace(' ', ':').replace(',:', ',')}>")[KEY])
+
+
+def declare(agents: DataFrame) -> DataFrame:
+    """Clearances (agent, principal, purposes): the last that each agent has declared, by seq."""
+    return agents.groupBy("agent").agg(F.max_by(F.struct("principal", "purposes"), "seq").alias("c")).select("agent", "c.*")
+
+
+def send(hops_: DataFrame, text: str = "text") -> DataFrame:
+    """Messages as the audit takes them: the text is hashed and goes no further. A message without an id gets one by its number in the session."""
+    n = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    return hops_.withColumns({"content_hash": F.sha2(F.coalesce(F.col(text), F.lit("")), 256), "message_id": F.coalesce(F.nullif("message_id", F.lit("")), F.concat(F.lit("m"), n))}).drop(text)
+
+
+def observe(hops_: DataFrame, tags: dict[str, Column], level: Column, text: str = "text") -> DataFrame:
+    """Messages of hops that come with policy only: categories, hints and sensitivity are what a tagger finds in the text."""
+    return send(hops_.withColumns({"category": tags["category"], "inferred": tags["inferred"], "sens": level}), text)
+
+
+def _report(labels: DataFrame, sender: str) -> DataFrame:
+    """(sender, messages, tags, edges_hash): one digest over all that a sender reports, whatever its order: the sum of the messages' digests."""
+    each = F.sha2(F.to_json(F.struct("message_id", "subject", "owner", "sens", "category", "inferred", "content_hash")), 256)
+    part = lambda k: F.sum(F.conv(F.substring(each, 1 + 8 * k, 8), 16, 10).cast("bigint")).cast("string")
+    return labels.groupBy(sender).agg(F.count("*").alias("messages"), F.sum(F.size("inferred")).alias("tags"), F.sha2(F.concat_ws("|", *[part(k) for k in range(8)]), 256).alias("edges_hash"))
+
+
+def attest(labels: DataFrame, sender: str, fingerprint: str, key: bytes) -> DataFrame:
+    """(sender, messages, tags, edges_hash, fingerprint, signature): what a sender's build signs of its report."""
+    r = _report(labels, sender).withColumn("fingerprint", F.lit(fingerprint))
+    return r.withColumn("signature", hmac_sha256(key, F.concat_ws("|", "fingerprint", "edges_hash", F.col("tags").cast("string"), F.col(sender).cast("string"))))
+
+
+def verify(labels: DataFrame, attested: DataFrame, sender: str, builds: dict[str, bytes]) -> DataFrame:
+    """(sender, messages, tags, reasons): what is wrong with each attestation of what came; '' is a good one. builds: fingerprint -> key."""
+    now = _report(labels, sender).select(F.col(sender).alias("__s"), F.col("edges_hash").alias("__h"))
+    text = F.concat_ws("|", "fingerprint", "edges_hash", F.col("tags").cast("string"), F.col(sender).cast("string"))
+    known, good = F.lit(False), F.lit(False)
+    for fp, key in builds.items():
+        known = known | (F.col("fingerprint") == fp)
+        good = good | ((F.col("fingerprint") == fp) & (F.col("signature") == hmac_sha256(key, text)))
+    why = F.when(~known, "untrusted_build").otherwise(F.concat_ws(",", F.when(~good, "bad_signature"), F.when(F.coalesce(F.col("__h") != F.col("edges_hash"), F.lit(True)), "report_tampered")))
+    return attested.join(now, F.col(sender) == F.col("__s"), "left").select(sender, "messages", "tags", why.alias("reasons"))
+
+
+def last(found: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n violations, newest first."""
+    return found.orderBy(*[F.desc(c) for c in order]).limit(n)

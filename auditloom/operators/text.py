@@ -280,6 +280,64 @@ def injection_kind(n: dict[str, Column], source: Column) -> Column:
     )
 
 
+def injection(df: DataFrame, text: str, source: Column) -> DataFrame:
+    """df with confidence, detected, kind and patterns: the verdict on a column of text from a source (user, tool_return, web, file, mcp or agent). Unlike characters add 0.1 in texts of over 50."""
+    n = {f"__{k}": c for k, c in family_counts(F.coalesce(F.col(text), F.lit(""))).items()}
+    df = df.withColumns(n | {"__odd": (F.length(text) > 50) & (F.abs(char_entropy(F.col(text)) - 4.5) > 1.5), "__source": source})
+    n = {k: F.col(f"__{k}") for k in INJECTION}
+    odd = F.coalesce(F.col("__odd"), F.lit(False))
+    # Rounded, as a sum of tenths can miss the threshold by its last bit.
+    c = F.least(F.lit(1.0), F.round(F.least(F.lit(1.0), F.greatest(*injection_scores(n, F.col("__source")).values())) + F.when(odd, 0.1).otherwise(0.0), 9))
+    df = df.withColumn("confidence", c).withColumn("detected", F.col("confidence") >= 0.4)
+    df = df.withColumn("kind", F.when(F.col("detected"), injection_kind(n, F.col("__source"))).otherwise("none"))
+    return df.withColumn("patterns", sum(n.values(), F.lit(0)) + odd.cast("int")).drop(*[f"__{k}" for k in INJECTION], "__odd", "__source")
+
+
+def judged_injection(found: DataFrame, judge: Column, low: float = 0.20, high: float = 0.50) -> DataFrame:
+    """Verdicts after a judge's score: it counts only where confidence is unsure; from 0.6 on it confirms, below 0.3 it clears. A null score, as of a judge that failed, changes nothing."""
+    unsure = F.col("confidence").between(low, high) & judge.isNotNull()
+    yes, no = unsure & (judge >= 0.6), unsure & (judge < 0.3)
+    out = found.withColumns(
+        {"__c": F.when(yes, F.greatest("confidence", judge)).when(no, F.least("confidence", judge)).otherwise(F.col("confidence")), "__d": F.when(yes, True).when(no, False).otherwise(F.col("detected"))}
+    )
+    kind = F.when(yes & (F.col("kind") == "none"), "direct").when(no, "none").otherwise(F.col("kind"))
+    return out.withColumns({"kind": kind, "confidence": F.col("__c"), "detected": F.col("__d")}).drop("__c", "__d")
+
+
+def item_terms(item: str) -> dict:
+    """Of an item that is known when the plan is made: its grams, words, their counts and norm, and its synonyms."""
+    low = item.lower()
+    t = low.strip()
+    grams = list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) if len(t) >= 3 else [t]
+    ws = re.findall("[a-z]+", low)
+    count = {w: ws.count(w) for w in ws}
+    group = next(([x.lower() for x in (k, *v.split("|"))] for k, v in DOMAIN_SYNONYMS.items() if low in [x.lower() for x in (k, *v.split("|"))]), [])
+    return {"item": item, "low": low, "grams": grams, "words": list(count), "count": count, "norm": sum(c * c for c in count.values()) ** 0.5, "group": group}
+
+
+def protected_level(df: DataFrame, text: str, items: list[str], canaries: list[str], structured: Column, full: float = 0.72, partial: float = 0.45, judge: Column | None = None) -> DataFrame:
+    """df with level ('full', 'partial', 'none') and top, the largest score of a text against a policy's items: the tiered detector for lists that are configuration. Grams and words of a text are made once."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"__g": char_grams(t), "__w": words(t), "__low": F.lower(t)}).withColumn("__d", F.array_distinct("__w"))
+    df = df.withColumn("__n", F.sqrt(F.aggregate("__d", F.lit(0.0), lambda s, w: s + F.pow(F.size(F.filter("__w", lambda x: x == w)).cast("double"), 2))))
+    scores = []
+    for x in map(item_terms, items):
+        dot = sum((F.array_size(F.array_remove("__w", w)) * -c for w, c in x["count"].items()), F.size("__w") * sum(x["count"].values()))
+        cosine = F.when((F.col("__n") > 0) & F.lit(x["norm"] > 0), dot / (F.col("__n") * x["norm"])).otherwise(0.0)
+        lits = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+        alike = 0.3 * jaccard(F.col("__g"), lits(x["grams"])) + 0.3 * jaccard(F.col("__d"), lits(x["words"])) + 0.4 * cosine
+        near = F.lit(False)
+        for term in x["group"]:
+            near = near | F.col("__low").contains(term)
+        scores.append(F.when(F.col("__low").contains(x["low"]), 1.0).when(near, 0.85).otherwise(alike))
+    top = F.greatest(*scores, F.lit(0.0)) if scores else F.lit(0.0)
+    canary = F.lit(False)
+    for c in canaries:
+        canary = canary | t.contains(c)
+    df = df.withColumn("top", top).withColumn("level", F.when(t == "", "none").otherwise(tier_level(canary, structured, F.col("top"), judge, full, partial)))
+    return df.drop("__g", "__w", "__low", "__d", "__n")
+
+
 # ---- firewall ----
 
 RULE_TAGS = {

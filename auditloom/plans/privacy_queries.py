@@ -42,7 +42,7 @@ def desensitized_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges as a central auditor gets them; k = 500 agents, as every domain here has hundreds."""
     e = edges(spark, sf_dir).withColumn("content", F.col("edge_id"))
     out = P.desensitize(e, P.Config(SALT, minutes=1440, epsilons=EPS), P.frequent_domains(e, 500))
-    return out.withColumn("domains", F.array_join("domains", ","))
+    return out.select("edge_id", "content_hash", "ts", "from_agent", "to_agent", F.array_join("domains", ",").alias("domains"), "sens", "violation")
 
 
 @query(

@@ -141,7 +141,7 @@ def epoch_commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACCESS = (
     """WITH r AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'execute' ELSE 'delegate' END AS action, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS level,
       CASE WHEN o_orderkey % 3 = 0 THEN 'tenant:' || (o_orderkey % 25) ELSE '' END AS owner, 'tool:' || (o_orderkey % 5) AS tool, (o_custkey + 1) % 2000 AS target FROM orders),
-    c AS (SELECT c_custkey, c_nationkey % 5 + 1 AS lvl, 'tenant:' || c_nationkey AS u, c_custkey % 3 = 0 AS deleg FROM customer WHERE c_custkey % 10 <> 9),
+    c AS (SELECT c_custkey, c_nationkey % 5 + 1 AS lvl, 'tenant:' || c_nationkey AS u, c_custkey % 3 = 0 AS deleg FROM customer WHERE c_acctbal >= 0),
     j AS (SELECT r.*, c.*, t.lvl AS tl FROM r LEFT JOIN c ON o_custkey = c.c_custkey LEFT JOIN c t ON target = t.c_custkey)
     SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'deny' WHEN e <> 'none' THEN 'escalation_blocked' ELSE 'allow' END AS decision, e AS escalation FROM (
       SELECT *, CASE WHEN c_custkey IS NULL THEN 'none' WHEN action = 'read' AND level > lvl THEN 'vertical' WHEN action = 'write' AND level < lvl THEN 'vertical' WHEN owner <> '' AND owner <> u THEN 'horizontal'
@@ -151,17 +151,15 @@ _ACCESS = (
 
 @query(_ACCESS)
 def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests are orders, clearances are customers; every tenth customer is not registered."""
-    return _access(spark, sf_dir, "c_custkey % 10 <> 9")
+    """Requests are orders, clearances are customers; those whose account is overdrawn are not registered."""
+    return checked(spark, sf_dir).select("o_orderkey", "decision", "escalation")
 
 
-@query(_ACCESS.replace("c_custkey % 10 <> 9", "c_acctbal >= 0"))
-def access_decisions_by_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same requests; customers whose account is overdrawn are not registered, all others are, whatever their key."""
-    return _access(spark, sf_dir, "c_acctbal >= 0")
+ACCESS_LOG = "WITH lg AS (SELECT a.*, CAST(o_custkey AS VARCHAR) AS agent FROM (" + _ACCESS + ") a JOIN orders USING (o_orderkey)) "
 
 
-def _access(spark: SparkSession, sf_dir: str, registered: str) -> DataFrame:
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request with its decision."""
     from auditloom.operators.controls import check_access
 
     o = table(spark, sf_dir, "orders")
@@ -171,12 +169,12 @@ def _access(spark: SparkSession, sf_dir: str, registered: str) -> DataFrame:
         k.alias("request"), F.col("o_custkey").cast("string").alias("agent"), action.alias("action"), F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.array().cast("array<string>").alias("domains"),
         F.when(k % 3 == 0, F.concat(F.lit("tenant:"), k % 25)).otherwise("").alias("owner"), F.concat(F.lit("tool:"), k % 5).alias("tool"), ((F.col("o_custkey") + 1) % 2000).cast("string").alias("target"),
     )
-    c = table(spark, sf_dir, "customer").where(registered)  # registration is a property of the data here
+    c = table(spark, sf_dir, "customer").where("c_acctbal >= 0")  # registration is a property of the data here
     clearances = c.select(
         F.col("c_custkey").cast("string").alias("agent"), (F.col("c_nationkey") % 5 + 1).alias("max_level"), F.array().cast("array<string>").alias("allowed_domains"), F.concat(F.lit("tenant:"), F.col("c_nationkey")).alias("user_id"),
         F.array(F.lit("tool:0"), F.lit("tool:1")).alias("allowed_tools"), (F.col("c_custkey") % 3 == 0).alias("can_delegate"), F.array(F.lit("tool:3")).alias("delegatable_tools"),
     )
-    return check_access(requests, clearances).select(F.col("request").alias("o_orderkey"), "decision", "escalation")
+    return check_access(requests, clearances).withColumnRenamed("request", "o_orderkey")
 
 
 @query(f"SELECT escalation, count(*) AS n FROM ({_ACCESS}) WHERE escalation <> 'none' GROUP BY escalation")

@@ -159,26 +159,6 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNT = {k: " + ".join(f"CASE WHEN {_sql_hit(p, 'html')} THEN 1 ELSE 0 END" for p in ps) for k, ps in INJECTION.items()}
 
 
-@query(
-    f"""WITH n AS (SELECT page_id, {', '.join(f'{c} AS {k}' for k, c in _COUNT.items())} FROM pages),
-    s AS (SELECT page_id, greatest(CASE WHEN role_override > 0 THEN 0.4 + 0.15 * role_override ELSE 0 END, CASE WHEN delimiter_escape > 0 THEN 0.6 + 0.1 * delimiter_escape ELSE 0 END,
-      CASE WHEN indirect > 0 THEN 0.7 + 0.1 * indirect ELSE 0 END, CASE WHEN tool_injection > 0 THEN 0.3 ELSE 0 END, CASE WHEN exfiltration > 0 THEN 0.75 + 0.1 * exfiltration ELSE 0 END,
-      CASE WHEN prompt_infection > 0 THEN 0.5 + 0.15 * prompt_infection ELSE 0 END, CASE WHEN memory_attack > 0 THEN 0.5 + 0.1 * memory_attack ELSE 0 END,
-      CASE WHEN encoding_evasion > 0 THEN 0.45 + 0.15 * encoding_evasion ELSE 0 END, CASE WHEN cross_agent_forgery > 0 THEN 0.55 + 0.1 * cross_agent_forgery ELSE 0 END) AS c,
-      CASE WHEN cross_agent_forgery > 0 THEN 'indirect' WHEN memory_attack > 0 THEN 'direct' WHEN prompt_infection > 0 OR exfiltration > 0 THEN 'indirect' WHEN indirect > 0 THEN 'indirect'
-      WHEN delimiter_escape > 0 THEN 'delimiter_escape' ELSE 'direct' END AS kind FROM n)
-    SELECT page_id, round(CAST(least(1.0, c) AS DOUBLE), 6) AS confidence, c >= 0.4 AS detected, CASE WHEN c >= 0.4 THEN kind ELSE 'none' END AS kind FROM s"""
-)
-def injection_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The injection verdict on each web page, without the entropy signal."""
-    p = table(spark, sf_dir, "pages")
-    web = F.lit("web")
-    counted = p.select("page_id", *[c.alias(k) for k, c in T.family_counts(F.col("html")).items()])
-    n = {k: F.col(k) for k in INJECTION}
-    scored = counted.select("page_id", F.greatest(*T.injection_scores(n, web).values()).alias("c"), T.injection_kind(n, web).alias("k"))
-    return scored.select("page_id", F.round(F.least(F.lit(1.0), "c"), 6).alias("confidence"), (F.col("c") >= 0.4).alias("detected"), F.when(F.col("c") >= 0.4, F.col("k")).otherwise("none").alias("kind"))
-
-
 @query("""SELECT page_id, bool_or(n > 0) AS any_family, CAST(sum(n) AS BIGINT) AS patterns FROM (SELECT page_id, unnest([%s]) AS n FROM pages) GROUP BY page_id""" % ", ".join(_COUNT.values()))
 def injection_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many patterns of all families match each page."""
