@@ -45,13 +45,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     _left.append((df.sparkSession, path))
     return df.sparkSession.read.parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table that ``written`` gave and nothing will read again."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = f.rsplit("/", 1)[0]
-        for held in [x for x in _left if x[1].split("://")[-1].lstrip("/") == path.split(":")[-1].lstrip("/")]:
-            drop_path(*held)
-            _left.remove(held)

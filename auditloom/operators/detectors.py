@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.shared import written
+
 RISK = ["risk_type", "agents", "edges", "severity", "source_domain", "target_domain"]
 SENSITIVE = ("health", "finance", "legal", "identity")
 CROSSING = ("health", "finance", "legal")
@@ -36,6 +38,43 @@ def both(a: Column, names: tuple[str, ...]) -> Column:
     return F.array_intersect(a, among(*names))
 
 
+def vocabulary(e: DataFrame) -> list[str]:
+    """All domains of the edges; they are a closed list in an audit, 62 at most here, so they come to the driver and a set of them is the bits of a number."""
+    names = sorted(r["d"] for r in e.select(F.explode("domains").alias("d")).where("d is not null").distinct().limit(63).collect())
+    if len(names) > 62:
+        raise ValueError("more than 62 domains: map rare ones to their parents first")
+    return names
+
+
+def mask(domains: Column, names: list[str]) -> Column:
+    """A set of domains as bits. Unions are then bit_or, which needs no list and no sort in a group."""
+    out = F.lit(0).cast("bigint")
+    for k, d in enumerate(names):
+        out = out.bitwiseOR(F.when(F.array_contains(domains, d), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint"))
+    return F.coalesce(out, F.lit(0).cast("bigint"))
+
+
+def bits(wanted, names: list[str]) -> int:
+    return sum(1 << k for k, d in enumerate(names) if d in wanted)
+
+
+def unmask(m: Column, names: list[str]) -> Column:
+    """The domains of a mask, in order."""
+    return F.array_compact(F.array(*[F.when(m.bitwiseAND(F.lit(1 << k).cast("bigint")) != 0, F.lit(d)) for k, d in enumerate(names)])) if names else F.array().cast("array<string>")
+
+
+def ones(m: Column) -> Column:
+    return F.bit_count(m)
+
+
+def masked(e: DataFrame, names: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """e with ``mask`` (as it has one already, or made now) and the names of its bits."""
+    if "mask" in e.columns and names is not None:
+        return e, names
+    names = vocabulary(e) if names is None else names
+    return e.withColumn("mask", mask(F.col("domains"), names)), names
+
+
 def capped(c: Column) -> Column:
     return F.least(F.lit(1.0), c.cast("double"))
 
@@ -103,39 +142,48 @@ def injection_leak(e: DataFrame) -> DataFrame:
     return risk(g, "compound_injection_leak", F.array_sort(F.array_union(F.array("from_agent"), F.col("to"))), F.col("ids"), capped(F.col("most") / 5 + 0.3), "security", "privacy")
 
 
-def scope_escalation(e: DataFrame, nodes: DataFrame) -> DataFrame:
+def scope_escalation(e: DataFrame, nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Two senders whose joined domains exceed both scopes; what exceeds their common scope is counted. Known subjects must overlap.
 
-    Pairs are found through a shared subject, so only agents without one meet all others.
+    Agents fall into classes by (used domains, scope), two masks. Which classes escalate together is decided on classes, of which there are few however many agents there are; pairs of agents are made only of such classes, through a shared
+    subject, and of agents without one with all others of the class, since each such pair is a finding.
     """
-    used = e.groupBy("from_agent").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("used"), F.collect_set("t_subject").alias("subjects"), F.array_sort(F.collect_list("edge_id")).alias("ids"))
-    used = used.join(nodes.select(F.col("agent").alias("from_agent"), "scope"), "from_agent", "left").withColumn("scope", F.coalesce("scope", F.array().cast("array<string>")))
-    side = lambda x: used.select(*[F.col(c).alias(f"{x}_{c}") for c in ("from_agent", "used", "subjects", "scope")])
-    keys = used.select("from_agent", F.explode("subjects").alias("s"))
-    shared = keys.select(F.col("from_agent").alias("a_from_agent"), "s").join(keys.select(F.col("from_agent").alias("b_from_agent"), "s"), "s").where("a_from_agent < b_from_agent").select("a_from_agent", "b_from_agent").distinct()
-    loose = used.where(F.size("subjects") == 0).select("from_agent")
-    all_ = used.select("from_agent")
-    free = loose.select(F.col("from_agent").alias("x")).join(all_.select(F.col("from_agent").alias("y")), F.col("x") != F.col("y")).select(F.least("x", "y").alias("a_from_agent"), F.greatest("x", "y").alias("b_from_agent")).distinct()
-    p = shared.union(free).distinct().join(side("a"), "a_from_agent").join(side("b"), "b_from_agent")
-    joined = F.array_union("a_used", "b_used")
-    over = (F.size(F.array_except(joined, "a_scope")) > 0) & (F.size(F.array_except(joined, "b_scope")) > 0)
-    excess = both(F.array_except(joined, F.array_intersect("a_scope", "b_scope")), SENSITIVE)
-    p = p.where(over & (F.size(excess) > 0))
-    return risk(p, "compound_scope_escalation", F.array("a_from_agent", "b_from_agent"), F.array().cast("array<string>"), F.bround(capped(F.size(excess) * 0.3), 3), "governance", "privacy")
-
-
-def collusion(e: DataFrame, least: int = 5) -> DataFrame:
+    scopes = nodes.select(F.explode("scope").alias("d"))
+    names = sorted({*(vocabulary(e) if names is None else names), *(r["d"] for r in scopes.distinct().limit(63).collect())})
+    e = e.withColumn("mask", mask(F.col("domains"), names))
+    sens = bits(SENSITIVE, names)
+    used = e.groupBy("from_agent").agg(F.bit_or("mask").alias("used"), F.max(F.col("t_subject").isNotNull()).alias("known"))
+    used = used.join(nodes.select(F.col("agent").alias("from_agent"), mask(F.col("scope"), names).alias("scope")), "from_agent", "left").withColumn("scope", F.coalesce("scope", F.lit(0).cast("bigint")))
+    used = written(used, "scope-agents")
+    kinds = written(used.select("used", "scope").distinct(), "scope-classes")
+    a, b = kinds.select(F.col("used").alias("au"), F.col("scope").alias("ac")), kinds.select(F.col("used").alias("bu"), F.col("scope").alias("bc"))
+    joined = F.col("au").bitwiseOR(F.col("bu"))
+    minus = lambda x, y: x.bitwiseAND(F.bitwise_not(y))
+    excess = minus(joined, F.col("ac").bitwiseAND(F.col("bc"))).bitwiseAND(F.lit(sens).cast("bigint"))
+    hot = a.join(b, (minus(joined, F.col("ac")) != 0) & (minus(joined, F.col("bc")) != 0) & (excess != 0)).select("au", "ac", "bu", "bc", ones(excess).alias("n"))
+    hot = written(hot, "scope-pairs")
+    side = lambda x, rows: rows.select(F.col("from_agent").alias(x), F.col("used").alias(f"{x}u"), F.col("scope").alias(f"{x}c"))
+    subject = e.where("t_subject is not null").select("from_agent", F.col("t_subject").alias("s")).distinct()
+    one, two = side("a", used).join(subject.withColumnRenamed("from_agent", "a"), "a"), side("b", used).join(subject.withColumnRenamed("from_agent", "b"), "b")
+    shared = one.join(two, "s").where("a < b").join(hot, ["au", "ac", "bu", "bc"]).select("a", "b", "n").distinct()
+    loose = side("a", used.where("not known")).join(hot, ["au", "ac"]).join(side("b", used), ["bu", "bc"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").distinct()
+    p = shared.union(loose).distinct()
+    return risk(p, "compound_scope_escalation", F.array("a", "b"), F.array().cast("array<string>"), F.bround(capped(F.col("n") * 0.3), 3), "governance", "privacy")
+
+
+def collusion(e: DataFrame, least: int = 5, names: list[str] | None = None) -> DataFrame:
     """Two agents with many messages, both ways."""
+    e, names = masked(e, names)
     a, b = F.least(F.col("from_agent"), F.col("to_agent")), F.greatest(F.col("from_agent"), F.col("to_agent"))
-    there, back = F.when(F.col("from_agent") == a, F.col("domains")), F.when(F.col("from_agent") != a, F.col("domains"))
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    g = e.where(F.col("from_agent") != F.col("to_agent")).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.count(there).alias("x"), F.count(back).alias("y"), flat(there).alias("dx"), flat(back).alias("dy"), F.array_sort(F.collect_list("edge_id")).alias("ids"))
+    there, back = F.when(F.col("from_agent") == a, F.col("mask")), F.when(F.col("from_agent") != a, F.col("mask"))
+    g = e.where(F.col("from_agent") != F.col("to_agent")).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.count(there).alias("x"), F.count(back).alias("y"), F.bit_or(there).alias("dx"), F.bit_or(back).alias("dy"), F.array_sort(F.collect_list("edge_id")).alias("ids"))
     g = g.where((F.col("n") >= least) & (F.col("x") > 0) & (F.col("y") > 0))
     return risk(g, "compound_collusion", F.array("a", "b"), F.col("ids"), capped(F.col("n") * 0.05 + F.when(F.col("dx") != F.col("dy"), 0.3).otherwise(0.0)), "privacy", "privacy")
 
 
-def _arrived(e: DataFrame) -> DataFrame:
-    return e.groupBy("to_agent").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("d"), F.array_sort(F.collect_list("edge_id")).alias("ids"))
+def _arrived(e: DataFrame, names: list[str] | None = None) -> DataFrame:
+    e, names = masked(e, names)
+    return e.groupBy("to_agent").agg(F.bit_or("mask").alias("m"), F.array_sort(F.collect_list("edge_id")).alias("ids")).withColumn("d", unmask(F.col("m"), names)).drop("m")
 
 
 def temporal_aggregation(now: DataFrame, past: DataFrame) -> DataFrame:
@@ -171,22 +219,31 @@ def _profiles() -> Column:
     return F.array(*rows)
 
 
-def quasi_identifiers(e: DataFrame) -> DataFrame:
-    """Domain sets that identify a person when one agent receives all of them."""
-    per = e.select("from_agent", "to_agent", "edge_id", F.explode("domains").alias("domain")).groupBy("to_agent", "domain").agg(F.collect_set("from_agent").alias("senders"), F.collect_list("edge_id").alias("ids"))
-    g = per.groupBy("to_agent").agg(F.collect_list(F.struct("domain", "senders", "ids")).alias("m"))
-    x = g.select("to_agent", "m", F.explode(_profiles()).alias("q")).where(F.size(F.array_except("q.needs", F.col("m.domain"))) == 0)
-    mine = F.filter("m", lambda d: F.array_contains("q.needs", d.domain))
-    senders = F.array_sort(F.array_distinct(F.flatten(F.transform(mine, lambda d: d.senders))))
-    ids = F.array_sort(F.flatten(F.transform(mine, lambda d: d.ids)))
-    x = x.select("to_agent", "q.*", senders.alias("senders"), ids.alias("ids"))
-    severity = F.coalesce("fixed", F.when(F.size("senders") >= 2, 0.7).otherwise(0.5))
-    return risk(x, "compositional_quasi_id", F.concat(F.array("to_agent"), F.col("senders")), F.col("ids"), severity, F.array_min("needs"), F.col("to_agent"))
-
-
-def k_anonymity(e: DataFrame, k: float = 5.0) -> DataFrame:
+def quasi_identifiers(e: DataFrame, names: list[str] | None = None, evidence: bool = True) -> DataFrame:
+    """Domain sets that identify a person when one agent receives all of them. Without evidence, senders and edges are left out, and with them the joins that find them."""
+    e, names = masked(e, names)
+    profiles = [(k, v.split(), None) for k, v in PAIRS.items()] + [(k, v.split(), x) for k, (v, x) in SETS.items()]
+    need = {k: bits(v, names) if set(v) <= set(names) else -1 for k, v, _ in profiles}
+    profiles = [p for p in profiles if need[p[0]] > 0]  # a domain that no edge has completes nothing
+    sender = e.groupBy("to_agent", "from_agent").agg(F.bit_or("mask").alias("mask"))
+    each = [F.count_if(F.col("mask").bitwiseAND(F.lit(need[k]).cast("bigint")) != 0).alias(k) for k, _, _ in profiles]
+    g = sender.groupBy("to_agent").agg(F.bit_or("mask").alias("all"), *each)
+    fired = [F.when(F.col("all").bitwiseAND(F.lit(need[k]).cast("bigint")) == need[k], F.struct(F.lit(need[k]).cast("bigint").alias("need"), among(*v).alias("needs"), F.coalesce(F.lit(x).cast("double"), F.when(F.col(k) >= 2, 0.7).otherwise(0.5)).alias("severity"))) for k, v, x in profiles]
+    none = F.array().cast("array<struct<need:bigint,needs:array<string>,severity:double>>")
+    x = g.select("to_agent", F.explode(F.array_compact(F.array(*fired)) if fired else none).alias("q")).select("to_agent", "q.*")
+    if not evidence:
+        empty = F.array().cast("array<string>")
+        return risk(x, "compositional_quasi_id", F.array("to_agent"), empty, F.col("severity"), F.array_min("needs"), F.col("to_agent"))
+    part = x.join(e.select("to_agent", "from_agent", "edge_id", "mask"), "to_agent").where(F.col("mask").bitwiseAND(F.col("need")) != 0)
+    # an edge stands once for each needed domain that it has
+    ids = F.flatten(F.collect_list(F.array_repeat("edge_id", F.bit_count(F.col("mask").bitwiseAND(F.col("need"))))))
+    x = part.groupBy("to_agent", "need", "needs", "severity").agg(F.array_sort(F.collect_set("from_agent")).alias("senders"), F.array_sort(ids).alias("ids"))
+    return risk(x, "compositional_quasi_id", F.concat(F.array("to_agent"), F.col("senders")), F.col("ids"), F.col("severity"), F.array_min("needs"), F.col("to_agent"))
+
+
+def k_anonymity(e: DataFrame, k: float = 5.0, names: list[str] | None = None) -> DataFrame:
     """A set of 1000 people, halved by each sensitive domain after the first, that falls below k. At the default of 5 it takes nine domains, of which there are eight."""
-    g = _arrived(e).withColumn("held", both(F.col("d"), HELD)).where("size(held) >= 2").withColumn("left", F.lit(1000.0) / F.pow(F.lit(2.0), F.size("held") - 1)).where(F.col("left") < k)
+    g = _arrived(e, names).withColumn("held", both(F.col("d"), HELD)).where("size(held) >= 2").withColumn("left", F.lit(1000.0) / F.pow(F.lit(2.0), F.size("held") - 1)).where(F.col("left") < k)
     return risk(g, "compositional_k_anonymity_collapse", F.array("to_agent"), F.col("ids"), capped((F.lit(float(k)) - F.col("left")) / k), F.array_min("held"), F.col("to_agent"))
 
 
@@ -219,11 +276,12 @@ def platform_leakage(e: DataFrame, nodes: DataFrame, least: float = 0.5) -> Data
     return risk(rows, "deanon_platform_leakage", F.array(F.col("to_agent")), F.array(F.col("edge_id")), capped(score), "identity", "cross_platform")
 
 
-def behavioral_correlation(e: DataFrame, nodes: DataFrame, least: float = 0.5) -> DataFrame:
+def behavioral_correlation(e: DataFrame, nodes: DataFrame, least: float = 0.5, names: list[str] | None = None) -> DataFrame:
     """An agent that shows alike domains on two platforms."""
-    g = _with_platforms(e, nodes).groupBy("from_agent", "p_to").agg(F.array_distinct(F.flatten(F.collect_set("domains"))).alias("d"), F.collect_list("edge_id").alias("ids")).where(F.size("d") > 0)
+    e, names = masked(e, names)
+    g = _with_platforms(e, nodes).groupBy("from_agent", "p_to").agg(F.bit_or("mask").alias("d"), F.collect_list("edge_id").alias("ids")).where("d <> 0")
     b = g.select("from_agent", F.col("p_to").alias("q"), F.col("d").alias("d2"), F.col("ids").alias("ids2"))
-    j = F.size(F.array_intersect("d", "d2")) / F.size(F.array_union("d", "d2"))
+    j = ones(F.col("d").bitwiseAND(F.col("d2"))) / ones(F.col("d").bitwiseOR(F.col("d2")))
     x = g.join(b, "from_agent").where(F.col("p_to") < F.col("q")).withColumn("j", j).where((F.col("j") >= 0.3) & (F.col("j") * 0.6 + 0.2 >= least))
     return risk(x, "deanon_behavioral_correlation", F.array("from_agent"), F.array_sort(F.concat("ids", "ids2")), capped(F.col("j") * 0.6 + 0.2), "identity", "cross_platform")
 

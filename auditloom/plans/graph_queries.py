@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions.shared import written
 from auditloom.operators import detectors as D
 from auditloom.registry import query
-from auditloom.sources.interaction import CTES, edges, flagged, nodes, pair_edges
+from auditloom.sources.interaction import CTES, TYPES, edges, flagged, nodes, pair_edges
 
 SEN = "['health', 'finance', 'legal', 'identity']"
 CRO = "['health', 'finance', 'legal']"
@@ -222,13 +223,19 @@ def multihop_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(D.multihop(flagged(_e(spark, sf_dir)), nodes(spark, sf_dir)))
 
 
-def default_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+def central(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(edges, pair edges, nodes, domains) of the central audit: edges once, with their domains as a mask, and read by every detector."""
+    e = _e(spark, sf_dir)
+    names = sorted({*TYPES.values(), "location", "employment"})  # all that ``edges`` can give
+    e = written(e.withColumn("mask", D.mask(F.col("domains"), names)), "edges")
+    return e, pair_edges(e), written(nodes(spark, sf_dir), "nodes"), names
+
+
+def default_suite(e: DataFrame, pe: DataFrame, n: DataFrame, names: list[str] | None = None, evidence: bool = True) -> DataFrame:
     """The risks that a central audit reports by default, from filters and groups."""
-    e, n = _e(spark, sf_dir), nodes(spark, sf_dir)
-    pe = pair_edges(e)
     return D.union(
         D.cross_domain(pe, n), D.cross_owner(e, n), D.aggregation(pe), D.taint_spreading(e), D.long_distance(e), D.inference_accumulation(e),
-        D.injection_leak(e), D.collusion(e), D.quasi_identifiers(e), D.k_anonymity(e), D.platform_leakage(e, n), D.behavioral_correlation(e, n),
+        D.injection_leak(e), D.collusion(e, names=names), D.quasi_identifiers(e, names, evidence), D.k_anonymity(e, names=names), D.platform_leakage(e, n), D.behavioral_correlation(e, n, names=names),
     )
 
 
@@ -251,5 +258,5 @@ def alert_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risks of the default suite by alert level and type."""
     from auditloom.operators.risks import alert_level
 
-    r = default_suite(spark, sf_dir)
+    r = default_suite(*central(spark, sf_dir), evidence=False)
     return r.groupBy(alert_level(F.round("severity", 6)).alias("alert_level"), "risk_type").agg(F.count("*").alias("risks"), F.round(F.max("severity"), 6).alias("worst"))
