@@ -33,7 +33,7 @@ def parse_response(text: str | None) -> float | None:
             return min(1.0, max(0.0, float(score)))
         except (ValueError, KeyError, TypeError):
             pass
-    found = re.search(r"(?<![\d.])(?:0(?:\.\d+)?|1(?:\.0+)?)(?![\d.])", text)
+    found = re.search(r"(?<![\d.])(?:0(?:\.\d+)?|1(?:\.0+)?)(?!\.?\d)", text)
     return float(found.group()) if found else None
 
 

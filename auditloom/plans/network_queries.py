@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from auditloom.operators import detectors as D
 from auditloom.operators import graph as G
 from auditloom.operators import risks as R
-from auditloom.plans.graph_queries import CTES, SQL, default_suite
+from auditloom.functions.shared import written
+from auditloom.plans.graph_queries import CTES, CUT, SQL, default_suite
 from auditloom.registry import query
 from auditloom.sources.interaction import edges, flagged, nodes, pair_edges
 from auditloom.sources.tables import table
@@ -60,36 +61,80 @@ def topology_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    FE + """, un AS (SELECT from_agent AS a, to_agent AS b FROM fp UNION SELECT to_agent, from_agent FROM fp), reach AS (SELECT a, b FROM un UNION SELECT r.a, u.b FROM reach r JOIN un u ON r.b = u.a)
-    SELECT a AS agent, least(a, min(b)) AS component FROM reach GROUP BY a"""
+    CTES + """, un AS MATERIALIZED (SELECT from_agent AS a, to_agent AS b FROM pe UNION SELECT to_agent, from_agent FROM pe), cc(node, comp) USING KEY (node) AS (SELECT DISTINCT a, a FROM un
+      UNION SELECT u.a, min(c.comp) FROM cc c JOIN un u ON c.node = u.b JOIN recurring.cc r ON r.node = u.a WHERE c.comp < r.comp GROUP BY u.a)
+    SELECT node AS agent, comp AS component FROM cc"""
 )
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(_flagged_pairs(spark, sf_dir))
+    """Of the whole graph."""
+    return G.components(edges(spark, sf_dir))
+
+
+def _sources(pairs: DataFrame, n: int) -> DataFrame:
+    """n agents by a hash of their name: betweenness is estimated over them, as its work is sources times edges."""
+    a = pairs.select(F.explode(F.array("from_agent", "to_agent")).alias("source")).distinct()
+    return a.orderBy(F.xxhash64("source"), "source").limit(n)
+
+
+#: Sources of the estimate of betweenness in the queries.
+SOURCES = 64
+
+
+def _shape(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs = written(edges(spark, sf_dir).select("from_agent", "to_agent").distinct(), "graph-pairs")
+    return pairs, written(G.structure(pairs, _sources(pairs, SOURCES)), "graph-shape")
 
 
 @query()
 def graph_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Betweenness, cut vertices, bridges and communities of the flagged graph: tested against plain definitions."""
-    return G.structure(_flagged_pairs(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 9))
+    """Degrees, betweenness (estimated from 64 sources), cut vertices, bridges and communities of the whole graph: tests hold each against a plain definition."""
+    return _shape(spark, sf_dir)[1].withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query()
 def betweenness_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.hubs(G.structure(_flagged_pairs(spark, sf_dir))).select("agent", "in_degree", "out_degree", F.round("betweenness", 9).alias("betweenness"))
+    return G.hubs(_shape(spark, sf_dir)[1]).select("agent", "in_degree", "out_degree", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
 def topology_bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut vertices whose agents handle sensitive domains, as risks."""
-    s = G.structure(_flagged_pairs(spark, sf_dir)).where("cut_vertex").join(nodes(spark, sf_dir).select("agent", "scope"), "agent")
+    """Which agents cut the whole graph if they go, and the risk of those that handle sensitive domains."""
+    s = _shape(spark, sf_dir)[1].join(nodes(spark, sf_dir).select("agent", "scope"), "agent")
     held = D.both(F.col("scope"), D.SENSITIVE)
-    r = D.risk(s.where(F.size(held) > 0), "topology_bottleneck", F.array("agent"), F.array().cast("array<string>"), D.capped(F.col("betweenness") + 0.3), F.array_min(held), "")
-    return r.select("risk_type", F.array_join("agents", ",").alias("agent"), F.round("severity", 6).alias("severity"), "source_domain")
+    return s.select("agent", "cut_vertex", "bridges", F.when(F.col("cut_vertex") & (F.size(held) > 0), F.round(D.capped(F.col("betweenness") + 0.3), 6)).alias("severity"), F.array_min(held).alias("source_domain"))
 
 
 @query()
 def topology_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.fingerprint(pair_edges(edges(spark, sf_dir)), 0)
+    pairs, shape = _shape(spark, sf_dir)
+    return G.topology(pairs, shape).withColumn("hubs", F.size("hubs"))
+
+
+@query()
+def topology_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first half of the time to all of it."""
+    e = written(edges(spark, sf_dir).select("from_agent", "to_agent", "ts"), "graph-edges")
+    reports = []
+    for part in (e, e.where(F.col("ts") < F.lit(CUT).cast("timestamp"))):
+        pairs = written(part.select("from_agent", "to_agent").distinct(), "graph-pairs")
+        reports.append(written(G.topology(pairs, written(G.structure(pairs, _sources(pairs, SOURCES)), "graph-shape")), "graph-report"))
+    return G.drift(*reports)
+
+
+@query(
+    CTES + """, st AS MATERIALIZED (SELECT DISTINCT from_agent AS s FROM pe WHERE violation ORDER BY 1 LIMIT 20), ed AS MATERIALIZED (SELECT from_agent AS a, to_agent AS b FROM pe WHERE from_agent <> to_agent),
+    bf(s, v, d) USING KEY (s, v) AS (SELECT s, s, 0 FROM st UNION SELECT DISTINCT bf.s, ed.b, bf.d + 1 FROM bf JOIN ed ON bf.v = ed.a WHERE NOT EXISTS (SELECT 1 FROM recurring.bf r WHERE r.s = bf.s AND r.v = ed.b))
+    SELECT s AS source, count(*) - 1 AS reached, CAST(max(d) AS INTEGER) AS depth FROM bf GROUP BY 1"""
+)
+def propagation_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a violation gets in the whole graph, from the first twenty senders of one by name."""
+    pe = written(pair_edges(edges(spark, sf_dir)).select("from_agent", "to_agent", "violation"), "graph-pairs")
+    first = pe.where("violation").select(F.col("from_agent").alias("source")).distinct().orderBy("source").limit(20)
+    levels = G.forward(pe, first)
+    each = levels[0].withColumn("d", F.lit(0))
+    for k, lv in enumerate(levels[1:], 1):
+        each = each.union(lv.withColumn("d", F.lit(k)))
+    return each.groupBy(F.col("s").alias("source")).agg((F.count("*") - 1).alias("reached"), F.max("d").alias("depth"))
 
 
 _CD = CTES + f""", rk AS MATERIALIZED (SELECT string_split(agents, ',') AS a, agents, source_domain, target_domain, severity FROM ({SQL['cross_domain_leak']})),
