@@ -1,7 +1,7 @@
 """What the corpus operators share: tables in the cluster's shared folder, and column hygiene.
 
 Intermediate results that must outlive an executor are written as Parquet into the folder named by
-``spark.checkpoint.dir`` (read from the session). Only where that is unset, as in tests, a local
+``spark.checkpoint.dir`` (read from the session). Only where that is unset and the master is local, as in tests, a local
 folder is made.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,25 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_left: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is used only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="auditloom-")
-    return _own[app]
+from auditloom.functions.shared import drop_path, shared_dir
+from auditloom.sources.tables import table
 
+__all__ = ["Table", "drop_path", "frugal", "shared_dir", "table", "text_or_empty", "unit_hash"]
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table of ours from the shared folder."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+_left: list[tuple[SparkSession, str]] = []
 
 
 @atexit.register
@@ -67,11 +53,6 @@ class Table:
         _left.remove((self.spark, self.path))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def unit_hash(seed: int, *cols) -> F.Column:
     """A number in (0, 1) from 52 bits of MD5 over the seed and the columns; a null counts as '~'."""
     parts = [F.lit(str(seed))] + [F.coalesce(c.cast("string"), F.lit("~")) for c in cols]

@@ -281,11 +281,11 @@ def verdicts(model: BiGRU | None, texts: list[str | None]) -> tuple[list, list,
     return lang, prob, good, size.tolist(), ends, runs
 
 
-_OUT = "doc_id bigint, lang_id string, probability double, accepted boolean, n_bytes bigint, run_ends array<int>, run_labels array<tinyint>"
+_OUT = "doc_id bigint, lang_id string, probability double, accepted boolean, n_bytes bigint, run_ends array<int>, run_labels array<tinyint>, classes array<string>"
 
 
 def identify(docs: DataFrame, model: BiGRU | None = None) -> DataFrame:
-    """doc_id, lang_id, probability, accepted, n_bytes, and the labels of all positions as runs: where each ends, and its class (by the order of the classes, 'und' last)."""
+    """doc_id, lang_id, probability, accepted, n_bytes, and the labels of all positions as runs: where each ends, and its class as a place in classes (from 0)."""
     model = model or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,10 @@ def identify(docs: DataFrame, model: BiGRU | None = None) -> DataFrame:
                 flat = lambda xs, kind: pa.array(np.concatenate([np.asarray(x, kind) for x in xs] or [np.empty(0, kind)]))
                 cols = [part.column(0), pa.array(lang, pa.string()), pa.array(prob, pa.float64()), pa.array(good, pa.bool_()), pa.array(size, pa.int64())]
                 cols += [pa.ListArray.from_arrays(pa.array(cut), flat(ends, np.int32)), pa.ListArray.from_arrays(pa.array(cut), flat(runs, np.int8))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_id", "probability", "accepted", "n_bytes", "run_ends", "run_labels"])
+                names = model.classes if model is not None else [UND]
+                every = np.arange(0, part.num_rows * len(names) + 1, len(names), dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(every), pa.array(names * part.num_rows, pa.string())))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_id", "probability", "accepted", "n_bytes", "run_ends", "run_labels", "classes"])
 
     return docs.selectExpr("try_cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(run), _OUT)
 

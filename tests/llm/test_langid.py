@@ -103,3 +103,37 @@ def test_training_rows_may_be_missing_or_odd(spark):
     assert [r.lang_id for r in langid.identify(none).collect()] == [UND, UND]
     assert langid.keep_identified(none).count() == 0
     assert langid.identify(docs(spark, [])).count() == 0 and langid.keep_identified(docs(spark, [])).count() == 0
+
+
+def _plain_forward(model, raw):
+    """Byte by byte, in both directions, with scalars' formulas written out."""
+    table, u, w, c = (model.p[k].astype(np.float64) for k in ("table", "u", "w", "c"))
+    hidden = u.shape[-1]
+    both = []
+    for way, order in ((0, raw), (1, raw[::-1])):
+        h, states = np.zeros(hidden), []
+        for byte in order:
+            r = 1 / (1 + np.exp(-(table[way, 0, byte] + h @ u[way, 0])))
+            z = 1 / (1 + np.exp(-(table[way, 1, byte] + h @ u[way, 1])))
+            n = np.tanh(table[way, 2, byte] + r * (h @ u[way, 2]))
+            h = n + z * (h - n)
+            states.append(h)
+        both.append(states if way == 0 else states[::-1])
+    out = []
+    for a, b in zip(*both):
+        x = np.exp(a @ w[0] + b @ w[1] + c)
+        out.append(x / x.sum())
+    return np.array(out)
+
+
+def test_labels_and_pooling_against_a_plain_forward_pass():
+    model = langid.BiGRU(["aa", "bb", "und"], seed=3)
+    texts = [b"short", b"x" * 128, bytes(range(256)) * 2, "é ß text of some length, more than a window of one hundred and twenty-eight bytes, so that it is cut into several".encode() * 2, b"q"]
+    labels, pooled, size = langid.label_batch(model, texts)
+    at = 0
+    for k, raw in enumerate(texts):
+        want = np.concatenate([_plain_forward(model, raw[i : i + langid.WINDOW]) for i in range(0, len(raw), langid.WINDOW)])
+        assert size[k] == len(raw) and np.allclose(pooled[k], want.sum(0), rtol=1e-4)
+        sure = np.sort(want, 1)[:, -1] - np.sort(want, 1)[:, -2] > 1e-4
+        assert (labels[at : at + len(raw)][sure] == want.argmax(1)[sure]).all()
+        at += len(raw)

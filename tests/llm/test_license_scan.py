@@ -67,3 +67,35 @@ def test_all_cases(spark):
     got = license_scan.scan(plain(spark, data)).collect()
     assert sorted((r.doc_id or 0, r.license) for r in got) == [(0, "ISC"), (1, "ISC"), (1, "ISC")]
     assert license_scan.scan(docs(spark, [])).count() == 0
+
+
+def _words(name):
+    return TEMPLATES[name].split()
+
+
+def test_long_templates_are_chained_over_edits():
+    mit = _words("MIT-text")
+    edited = mit[:40] + ["kindly"] * 5 + mit[40:90] + mit[94:]  # five words put in, four left out
+    text = f"preface words here {' '.join(edited)} and code"
+    (s, e, name, covered, share), = [x for x in Scanner().spans(text) if x[2] == "MIT-text"]
+    n = len(Scanner().seqs[Scanner().names.index("MIT-text")])
+    assert text[s:e].startswith("Permission is hereby granted") and text[s:e].endswith("SOFTWARE") and n - 6 <= covered < n and share > 0.9
+
+
+def test_pieces_too_far_apart_are_not_one_span():
+    mit, far = _words("MIT-text"), ["word"] * 60
+    thirds = [mit[:55], mit[55:110], mit[110:]]
+    text = " ".join([*thirds[0], *far, *thirds[1], *far, *thirds[2]])
+    assert not [x for x in Scanner().spans(text) if x[2] == "MIT-text"]
+
+
+def test_every_full_template_is_found_whole_and_alone():
+    for name in ("BSD-2-Clause", "Zlib", "BSL-1.0", "MIT-text", "MPL-2.0", "GPL-3.0-or-later", "Apache-2.0-header"):
+        text = "x y z " + " ".join(_words(name)) + " the end"
+        got = Scanner().spans(text)
+        assert [(x[2], x[4]) for x in got] == [(name, 1.0)], name
+
+
+def test_equal_cover_goes_to_the_first_name():
+    scanner = Scanner({"b": "one two three four five six", "a": "one two three four five six"})
+    assert [x[2] for x in scanner.spans("zero one two three four five six seven")] == ["a"]

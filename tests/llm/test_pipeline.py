@@ -5,6 +5,8 @@ import pytest
 import corpus_pipeline
 from auditloom.llm import bpe, langid, mixing, secret_scan
 from auditloom.llm.queries import ORACLE, QUERIES
+from tests.llm.cases import docs
+from tests.llm.cases import rows as case_rows
 from tests.llm.test_chosen_path import brute
 from tests.llm.test_mixing import brute as brute_mix
 from tests.oracle import compare
@@ -55,6 +57,17 @@ def test_whole_run_is_the_stages_one_after_another(spark):
     assert got.count() > 100 and got.columns == ["doc_id", "n_bytes", "n_tokens", "token_ids", "decoded_md5", "round_trip"]
 
 
+def test_run_on_odd_rows_and_on_an_empty_table(spark, tmp_path):
+    odd = [r for r in case_rows() if r[0] != 8]  # without the longest text, which other tests have
+    for name, rows in (("odd", odd), ("none", [])):
+        docs(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None), (9, 0, 1)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r.doc_id for r in got}
+    assert got and 2 not in ids and ids <= {1, 3, 9, 10, 11, 12, None} and all(r.round_trip for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_against_sql(spark, name):
     n, diff = compare(QUERIES[name](spark, SF), ORACLE[name], SF)
