@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.operators.graph import components
+
 
 def alert_level(severity: Column) -> Column:
     return F.when(severity >= 0.8, "critical").when(severity >= 0.5, "high").when(severity >= 0.3, "medium").otherwise("low")
@@ -92,25 +94,34 @@ ACTIONS = {
     "cross_domain_leak": "Restrict what crosses between these domains.", "aggregation_leak": "Limit how much of one domain converges on an agent.", "taint_spreading": "Contain the subject's data at its origin.",
     "cascading_infection": "Quarantine the first agent and those it reached.",
 }
-_INCIDENT = "incident_id string, alert_level string, risk_type string, source_domain string, agents array<string>, risks int, severity double, scenario string, recommended string"
+_INCIDENT = "incident_id string, alert_level string, risk_type string, source_domain string, target_domain string, agents array<string>, risks int, severity double, scenario string, blamed array<string>, root_cause string, recommended string"
 
 
 def incidents(risks: DataFrame, least: float = 0.3) -> DataFrame:
-    """Greedy clusters of risks of one type and source domain: a risk joins the first cluster whose agents it resembles by more than ``least``, in order of risk_id."""
+    """Greedy clusters of risks of one type and source domain: a risk joins the first cluster whose agents it resembles by more than ``least``, in order of risk_id.
+
+    Risks that share no agent can't meet in a cluster, so each connected group of risks of a type and domain is a task's input, not the whole of them. risks can have scenario and blame_agent.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[tuple[set, list[int]]] = []
+        of: dict[str, list[int]] = {}  # the clusters that an agent is in: only they can resemble a risk with it
         pdf = pdf.sort_values("risk_id").reset_index(drop=True)
         for i, agents in enumerate(pdf["agents"]):
             mine = set(agents)
-            for held, members in clusters:
+            for k in sorted({k for a in mine for k in of.get(a, ())}) if mine else range(len(clusters)):
+                held, members = clusters[k]
                 union = held | mine
                 if not union or len(held & mine) / len(union) > least:
+                    for a in mine - held:
+                        of.setdefault(a, []).append(k)
                     held |= mine
                     members.append(i)
                     break
             else:
-                clusters.append((mine, [i]))
+                for a in mine:
+                    of.setdefault(a, []).append(len(clusters))
+                clusters.append((set(mine), [i]))
         out = []
         for held, members in clusters:
             rows = pdf.iloc[members]
@@ -118,10 +129,20 @@ def incidents(risks: DataFrame, least: float = 0.3) -> DataFrame:
             level = "critical" if worst >= 0.8 else "high" if worst >= 0.5 else "medium" if worst >= 0.3 else "low"
             named = rows["scenario"][rows["scenario"] != ""] if "scenario" in rows else pd.Series(dtype=str)
             kind = rows["risk_type"].iloc[0]
-            out.append((rows["risk_id"].iloc[0], level, kind, rows["source_domain"].iloc[0], sorted(held), len(rows), worst, sorted(named.mode())[0] if len(named) else "", ACTIONS.get(kind, "Review these agents and what they exchange.")))
+            blamed = sorted({b for b in rows["blame_agent"] if b}) if "blame_agent" in rows else []
+            cause = f"{len(rows)} {kind} risk(s) of {len(held)} agents" + (f", from {rows['source_domain'].iloc[0]} to {rows['target_domain'].iloc[0]}" if rows["target_domain"].iloc[0] else "")
+            out.append((rows["risk_id"].iloc[0], level, kind, rows["source_domain"].iloc[0], rows["target_domain"].iloc[0], sorted(held), len(rows), worst, sorted(named.mode())[0] if len(named) else "", blamed, cause, ACTIONS.get(kind, "Review these agents and what they exchange.")))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _INCIDENT.split(", ")])
 
-    return risks.groupBy("risk_type", "source_domain").applyInPandas(run, _INCIDENT)
+    links = risks.select(F.concat_ws("|", "risk_type", "source_domain", "risk_id").alias("from_agent"), F.explode("agents").alias("a"), "risk_type", "source_domain").select("from_agent", F.concat_ws("|", "risk_type", "source_domain", "a").alias("to_agent"))
+    group = components(links).select(F.col("agent").alias("__r"), F.col("component").alias("__g"))
+    keyed = risks.withColumn("__k", F.concat_ws("|", "risk_type", "source_domain", "risk_id")).join(group, F.col("__k") == F.col("__r"), "left").withColumn("__g", F.coalesce("__g", F.concat_ws("|", "risk_type", "source_domain")))
+    return keyed.drop("__k", "__r").groupBy("__g").applyInPandas(run, _INCIDENT)
+
+
+def by_severity(found: DataFrame) -> DataFrame:
+    """Incidents, the worst first."""
+    return found.orderBy(F.desc("severity"), "incident_id")
 
 
 SECURITY = ("compound_injection_leak", "cascading_infection", "prompt_injection_propagation")
@@ -152,6 +173,12 @@ def compliance(risks: DataFrame, pairs: DataFrame, blamed: int, amplified: int,
     return x.withColumn("status", F.when(F.round("score", 9) >= 0.8, "compliant").when(F.round("score", 9) >= 0.5, "partial").otherwise("non_compliant"))
 
 
+def by_regulation(articles: DataFrame) -> DataFrame:
+    """(regulation, score, articles, gaps, status): the mean of a regulation's articles."""
+    g = articles.groupBy("regulation").agg(F.avg("score").alias("score"), F.count("*").alias("articles"), F.count_if(F.col("status") == "non_compliant").alias("gaps"))
+    return g.withColumn("status", F.when(F.round("score", 9) >= 0.8, "compliant").when(F.round("score", 9) >= 0.5, "partial").otherwise("non_compliant"))
+
+
 def compliance_overall(articles: DataFrame) -> DataFrame:
     return articles.agg(F.bround(F.avg("score"), 3).alias("overall"), F.count_if(F.col("status") == "non_compliant").alias("gaps"))
 

@@ -226,6 +226,22 @@ def detect_items(messages: DataFrame, items: DataFrame, structured: Column, full
     )
 
 
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of the documents (doc_id, text) that hold an item (item_id, item) word for word.
+
+    Within an item the words between its first and its last are whole words of a text that holds it, so the first three of them are an anchor: documents and items meet by an equality on three words,
+    and only where they do are they compared. Items of fewer than five words have no anchor and are tried on every document, in one pass while they are few.
+    """
+    split = lambda c: F.split(c, " ")
+    keyed = items.select("item_id", "item", split(F.col("item")).alias("w"))
+    long = keyed.where("size(w) >= 5").select("item_id", "item", F.concat_ws(" ", F.slice("w", 2, 3)).alias("anchor"))
+    short = keyed.where("size(w) < 5").select("item_id", "item")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3))))
+    each = docs.select("doc_id", "text", split(F.col("text")).alias("w")).where("size(w) >= 5").select("doc_id", "text", F.explode(grams).alias("anchor"))
+    found = each.join(long, "anchor").where(F.contains("text", "item")).select("item_id", "doc_id")
+    return found.union(docs.join(short, F.contains("text", "item")).select("item_id", "doc_id")).distinct()
+
+
 # ---- injection ----
 
 

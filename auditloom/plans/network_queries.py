@@ -183,25 +183,44 @@ def agent_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of injection and collusion risks: greedy, so they follow the order of ids."""
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
-    r = R.with_ids(D.union(D.injection_leak(e), D.collusion(e), D.temporal_fingerprint(e, n, F.month("ts"), 12)))
-    i = R.incidents(r.withColumn("scenario", F.lit("")))
-    return i.select("incident_id", "alert_level", "risk_type", "source_domain", F.size("agents").alias("agents"), "risks", F.round("severity", 6).alias("severity"))
+    """Clusters of injection and collusion risks and fingerprints, with scenario and blame, the worst first: greedy, so they follow the order of ids; tested against a plain loop."""
+    e, n = written(edges(spark, sf_dir), "edges"), nodes(spark, sf_dir)
+    pe = written(pair_edges(e), "pairs")
+    r = written(R.with_ids(D.union(D.injection_leak(e), D.collusion(e), D.temporal_fingerprint(e, n, F.month("ts"), 12))), "risks")
+    c = R.classify(r, pe, n).join(R.blame(r, pe).select("risk_id", "blame_agent"), "risk_id", "left")
+    i = R.by_severity(R.incidents(c))
+    return i.select("incident_id", "alert_level", "risk_type", "source_domain", F.size("agents").alias("agents"), "risks", F.round("severity", 6).alias("severity"), "scenario", F.size("blamed").alias("blamed"), "root_cause")
 
 
-@query(
-    CTES + f""", r AS MATERIALIZED (SELECT risk_type, severity, source_domain, target_domain FROM ({SQL['compound_injection_leak']}) UNION ALL SELECT risk_type, severity, source_domain, target_domain FROM ({SQL['collusion']})),
+_COMPLIANCE = CTES + f""", r AS MATERIALIZED (SELECT risk_type, severity, source_domain, target_domain FROM ({SQL['compound_injection_leak']}) UNION ALL SELECT risk_type, severity, source_domain, target_domain FROM ({SQL['collusion']})),
     n AS (SELECT count(*) AS n, count(*) FILTER (WHERE severity >= 0.7) AS high, count(*) FILTER (WHERE risk_type = 'compound_injection_leak') AS sec FROM r),
-    s AS (SELECT unnest([{{'regulation': 'EU_AI_ACT', 'article': 'Art. 9', 'score': 1.0 - 0.1 * high - 0.05 * n}}, {{'regulation': 'EU_AI_ACT', 'article': 'Art. 12', 'score': 1.0}}, {{'regulation': 'EU_AI_ACT', 'article': 'Art. 14', 'score': 0.7}},
+    s AS (SELECT unnest([{{'regulation': 'EU_AI_ACT', 'article': 'Art. 9', 'score': CASE WHEN n = 0 THEN 0.8 ELSE 1.0 - 0.1 * high END}}, {{'regulation': 'EU_AI_ACT', 'article': 'Art. 12', 'score': 1.0}}, {{'regulation': 'EU_AI_ACT', 'article': 'Art. 14', 'score': CASE WHEN n > 0 THEN 1.0 ELSE 0.7 END}},
       {{'regulation': 'EU_AI_ACT', 'article': 'Art. 15', 'score': 0.8 - 0.15 * sec}}, {{'regulation': 'GDPR', 'article': 'Art. 5(1)(c)', 'score': 0.8}}, {{'regulation': 'GDPR', 'article': 'Art. 25', 'score': 1.0}},
-      {{'regulation': 'GDPR', 'article': 'Art. 35', 'score': CASE WHEN high > 0 THEN 0.6 ELSE 0.8 END}}, {{'regulation': 'CA_SB_243', 'article': 'Sec. 1', 'score': 0.9}}, {{'regulation': 'COPPA', 'article': 'Rule 312', 'score': 0.8}}]) AS x FROM n)
-    SELECT x.regulation AS regulation, x.article AS article, round(CAST(greatest(0.0, least(1.0, x.score)) AS DOUBLE), 6) AS score, CASE WHEN x.score >= 0.8 THEN 'compliant' WHEN x.score >= 0.5 THEN 'partial' ELSE 'non_compliant' END AS status FROM s"""
-)
+      {{'regulation': 'GDPR', 'article': 'Art. 35', 'score': CASE WHEN high > 0 THEN 0.6 ELSE 0.8 END}}, {{'regulation': 'CA_SB_243', 'article': 'Sec. 1', 'score': 0.9}}, {{'regulation': 'COPPA', 'article': 'Rule 312', 'score': 0.8}}]) AS x FROM n),
+    a AS (SELECT x.regulation AS regulation, x.article AS article, round(CAST(greatest(0.0, least(1.0, x.score)) AS DOUBLE), 9) AS score, CASE WHEN x.score >= 0.8 THEN 'compliant' WHEN x.score >= 0.5 THEN 'partial' ELSE 'non_compliant' END AS status FROM s)"""
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = written(edges(spark, sf_dir), "edges")
+    pe = written(pair_edges(e), "pairs")
+    r = written(R.with_ids(D.union(D.injection_leak(e), D.collusion(e))), "risks")
+    return R.compliance(r, pe, blamed=R.blame(r, pe).count(), amplified=0, topology=True, scenarios=True).withColumn("score", F.round("score", 9))
+
+
+@query(_COMPLIANCE + " SELECT regulation, article, round(score, 6) AS score, status FROM a")
 def compliance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    c = R.compliance(D.union(D.injection_leak(e), D.collusion(e)), pair_edges(e), blamed=0, amplified=0, topology=True, scenarios=True)
-    return c.withColumn("score", F.round("score", 6))
+    """Of an audit of injection leaks and collusion with blame, topology and scenarios."""
+    return _articles(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(_COMPLIANCE + " SELECT regulation, round(avg(score), 6) AS score, count(*) AS articles, count(*) FILTER (WHERE status = 'non_compliant') AS gaps, CASE WHEN round(avg(score), 9) >= 0.8 THEN 'compliant' WHEN round(avg(score), 9) >= 0.5 THEN 'partial' ELSE 'non_compliant' END AS status FROM a GROUP BY 1")
+def compliance_by_regulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_regulation(_articles(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(_COMPLIANCE + " SELECT round_even(avg(score), 3) AS overall, count(*) FILTER (WHERE status = 'non_compliant') AS gaps FROM a")
+def compliance_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.compliance_overall(_articles(spark, sf_dir))
 
 
 @query(

@@ -100,9 +100,8 @@ def domain_tags_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)")
 def canary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item word for word; the items are a fixed list, matched in one pass over the documents."""
-    items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
-    return table(spark, sf_dir, "documents").join(items, F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    """Documents that hold a benchmark item word for word."""
+    return T.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item"))
 
 
 _PAIRS = "SELECT a.item_id AS item_a, b.item_id AS item_b, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id"

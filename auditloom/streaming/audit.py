@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditloom.functions.shared import shared_dir
 from auditloom.operators.sequence import TRANSITIONS
+from auditloom.sources import wire
 
 _ALLOWED = {(a, b) for a, to in TRANSITIONS.items() for b in to.split()}
 
@@ -63,6 +64,22 @@ def into_table(stream: DataFrame, path: str, checkpoint: str, change: Callable[[
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest(bodies: DataFrame, path: str, quarantine: str, checkpoint: str, verdict: Callable[[DataFrame], DataFrame] | None = None) -> Any:
+    """Start a query that takes reports as JSON (a stream with ``body``) into a table, and what is no report, or has a verdict other than '', into quarantine with the reason. verdict adds ``reason`` to reports.
+
+    Both tables are written by batch, so a batch that is run again replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        good, bad = wire.deserialize(batch.select("body"))
+        checked = verdict(good) if verdict else good.withColumn("reason", F.lit(""))
+        held = checked.where("reason <> ''").select(F.to_json(F.struct(*good.columns)).alias("body"), "reason")
+        checked.where("reason = ''").drop("reason").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        bad.withColumn("reason", F.lit("not a report")).unionByName(held).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+
+    return bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_end(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """All that is there now, through the sink and read back."""
     spark = stream.sparkSession
