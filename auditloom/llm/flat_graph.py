@@ -40,8 +40,10 @@ COSINE = 0.95
 SHARD = 4096
 #: Pivots at most that every task gets (of 64 numbers each: 1 MB), vectors of a shard that is not cut again, and those of a side of a block pair.
 MOST_PIVOTS, FULL, BLOCK = 4096, 16 * SHARD // 4, 4096
-NEAR, RANDOM, DEGREE, ALPHA = 40, 16, 32, 1.2
-BEAM = 48
+NEAR, RANDOM, DEGREE, ALPHA = 32, 12, 24, 1.2
+BEAM = 16
+#: Candidates of a node at most when mutual edges are pruned: of a hub's the nearest and the farthest.
+WIDEST = 48
 #: Searches audited in a shard, and the recall that they must reach.
 AUDIT, RECALL = 256, 0.98
 #: Vectors compared with all others after each round.
@@ -68,7 +70,7 @@ def prune(x: np.ndarray, at: np.ndarray, cand: np.ndarray, d: np.ndarray, degree
     return kept
 
 
-def build(x: np.ndarray, seed: int = SEED, near: int = NEAR, rand: int = RANDOM, degree: int = DEGREE) -> np.ndarray:
+def build(x: np.ndarray, seed: int = SEED, near: int = NEAR, rand: int = RANDOM, degree: int = DEGREE, widest: int = WIDEST) -> np.ndarray:
     """(n, degree) neighbours of each row, -1 where there are fewer."""
     n = len(x)
     if n < 2:
@@ -103,7 +105,7 @@ def build(x: np.ndarray, seed: int = SEED, near: int = NEAR, rand: int = RANDOM,
     order = np.lexsort((d, a))
     a, b, d = a[order], b[order], d[order]
     begin = np.searchsorted(a, np.arange(n + 1))
-    widest = int(min(np.diff(begin).max(), 4 * degree))
+    widest = int(min(np.diff(begin).max(), widest))
     cand, cd = np.full((n, widest), -1, np.int64), np.full((n, widest), np.inf, np.float32)
     pos = np.arange(len(a)) - begin[a]
     # of a hub's many edges the nearest half and the farthest half of the places are candidates
