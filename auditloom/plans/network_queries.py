@@ -192,6 +192,12 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("incident_id", "alert_level", "risk_type", "source_domain", F.size("agents").alias("agents"), "risks", F.round("severity", 6).alias("severity"), "scenario", F.size("blamed").alias("blamed"), "root_cause")
 
 
+@query()
+def incident_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents by alert level and scenario."""
+    return incidents(spark, sf_dir).groupBy("alert_level", "scenario").agg(F.count("*").alias("incidents"), F.max("severity").alias("worst"))
+
+
 _COMPLIANCE = CTES + f""", r AS MATERIALIZED (SELECT risk_type, severity, source_domain, target_domain FROM ({SQL['compound_injection_leak']}) UNION ALL SELECT risk_type, severity, source_domain, target_domain FROM ({SQL['collusion']})),
     n AS (SELECT count(*) AS n, count(*) FILTER (WHERE severity >= 0.7) AS high, count(*) FILTER (WHERE risk_type = 'compound_injection_leak') AS sec FROM r),
     s AS (SELECT unnest([{{'regulation': 'EU_AI_ACT', 'article': 'Art. 9', 'score': CASE WHEN n = 0 THEN 0.8 ELSE 1.0 - 0.1 * high END}}, {{'regulation': 'EU_AI_ACT', 'article': 'Art. 12', 'score': 1.0}}, {{'regulation': 'EU_AI_ACT', 'article': 'Art. 14', 'score': CASE WHEN n > 0 THEN 1.0 ELSE 0.7 END}},

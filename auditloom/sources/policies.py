@@ -27,6 +27,13 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     return _defaults(rows.where(F.col(_CORRUPT).isNull()))
 
 
+def load_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(policies, warnings): the JSON files of a folder, and (file, warning) of those that are left out, as no JSON or without an agent."""
+    rows = spark.read.schema(f"{SCHEMA}, {_CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).option("pathGlobFilter", "*.json").json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    why = F.when(F.col(_CORRUPT).isNotNull(), "not JSON").when(F.coalesce("agent_id", F.lit("")) == "", "no agent_id")
+    return _defaults(rows.where(why.isNull())), rows.where(why.isNotNull()).select("file", why.alias("warning"))
+
+
 def load_yaml(spark: SparkSession, texts: list[str]) -> DataFrame:
     """Policies are few and small, so YAML is read on the driver; it needs the yaml package."""
     import yaml

@@ -10,15 +10,37 @@ EDGE = f"struct<edge_id:string,trace_id:string,from_agent:string,to_agent:string
 REPORT = f"agent_id string, user_id string, owner_principal string, report_id string, timestamp timestamp, edges array<{EDGE}>, total_interactions int, violations_blocked int, pii_instances_redacted int, leakage_rate double, merkle_root string, domains array<string>"
 
 
-def serialize(reports: DataFrame) -> DataFrame:
-    """(report_id, body)."""
-    return reports.select("report_id", F.to_json(F.struct(*reports.columns), {"ignoreNullFields": "false"}).alias("body"))
-
-
-def deserialize(bodies: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(reports, rejects): a body that isn't a report with an agent is rejected and kept as it came."""
-    parsed = bodies.withColumn("__r", F.from_json(column, REPORT, {"mode": "PERMISSIVE"}))
-    good = F.coalesce(F.col("__r.agent_id"), F.lit("")) != ""
+def _top(struct: str) -> str:
+    """The fields of a struct's type as a schema: colons of the outer level become blanks."""
+    out, depth = [], 0
+    for c in struct[len("struct<") : -1]:
+        depth += (c == "<") - (c == ">")
+        out.append(" " if c == ":" and not depth else c)
+    return "".join(out)
+
+
+RISK = "struct<risk_type:string,agents:array<string>,edges:array<string>,severity:double,source_domain:string,target_domain:string,scenario:string,blame_agent:string>"
+#: What travels: (the schema of a body, the field that a body must have).
+KINDS = {
+    "report": (REPORT, "agent_id"),
+    "edge": (_top(EDGE), "edge_id"),
+    "result": (f"audit_id string, timestamp timestamp, total_agents int, total_edges int, risks array<{RISK}>, agent_scores map<string,double>, scenario_summary map<string,int>", "audit_id"),
+    "challenge": ("challenger_id string, target_agent_id string, trace_id string, entry_ids array<string>, reason string", "trace_id"),
+    "incident": ("incident_id string, alert_level string, risk_type string, source_domain string, target_domain string, agents array<string>, risks int, severity double, scenario string, blamed array<string>, root_cause string, recommended string", "incident_id"),
+}
+
+
+def serialize(rows: DataFrame, kind: str = "report") -> DataFrame:
+    """(the kind's key, body): reports, edges, audit results, incidents or challenges as JSON, null fields included. The key of a report is its report_id."""
+    key = "report_id" if kind == "report" else KINDS[kind][1]
+    return rows.select(key, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def deserialize(bodies: DataFrame, column: str = "body", kind: str = "report") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): a body that isn't one of the kind with its key is rejected and kept as it came."""
+    schema, key = KINDS[kind]
+    parsed = bodies.withColumn("__r", F.from_json(column, schema, {"mode": "PERMISSIVE"}))
+    good = F.coalesce(F.col(f"__r.{key}"), F.lit("")) != ""
     return parsed.where(good).select("__r.*"), parsed.where(~good).drop("__r")
 
 

@@ -182,3 +182,31 @@ def test_response_times_and_clearances(spark):
 @pytest.mark.parametrize("text, score", [('```json\n{"score": 0.7, "why": "x"}\n```', 0.7), ("I'd say 0.4.", 0.4), ('{"score": 7}', 1.0), ("none", None), ("", None), ('{"verdict": "x"} 1', 1.0)])
 def test_answers_of_a_judge_are_parsed(text, score):
     assert hooks.parse_response(text) == score
+
+
+def test_incidents_against_a_plain_loop(spark):
+    from auditloom.operators import risks
+
+    rng = __import__("random").Random(5)
+    rows = [(f"r{k:03d}", rng.choice(["t", "u"]), sorted({f"a{rng.randrange(25)}" for _ in range(rng.randrange(1, 5))}), [], rng.random(), "health", "", rng.choice(["CD", "", "HS"]), rng.choice(["a1", "a2", None])) for k in range(160)]
+    df = spark.createDataFrame(rows, "risk_id string, risk_type string, agents array<string>, edges array<string>, severity double, source_domain string, target_domain string, scenario string, blame_agent string")
+    clusters = []
+    for r in sorted(rows):
+        for kind, held, members in clusters:
+            if kind == r[1] and len(held & set(r[2])) / len(held | set(r[2])) > 0.3:
+                held |= set(r[2])
+                members.append(r)
+                break
+        else:
+            clusters.append((r[1], set(r[2]), [r]))
+    want = sorted((m[0][0], k, sorted(h), len(m), round(max(x[4] for x in m), 9), sorted({x[8] for x in m if x[8]})) for k, h, m in clusters)
+    got = risks.by_severity(risks.incidents(df)).collect()
+    assert sorted((r.incident_id, r.risk_type, r.agents, r.risks, round(r.severity, 9), r.blamed) for r in got) == want
+    assert [r.severity for r in got] == sorted((r.severity for r in got), reverse=True)
+
+
+def test_canaries_against_containing(spark):
+    docs = [(1, "start the quick brown fox jumps over end"), (2, "xthe quick brown fox jumpsy"), (3, "the quick brown fox"), (4, "short one here"), (5, None), (6, "")]
+    items = [(1, "the quick brown fox jumps"), (2, "one"), (3, "no such item is here at all")]
+    got = T.containing(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, item string")).collect()
+    assert sorted((r.item_id, r.doc_id) for r in got) == sorted((i, d) for d, t in docs for i, x in items if t and x in t)

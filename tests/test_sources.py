@@ -21,6 +21,42 @@ def test_policies_are_loaded_validated_and_saved(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
+def test_bad_policy_files_are_named(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"agent_id": "a", "must_not_share": ["ssn"]}))
+    (tmp_path / "b.json").write_text("{not json")
+    (tmp_path / "c.json").write_text("{}")
+    good, bad = policies.load_folder(spark, str(tmp_path))
+    assert [r.agent_id for r in good.collect()] == ["a"] and {(r.file, r.warning) for r in bad.collect()} == {("b.json", "not JSON"), ("c.json", "no agent_id")}
+
+
+def test_every_kind_travels_both_ways(spark):
+    risks = "array(named_struct('risk_type', 'r', 'agents', array('a'), 'edges', array('e'), 'severity', 0.5D, 'source_domain', 'health', 'target_domain', '', 'scenario', 'CD', 'blame_agent', 'a'))"
+    rows = {
+        "edge": spark.sql("select 'e' edge_id, 'a' from_agent, array('health') domains, named_struct('domains', array('x'), 'max_sensitivity', 3) taint"),
+        "result": spark.sql(f"select 'x' audit_id, 2 total_agents, {risks} risks, map('a', 0.5D) agent_scores, map('CD', 1) scenario_summary"),
+        "challenge": spark.sql("select 'c' challenger_id, 't' trace_id, array('e') entry_ids"), "incident": spark.sql("select 'i' incident_id, 'high' alert_level, array('a') agents, 0.5D severity"),
+    }
+    for kind, df in rows.items():
+        good, bad = wire.deserialize(wire.serialize(df, kind).select("body").union(spark.sql("select '{}'")), kind=kind)
+        assert bad.count() == 1
+        again, none = wire.deserialize(wire.serialize(good, kind), kind=kind)
+        assert again.collect() == good.collect() and len(again.collect()) == 1 and none.count() == 0
+        for c in df.columns:
+            if c != "taint":
+                assert good.first()[c] == df.first()[c]
+
+
+def test_scan_and_command_line(spark, tmp_path, monkeypatch, capsys):
+    from auditloom import __main__ as cli
+
+    got = {r.text: (r.decision, r.final) for r in cli.scan(spark.createDataFrame([("my ssn is here",), ("fine",), (None,)], "text string"), ["ssn"]).collect()}
+    assert got["my ssn is here"] == ("redact", "my [REDACTED] is here") and got["fine"] == ("allow", "fine")
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    spark.createDataFrame([("my ssn",)], "text string").write.parquet(f"{tmp_path}/in")
+    assert cli.main(["scan", "ssn", f"{tmp_path}/in", f"{tmp_path}/out"]) == 0 and spark.read.parquet(f"{tmp_path}/out").first().decision == "redact"
+    assert cli.main(["version"]) == 0 and cli.main(["list"]) == 0 and "alert_levels" in capsys.readouterr().out and cli.main(["nonsense"]) == 2
+
+
 def test_wire_round_trip_and_rejects(spark):
     body = json.dumps({"agent_id": "a", "report_id": "r", "timestamp": "2024-01-01T00:00:00Z", "edges": [{"edge_id": "e", "domains": ["health"], "sensitivity_level": 3}], "leakage_rate": 0.5})
     good, bad = wire.deserialize(spark.createDataFrame([(body,), ("nonsense",), ("{}",), (None,)], "body string"))
