@@ -149,8 +149,8 @@ ag AS (SELECT string_split(agents, ',') AS a, agents, source_domain, target_doma
 )
 def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios of cross-domain and aggregation risks; in this dense graph the later rules are not reached, and the SQL lumps them."""
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
-    pe = pair_edges(e)
+    e, n = written(edges(spark, sf_dir), "edges"), nodes(spark, sf_dir)
+    pe = written(pair_edges(e.select("edge_id", "from_agent", "to_agent", "ts", "sens", "domains", "violation")), "pairs")
     c = R.classify(R.with_ids(D.union(D.cross_domain(pe, n), D.aggregation(pe))), pe, n)
     return c.groupBy(F.when(F.col("scenario").isin("MC", "CU", "AM", "CM"), "other").otherwise(F.col("scenario")).alias("scenario")).agg(F.count("*").alias("risks"))
 
@@ -175,8 +175,8 @@ def blame_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT agent, round(least(1.0, x / max(x) OVER ()), 6) AS score FROM s"""
 )
 def agent_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
-    pe = pair_edges(e)
+    e, n = written(edges(spark, sf_dir), "edges"), nodes(spark, sf_dir)
+    pe = written(pair_edges(e.select("edge_id", "from_agent", "to_agent", "ts", "sens", "domains", "violation")), "pairs")
     leak = e.groupBy(F.col("from_agent").alias("agent")).agg(F.avg(F.col("violation").cast("double")).alias("rate"))
     return R.agent_scores(D.union(D.cross_domain(pe, n), D.aggregation(pe)), pe, leak).select("agent", F.round("score", 6).alias("score"))
 
