@@ -1,10 +1,65 @@
-"""Patterns of the text operators, put together from parts that Java's and RE2's dialects read alike.
+"""Patterns of the text operators, in RE2's dialect, as their SQL reads them; ``java`` makes of one what Java reads the same.
 
-``\\b``, ``\\d`` and ``\\w`` are ASCII in both. Look-ahead is avoided: the one rule that needs context asks for it by a second pattern.
+Look-ahead is avoided: the one rule that needs context asks for it by a second pattern.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+_W = "[A-Za-z0-9_]"
+_BREAK = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.S)
+#: Characters outside ASCII that RE2 takes for a letter whatever its case.
+_FOLDS = {"s": "\u017f", "k": "\u212a"}
+
+
+def _starts(rest: str) -> bool:
+    """Whether all that a pattern matches surely begins with a word character."""
+    if rest[:1] == "(":
+        depth, parts = 0, [""]
+        for t in _TOKEN.findall(rest):
+            depth += {"(": 1, ")": -1}.get(t, 0)
+            if not depth:
+                break
+            if t == "|" and depth == 1:
+                parts.append("")
+            else:
+                parts[-1] += t
+        after = rest[len("|".join(parts)) + 1 :]
+        parts[0] = parts[0].removeprefix("(?:")
+        return after[:1] not in ("?", "*", "{") and all("(" not in x[:1] and _starts(x) for x in parts)
+    first = re.match(r"[A-Za-z0-9_]|\\[dw]|\[[A-Z](?:-[A-Z])?\]", rest)
+    more = rest[first.end() :] if first else ""
+    return first is not None and more[:1] not in ("?", "*") and not more.startswith("{0")
+
+
+@cache
+def java(pattern: str) -> str:
+    """The pattern for Java, whose ``\\b`` sees letters of all scripts as words, whose ``\\s`` has the vertical tab, whose dot stops at more than a line feed and whose ``(?i)`` knows ASCII only."""
+    fold, out, at = pattern.startswith("(?i)"), [], 0
+    for m in _TOKEN.finditer(pattern):
+        t, at = m.group(), m.end()
+        if t == "\\b":
+            t = f"(?<!{_W})" if _starts(pattern[at:]) else _BREAK
+        elif t == "\\s":
+            t = "[\\t\\n\\f\\r ]"
+        elif t == ".":
+            t = "[^\\n]"
+        elif t[0] == "[" and len(t) > 1:
+            t = re.sub(r"(?<!\\)\\s", r"\\t\\n\\f\\r ", t)
+            if fold:
+                try:
+                    t = t[:-1] + "".join(c for k, c in _FOLDS.items() if t[1] != "^" and re.match(t, k, re.I)) + "]"
+                except re.error:  # a class in braces' notation
+                    pass
+        elif fold and t.lower() in _FOLDS and pattern[m.start() - 2 : m.start()] != "(?":
+            t = f"[{t}{_FOLDS[t.lower()]}]"
+        out.append(t)
+    return "".join(out)
+
+
 SEP = r"[-.\s]?"
 GAP = r"\s+"
 

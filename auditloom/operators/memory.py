@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.patterns import java
+
 WRITES, READS = ("memory_write", "summary_write"), ("memory_read",)
 _S = r"\s+"
 INJECTION = [
@@ -50,7 +52,7 @@ def whole(terms: str) -> str:
 
 def hits(text: Column, patterns: list[str]) -> Column:
     """How many patterns the text matches."""
-    return reduce(lambda a, b: a + b, [F.coalesce(text.rlike(p), F.lit(False)).cast("int") for p in patterns])
+    return reduce(lambda a, b: a + b, [F.coalesce(text.rlike(java(p)), F.lit(False)).cast("int") for p in patterns])
 
 
 def memory_findings(entries: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def scope_violations(entries: DataFrame, authorized: list[str]) -> DataFrame:
 def lexical_tags(text: Column) -> dict[str, Column]:
     """category, inferred and lambdas (of strong hints) of a part."""
     low = F.lower(text)
-    cats = lambda table: [F.when(low.rlike(whole(v)), F.lit(k)) for k, v in sorted(table.items())]
+    cats = lambda table: [F.when(low.rlike(java(whole(v))), F.lit(k)) for k, v in sorted(table.items())]
     category = F.array_sort(F.array_distinct(F.array_compact(F.array(*cats(STATED), *cats(NEUTRAL)))))
     inferred = F.array_sort(F.array_except(F.array_compact(F.array(*cats(HINTED))), category))
     strong = F.array_compact(F.array(*cats(STRONG)))

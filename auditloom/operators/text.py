@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.patterns import DOMAINS, GATE_PII, INJECTION, ROUTING_CONTEXT, STRUCTURED
+from auditloom.functions.patterns import DOMAINS, GATE_PII, INJECTION, ROUTING_CONTEXT, STRUCTURED, java
 
 HIGH_DOMAINS = ("health", "finance", "legal", "identity")
 
@@ -32,11 +32,11 @@ def active_pii(rules: list[str]) -> list[str]:
 
 
 def _pii_hit(text: Column, kind: str) -> Column:
-    return text.rlike(ROUTING_CONTEXT if kind == "bank_routing" else GATE_PII[kind][0])
+    return text.rlike(java(ROUTING_CONTEXT if kind == "bank_routing" else GATE_PII[kind][0]))
 
 
 def matched_rules(text: Column, rules: list[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(rule_pattern(r)), F.lit(r)) for r in rules]))
+    return F.array_compact(F.array(*[F.when(text.rlike(java(rule_pattern(r))), F.lit(r)) for r in rules]))
 
 
 def matched_pii(text: Column, rules: list[str]) -> Column:
@@ -48,9 +48,9 @@ def redacted(text: Column, rules: list[str], abstractions: dict[str, str]) -> Co
     """Rules first, in order, then PII kinds, in order: each replaces what the ones before left."""
     out = text
     for r in rules:
-        out = F.regexp_replace(out, rule_pattern(r), abstractions.get(r, "[REDACTED]").replace("\\", "\\\\").replace("$", "\\$"))
+        out = F.regexp_replace(out, java(rule_pattern(r)), abstractions.get(r, "[REDACTED]").replace("\\", "\\\\").replace("$", "\\$"))
     for k in active_pii(rules):
-        pattern = GATE_PII[k][0] + (r"(?=.*(?:routing|aba|transit))" if k == "bank_routing" else "")
+        pattern = java(GATE_PII[k][0]) + (r"(?=.*(?:routing|aba|transit))" if k == "bank_routing" else "")
         out = F.regexp_replace(out, pattern, f"[{k.upper()}]")
     return out
 
@@ -69,13 +69,13 @@ def luhn(number: Column) -> Column:
 
 def structured_fields(text: Column, kind: str) -> Column:
     """All matches of a structured field; card numbers must pass Luhn's check."""
-    found = F.regexp_extract_all(text, F.lit(STRUCTURED[kind]), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(java(STRUCTURED[kind])), F.lit(0))
     return F.filter(found, luhn) if kind == "credit_card" else found
 
 
 def domain_tags(text: Column) -> Column:
     """Domains whose keywords occur, 'general' if none does; a null or empty text has no tags."""
-    hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in DOMAINS.items()]))
+    hits = F.array_compact(F.array(*[F.when(text.rlike(java(p)), F.lit(k)) for k, p in DOMAINS.items()]))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("general"))))
 
 
@@ -262,7 +262,7 @@ def char_entropy(text: Column) -> Column:
 
 def family_counts(text: Column) -> dict[str, Column]:
     """How many patterns of each injection family match."""
-    return {k: sum((F.when(text.rlike(p), 1).otherwise(0) for p in ps), F.lit(0)) for k, ps in INJECTION.items()}
+    return {k: sum((F.when(text.rlike(java(p)), 1).otherwise(0) for p in ps), F.lit(0)) for k, ps in INJECTION.items()}
 
 
 def injection_scores(n: dict[str, Column], source: Column) -> dict[str, Column]:
