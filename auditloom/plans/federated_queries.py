@@ -183,8 +183,7 @@ _PAGES = "ps AS (SELECT page_id * 4 + k AS pk, page_id, html, ['web', 'agent', '
 
 
 def _page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "html", F.explode(F.array(*map(F.lit, ("web", "agent", "tool_return", "user")))).alias("source"))
-    return T.injection(p, "html", F.col("source"))
+    return T.injection_by_source(table(spark, sf_dir, "pages").select("page_id", "html"), "html", ("web", "agent", "tool_return", "user"))
 
 
 _IV = "WITH " + _PAGES + ", " + sql_injection("pk", "ps", "html", "source")

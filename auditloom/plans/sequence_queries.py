@@ -244,12 +244,11 @@ def partial_answer_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as channel events, with a word of the corpus as the protected item and the level by the tiers."""
     from auditloom.operators.controls import audit_channels
-    from auditloom.operators.text import synonym_score, tier_level
+    from auditloom.operators.text import protected_level
 
-    c = table(spark, sf_dir, "conversations")
-    level = tier_level(F.lit(False), F.lit(False), synonym_score(F.col("text"), F.lit("that"), F.array().cast("array<string>")))
+    c = protected_level(table(spark, sf_dir, "conversations"), "text", ["that"], [], F.lit(False))
     ev = c.select(
-        F.concat(F.lit("C"), F.col("turn") % 5 + 3).alias("channel"), level.alias("level"), F.col("role").alias("tool"),
+        F.concat(F.lit("C"), F.col("turn") % 5 + 3).alias("channel"), "level", F.col("role").alias("tool"),
         F.concat(F.lit("key:"), F.col("conv_id") % 7).alias("memory_key"), F.concat(F.lit("/area"), F.col("conv_id") % 5, F.lit("/file")).alias("path"),
     )
     acts = audit_channels(ev, blocked_tools=["system"], allowed_keys=[f"key:{i}" for i in range(1, 7)], allowed_paths=[f"/area{i}/" for i in range(1, 5)])
