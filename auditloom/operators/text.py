@@ -1,6 +1,6 @@
 """Row-level text operators: gate, redaction, structured fields, similarity, entropy, injection, tags.
 
-All are built-in expressions, so they stay inside one code-generated stage. Null text counts as empty where a verdict is due.
+All but the entropy and the grams, which are counted on Arrow batches, are built-in expressions. Null text counts as empty where a verdict is due.
 """
 
 from __future__ import annotations
