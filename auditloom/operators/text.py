@@ -1,14 +1,19 @@
 """Row-level text operators: gate, redaction, structured fields, similarity, entropy, injection, tags.
 
-All but the entropy and the grams, which are counted on Arrow batches, are built-in expressions. Null text counts as empty where a verdict is due.
+All but the entropy, the grams and the tiered detector, which run on Arrow batches, are built-in expressions. Null text counts as empty where a verdict is due.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +118,15 @@ def message_type(domains: Column, legal_branch: bool) -> Column:
 # ---- similarity ----
 
 
+def _grams(t: str, n: int = 3) -> list[str]:
+    return list(dict.fromkeys(t[i : i + n] for i in range(len(t) - n + 1))) if len(t) >= n else [t]
+
+
 def char_grams(text: Column, n: int = 3) -> Column:
     """Distinct n-grams of the trimmed text in small letters. On Arrow batches: a lambda would make the small letters again for each gram."""
 
     def grams(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else list(dict.fromkeys(t[i : i + n] for i in range(len(t) - n + 1))) if len(t) >= n else [t])
+        return texts.map(lambda t: None if t is None else _grams(t, n))
 
     return F.pandas_udf(grams, "array<string>")(F.trim(F.lower(text)))
 
@@ -209,25 +218,87 @@ def synonym_group(item: Column) -> Column:
     return F.coalesce(F.element_at(groups, F.lower(item)), F.array().cast("array<string>"))
 
 
+#: Protected items that one pass over the messages looks for.
+ITEMS = 4096
+
+
+class _Items:
+    """Protected items (rows of item_id, item, low, terms) and, for each gram and word, which of them have it. ``scores`` are those of synonym_score."""
+
+    def __init__(self, items: list):
+        self.items, self.n = items, len(items)
+        self.id = np.array([r.item_id or 0 for r in items], dtype=np.int64)
+        self.named = np.array([r.item_id is not None for r in items], dtype=bool)
+        grams = [_grams(r.low.strip(" ")) if r.low is not None else [] for r in items]
+        counts = [Counter(re.findall("[a-z]+", r.low or "")) for r in items]
+        self.size = {"g": np.array([len(g) for g in grams], dtype=float), "w": np.array([len(c) for c in counts], dtype=float)}
+        self.norm = np.sqrt([float(sum(k * k for k in c.values())) for c in counts])
+        self.at: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {"g": self._posted([dict.fromkeys(g, 1) for g in grams]), "w": self._posted(counts)}
+        self.terms = [(k, r.terms) for k, r in enumerate(items) if r.terms]
+
+    @staticmethod
+    def _posted(each: list[dict[str, int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out: dict[str, list[tuple[int, int]]] = {}
+        for k, has in enumerate(each):
+            for x, c in has.items():
+                out.setdefault(x, []).append((k, c))
+        return {x: (np.array([k for k, _ in ks]), np.array([c for _, c in ks], dtype=float)) for x, ks in out.items()}
+
+    def _met(self, kind: str, has: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each item, how many of its grams or words are met, and the sum of the products of counts."""
+        found = [(p, c) for x, c in has.items() if (p := self.at[kind].get(x))]
+        if not found:
+            return np.zeros(self.n), np.zeros(self.n)
+        at = np.concatenate([p[0] for p, _ in found])
+        return np.bincount(at, minlength=self.n).astype(float), np.bincount(at, np.concatenate([p[1] * c for p, c in found]), self.n)
+
+    def scores(self, low: str) -> np.ndarray:
+        grams, counts = dict.fromkeys(_grams(low.strip(" ")), 1), Counter(re.findall("[a-z]+", low))
+        both, (same, dot) = self._met("g", grams)[0], self._met("w", counts)
+        jaccard = lambda n, a, b: np.divide(n, a + b - n, out=np.zeros(self.n), where=(b > 0) & (a > 0))
+        norm = math.sqrt(sum(k * k for k in counts.values())) * self.norm
+        out = 0.3 * jaccard(both, len(grams), self.size["g"]) + 0.3 * jaccard(same, len(counts), self.size["w"]) + 0.4 * np.divide(dot, norm, out=np.zeros(self.n), where=norm > 0)
+        for k, terms in self.terms:
+            if any(t in low for t in terms):
+                out[k] = 0.85
+        for k, r in enumerate(self.items):
+            if r.low is not None and r.low in low:
+                out[k] = 1.0
+        return out
+
+    def row(self, text: str | None, low: str | None, partial: float) -> tuple:
+        """(canary, top, best, near) of a message."""
+        score = np.where(self.named, self.scores(low) if low is not None else 0.0, -1.0)
+        top = score.max()
+        best = int(self.id[self.named & (score == top)].min()) if self.named.any() else None
+        return any(r.item is not None and r.item in text for r in self.items) if text is not None else False, float(top) if best is not None else None, best, int((self.named & (score >= partial)).sum())
+
+
 def detect_items(messages: DataFrame, items: DataFrame, structured: Column, full: float = 0.72, partial: float = 0.45) -> DataFrame:
     """(message, level, tier, score, best_item, matches): each message (message, text) against all items (item_id, item). Whole items are canaries,
     structured says of a message whether it holds a structured field; best_item and matches, how many items reach the lower threshold, are of the third tier.
-    Grams, words and norms are made once for each message and item, not for each pair."""
 
-    def parts(df: DataFrame, text: str, p: str) -> DataFrame:
-        df = df.withColumns({f"{p}g": char_grams(F.col(text)), f"{p}w": words(F.col(text)), f"{p}low": F.lower(text)})
-        return df.withColumns({f"{p}d": F.array_distinct(f"{p}w")}).withColumn(f"{p}n", F.sqrt(squares(F.col(f"{p}w"))))
+    Every item is scored, but on Arrow batches and through lists of the items that have a gram or a word, so a message costs its own length and what it shares with items. Items come to the driver, as a policy's
+    do; ITEMS of them are held by a task at once, and more of them take further passes over the messages."""
+    m = messages.select("message", "text", F.lower("text").alias("low"), F.coalesce(structured, F.lit(False)).alias("field"))
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item", F.lower("item").alias("low"), synonym_group(F.col("item")).alias("terms")).collect()
+    kind = m.schema["message"].dataType.simpleString()
 
-    m = parts(messages.select("message", "text", structured.alias("field")), "text", "x")
-    i = parts(items.select("item_id", "item"), "item", "y").withColumn("terms", synonym_group(F.col("item")))
-    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    dot = F.aggregate(F.array_intersect("xd", "yd"), F.lit(0.0), lambda s, w: s + count("xw", w) * count("yw", w))
-    alike = 0.3 * jaccard(F.col("xg"), F.col("yg")) + 0.3 * jaccard(F.col("xd"), F.col("yd")) + 0.4 * F.when(F.col("xn") * F.col("yn") > 0, dot / (F.col("xn") * F.col("yn"))).otherwise(0.0)
-    score = F.when(F.contains("xlow", "ylow"), 1.0).when(F.exists("terms", lambda t: F.contains("xlow", t)), 0.85).otherwise(alike)
-    each = m.join(i, F.lit(True), "left").select("message", "field", "item_id", F.contains("text", "item").alias("canary"), F.when(F.col("item_id").isNotNull(), score).alias("score"))
+    def scored(some: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _Items(some)
+            for b in batches:
+                got = [held.row(t, low, partial) for t, low in zip(b.column("text").to_pylist(), b.column("low").to_pylist())]
+                cols = [pa.array([r[k] for r in got], kind) for k, kind in enumerate((pa.bool_(), pa.float64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("message"), b.column("field"), *cols], ["message", "field", "canary", "score", "item_id", "near"])
+
+        return m.mapInArrow(run, f"message {kind}, field boolean, canary boolean, score double, item_id bigint, near bigint")
+
+    nothing = m.select("message", "field", F.lit(False).alias("canary"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("near"))
+    each = reduce(DataFrame.union, [scored(rows[k : k + ITEMS]) for k in range(0, len(rows), ITEMS)] or [nothing])
     got = each.groupBy("message").agg(
-        F.coalesce(F.bool_or("canary"), F.lit(False)).alias("canary"), F.coalesce(F.bool_or("field"), F.lit(False)).alias("field"), F.coalesce(F.max("score"), F.lit(0.0)).alias("top"),
-        F.max_by("item_id", F.struct(F.col("score"), -F.col("item_id"))).alias("best"), F.count_if(F.col("score") >= partial).alias("near"),
+        F.bool_or("canary").alias("canary"), F.bool_or("field").alias("field"), F.coalesce(F.max("score"), F.lit(0.0)).alias("top"),
+        F.max_by("item_id", F.struct(F.col("score"), -F.col("item_id"))).alias("best"), F.sum("near").alias("near"),
     )
     sure, third = F.col("canary") | F.col("field"), F.col("top") >= partial
     return got.select(
