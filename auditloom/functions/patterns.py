@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import product
 
 _W = "[A-Za-z0-9_]"
 _BREAK = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
@@ -60,6 +61,93 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
+#: Strings that ``needs`` tries for one pattern at most: a search for a few strings costs less than a pattern, one for many does not.
+NEEDED = 40
+
+
+def _whole_set(op, arg) -> set[str] | None:
+    """All that a part of a parsed pattern matches, if that is a few strings."""
+    name = str(op)
+    if name == "AT":
+        return {""}
+    if name == "LITERAL":
+        return {chr(arg)}
+    if name == "IN" and [str(x) for _, x in arg] == ["CATEGORY_DIGIT"]:
+        return {"0"}
+    if name == "IN" and len(arg) <= NEEDED and all(str(o) == "LITERAL" for o, _ in arg):
+        return {chr(c) for _, c in arg}
+    if name == "SUBPATTERN":
+        return _joined(arg[-1])
+    if name == "MAX_REPEAT" and arg[0] == arg[1] and arg[0] < NEEDED:
+        return _joined([*arg[-1]] * arg[0])
+    if name == "BRANCH":
+        each = [_joined(x) for x in arg[1]]
+        return set().union(*each) if None not in each and sum(map(len, each)) <= NEEDED else None
+    return None
+
+
+def _joined(parts) -> set[str] | None:
+    out = {""}
+    for op, arg in parts:
+        more = _whole_set(op, arg)
+        if more is None or len(out) * len(more) > NEEDED:
+            return None
+        out = {a + b for a, b in product(out, more)}
+    return out
+
+
+def _needed(parts) -> set[str]:
+    """Of the sets of strings of which all matches of the parts have one, that with the longest strings; empty if there is none."""
+    found, run = [], {""}
+    for op, arg in parts:
+        more = _whole_set(op, arg)
+        if more is not None and len(run) * len(more) <= NEEDED:
+            run = {a + b for a, b in product(run, more)}
+            continue
+        name, repeated = str(op), None
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and 0 < arg[0] < NEEDED:
+            repeated = _joined([*arg[-1]] * arg[0])
+        found.append({a + b for a, b in product(run, repeated)} if repeated and len(run) * len(repeated) <= NEEDED else run)
+        run = more or repeated or {""}
+        if more is None:
+            if name == "SUBPATTERN" or (name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0):
+                found.append(_needed(arg[-1]))
+            elif name == "BRANCH":
+                each = [_needed(x) for x in arg[1]]
+                if all(each) and sum(map(len, each)) <= NEEDED:
+                    found.append(set().union(*each))
+    found = [x for x in (*found, run) if x and "" not in x]
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=set())
+
+
+@cache
+def needs(pattern: str) -> tuple[bytes, ...]:
+    """Strings of which every match of the pattern holds one when both are ``folded``; none if there are no such few strings."""
+    try:
+        parts = re._parser.parse(pattern)
+    except re.error:  # RE2's own notation
+        return ()
+    return tuple(sorted({folded(x) for x in _needed(parts)}))
+
+
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+
+
+def folded(text: str) -> bytes:
+    """A text in small letters and with one digit, also for the letters that fold to one in ASCII."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(b"\xe2\x84\xaa", b"k").replace(b"\xc5\xbf", b"s")
+
+
+def possible(text: str, patterns: list[str]) -> int:
+    """The patterns (62 at most), as bits, that can match a text by the strings they need."""
+    t, out = folded(text), 0
+    for k, p in enumerate(patterns):
+        strings = needs(p)
+        if not strings or any(x in t for x in strings):
+            out |= 1 << k
+    return out
+
+
 SEP = r"[-.\s]?"
 GAP = r"\s+"
 
