@@ -32,8 +32,16 @@ def with_policy(entries: DataFrame, policies: DataFrame) -> DataFrame:
     return entries.join(p, F.col("agent") == F.col("__agent"), "left").drop("__agent").withColumn("policy", F.coalesce("policy", F.lit("")))
 
 
-def _field(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.size(T.structured_fields(text, k)) > 0 for k in STRUCTURED])
+def _apart(df: DataFrame) -> DataFrame:
+    """df, with its columns made before what reads them: a generator of one row keeps the optimizer from writing a column's whole expression into each of its uses, of which a text has a hundred here."""
+    return df.withColumn("__one", F.explode(F.array(F.lit(1)))).drop("__one")
+
+
+def _with_field(df: DataFrame, text: str) -> DataFrame:
+    """df with __field: whether a text holds a structured field."""
+    hits = T.matches(F.col(text), [*STRUCTURED.values()], F.col("__may"))
+    each = [h & (F.size(T.structured_fields(F.col(text), k)) > 0) if k == "credit_card" else h for k, h in zip(STRUCTURED, hits)]
+    return df.withColumn("__may", T.may_match(F.col(text), [*STRUCTURED.values()])).withColumn("__field", reduce(lambda a, b: a | b, each)).drop("__may")
 
 
 def audited(entries: DataFrame, policies: list[Policy], judge: Column | None = None) -> DataFrame:
@@ -42,16 +50,15 @@ def audited(entries: DataFrame, policies: list[Policy], judge: Column | None = N
     The gate always redacts, so a block comes from the tiers only, which see the redacted text. For an internal action, a redaction is a violation too, and tiers count where the gate found nothing.
     """
     raw = F.coalesce(F.col("output_text"), F.lit(""))
-    gate, matched, shown = F.lit("allow"), F.lit(0), raw
-    for p in policies:
-        mine = F.col("policy") == p.name
-        hits = F.size(T.matched_rules(raw, p.rules)) + F.size(T.matched_pii(raw, p.rules))
-        matched = F.when(mine, hits).otherwise(matched)
-        gate = F.when(mine & (T.gate_decision(raw, p.rules, "redact") == "redact"), "redact").otherwise(gate)
-        shown = F.when(mine & (T.gate_decision(raw, p.rules, "redact") == "redact"), T.redacted(raw, p.rules, p.abstractions)).otherwise(shown)
+    matched, shown, df = F.lit(0), raw, entries
+    for k, p in enumerate(policies):
+        df = T.with_matched(df, raw, p.rules, f"__found{k}")
+        hits = F.size(f"__found{k}")
+        matched = F.when(F.col("policy") == p.name, hits).otherwise(matched)
+        shown = F.when((F.col("policy") == p.name) & (hits > 0), T.redacted(raw, p.rules, p.abstractions)).otherwise(shown)
     out = F.col("to_agent").isNotNull()
-    df = entries.withColumns({"gate": gate, "matched": matched, "shown": F.when(out, shown).otherwise(raw)})
-    df = df.withColumn("__field", _field(F.col("shown")))
+    df = df.withColumn("matched", matched).withColumns({"gate": F.when(F.col("matched") > 0, "redact").otherwise("allow"), "shown": F.when(out, shown).otherwise(raw)})
+    df = _with_field(_apart(df), "shown")
     names = [c for c in df.columns]
     levels = F.lit("none")
     for k, p in enumerate([*policies, Policy("", [])]):
@@ -60,6 +67,7 @@ def audited(entries: DataFrame, policies: list[Policy], judge: Column | None = N
     df = df.select(*names, levels.alias("level"))
     full, partial = F.col("level") == "full", F.col("level") == "partial"
     df = df.withColumn("final", F.when(out & full, "").otherwise(F.col("shown")))
+    df = _apart(df)
     df = T.injection(df, "final", F.lit("agent")).withColumnRenamed("detected", "__a").drop("confidence", "kind", "patterns")
     df = df.withColumn("__in", F.coalesce(F.col("input_text"), F.lit("")))
     df = T.injection(df, "__in", F.lit("agent")).withColumnRenamed("detected", "__b").drop("confidence", "kind", "patterns")
