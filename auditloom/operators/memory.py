@@ -71,11 +71,28 @@ def scope_violations(entries: DataFrame, authorized: list[str]) -> DataFrame:
     return rows.select("entry_id", "agent", outside.alias("outside")).where(F.size("outside") > 0)
 
 
-def lexical_tags(text: Column) -> dict[str, Column]:
-    """category, inferred and lambdas (of strong hints) of a part."""
+_TAGS = [(of, k, v) for of, t in (("stated", STATED | NEUTRAL), ("hinted", HINTED), ("strong", STRONG)) for k, v in sorted(t.items())]
+
+
+def tag_bits(text: Column) -> Column:
+    """The patterns of _TAGS that match, as bits; null for no text. Each is tried once: kept in a column of its own (by a generator), it can be read many times."""
     low = F.lower(text)
-    cats = lambda table: [F.when(low.rlike(java(whole(v))), F.lit(k)) for k, v in sorted(table.items())]
-    category = F.array_sort(F.array_distinct(F.array_compact(F.array(*cats(STATED), *cats(NEUTRAL)))))
-    inferred = F.array_sort(F.array_except(F.array_compact(F.array(*cats(HINTED))), category))
-    strong = F.array_compact(F.array(*cats(STRONG)))
-    return {"category": category, "inferred": inferred, "strong": F.array_intersect(inferred, strong)}
+    hit = [F.when(low.rlike(java(whole(v))), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, (_, _, v) in enumerate(_TAGS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), hit)
+
+
+def lexical_tags(text: Column) -> dict[str, Column]:
+    """category, inferred and strong hints of a part."""
+    return tags_of(tag_bits(text))
+
+
+def tags_of(bits: Column) -> dict[str, Column]:
+    """The same by ``tag_bits``; each in order."""
+    has = {(of, k): bits.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0 for i, (of, k, _) in enumerate(_TAGS)}
+    no = F.lit(False)
+    inferred = {k: has["hinted", k] & ~has.get(("stated", k), no) for k in sorted(HINTED)}
+    named = lambda which: F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in which.items()]))
+    return {
+        "category": named({k: has["stated", k] for k in sorted(STATED | NEUTRAL)}), "inferred": named(inferred),
+        "strong": named({k: c & has.get(("strong", k), no) for k, c in inferred.items()}),
+    }

@@ -134,22 +134,27 @@ def observe(hops_: DataFrame, tags: dict[str, Column], level: Column, text: str
     return send(hops_.withColumns({"category": tags["category"], "inferred": tags["inferred"], "sens": level}), text)
 
 
-def _report(labels: DataFrame, sender: str) -> DataFrame:
+def report(labels: DataFrame, sender: str) -> DataFrame:
     """(sender, messages, tags, edges_hash): one digest over all that a sender reports, whatever its order: the sum of the messages' digests."""
     each = F.sha2(F.to_json(F.struct("message_id", "subject", "owner", "sens", "category", "inferred", "content_hash")), 256)
     part = lambda k: F.sum(F.conv(F.substring(each, 1 + 8 * k, 8), 16, 10).cast("bigint")).cast("string")
     return labels.groupBy(sender).agg(F.count("*").alias("messages"), F.sum(F.size("inferred")).alias("tags"), F.sha2(F.concat_ws("|", *[part(k) for k in range(8)]), 256).alias("edges_hash"))
 
 
+def _reported(labels: DataFrame, sender: str) -> DataFrame:
+    """Reports as they are, or of labels."""
+    return labels if "edges_hash" in labels.columns else report(labels, sender)
+
+
 def attest(labels: DataFrame, sender: str, fingerprint: str, key: bytes) -> DataFrame:
     """(sender, messages, tags, edges_hash, fingerprint, signature): what a sender's build signs of its report."""
-    r = _report(labels, sender).withColumn("fingerprint", F.lit(fingerprint))
+    r = _reported(labels, sender).withColumn("fingerprint", F.lit(fingerprint))
     return r.withColumn("signature", hmac_sha256(key, F.concat_ws("|", "fingerprint", "edges_hash", F.col("tags").cast("string"), F.col(sender).cast("string"))))
 
 
 def verify(labels: DataFrame, attested: DataFrame, sender: str, builds: dict[str, bytes]) -> DataFrame:
     """(sender, messages, tags, reasons): what is wrong with each attestation of what came; '' is a good one. builds: fingerprint -> key."""
-    now = _report(labels, sender).select(F.col(sender).alias("__s"), F.col("edges_hash").alias("__h"))
+    now = _reported(labels, sender).select(F.col(sender).alias("__s"), F.col("edges_hash").alias("__h"))
     text = F.concat_ws("|", "fingerprint", "edges_hash", F.col("tags").cast("string"), F.col(sender).cast("string"))
     known, good = F.lit(False), F.lit(False)
     for fp, key in builds.items():

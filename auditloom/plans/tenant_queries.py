@@ -10,13 +10,14 @@ from auditloom.operators import memory as M
 from auditloom.operators import tenants as A
 from auditloom.plans.text_queries import lit
 from auditloom.registry import query
-from auditloom.sources.interaction import CTES, edges, nodes
+from auditloom.sources.interaction import CTES, as_edges, edges, items, nodes, numbered_nodes, receiver
 from auditloom.sources.tables import table
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tainted edges as labelled parts. The owner's neighbour (tenant + 1 of 25) may receive; quiet parts hint at their domains, health strongly."""
-    e = edges(spark, sf_dir).where("t_subject is not null").join(nodes(spark, sf_dir).select(F.col("agent").alias("to_agent"), F.col("owner").alias("to_principal")), "to_agent")
+    to = numbered_nodes(spark, sf_dir).select("number", F.col("owner").alias("to_principal"))
+    e = as_edges(items(spark, sf_dir).where("l_returnflag <> 'N'").join(to, receiver() == F.col("number")), "to_principal")
     k = F.regexp_extract("t_principal", "[0-9]+", 0).cast("int")
     return e.select(
         F.col("edge_id").alias("message_id"), "ts", "from_agent", "to_agent", "to_principal", F.col("t_subject").alias("subject"), F.col("t_principal").alias("owner"), "sens",
@@ -199,5 +200,5 @@ def _sql_cats(t: dict) -> str:
     SELECT doc_id, array_to_string(list_sort(c), ',') AS category, array_to_string(list_sort(i), ',') AS inferred, array_to_string(list_sort(list_filter(i, lambda x: list_contains(s, x))), ',') AS strong FROM u"""
 )
 def lexical_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = M.lexical_tags(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.array_join(F.array_sort(v), ",").alias(k) for k, v in t.items()])
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(M.tag_bits(F.col("text")))).alias("bits"))
+    return d.select("doc_id", *[F.array_join(v, ",").alias(k) for k, v in M.tags_of(F.col("bits")).items()])
