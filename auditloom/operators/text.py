@@ -367,6 +367,26 @@ def char_entropy(text: Column) -> Column:
     return F.pandas_udf(_entropies, "double")(text)
 
 
+def _entropies_of_all(lists: pd.Series) -> pd.Series:
+    out = np.full(len(lists), -np.inf)
+    for k, texts in enumerate(lists):
+        if all(texts):
+            n: Counter = Counter()
+            longest: dict[str, int] = {}
+            for t in texts:
+                here = Counter(t)
+                n.update(here)
+                longest.update((c, max(longest.get(c, 0), len(t))) for c in here)
+            p = np.array([n[c] / longest[c] for c in n])
+            out[k] = -(p * np.log2(p)).sum()
+    return pd.Series(out)
+
+
+def char_entropy_of_all(texts: Column) -> Column:
+    """As the SQL of ``char_entropy`` counts several texts of one id: a character's share is of the longest text that has it; minus infinity if a text is empty."""
+    return F.pandas_udf(_entropies_of_all, "double")(texts)
+
+
 _FAMILIES = [p for ps in INJECTION.values() for p in ps]
 
 
